@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import language, packing, pieces, sharding, simhash, suffixes
+from quarrylake.llm import ann, language, packing, pieces, sharding, simhash, suffixes, topk
 from quarrylake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours found for every hundredth embedding."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document, by its id."""
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highest integer inner products of every fiftieth embedding."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat earlier 100-byte strings, and a digest of the rest."""
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
@@ -57,6 +67,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_sharding, op6_suffix_dedup, op8_packing, op9_simhash, op10_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op3_ann, op4_sharding, op5_topk, op6_suffix_dedup, op8_packing, op9_simhash, op10_sentencepiece)}
 
-ORACLES: dict[str, str] = {"op4_sharding": sharding.oracle(), "op6_suffix_dedup": suffixes.oracle()}
+ORACLES: dict[str, str] = {"op4_sharding": sharding.oracle(), "op5_topk": topk.oracle(), "op6_suffix_dedup": suffixes.oracle()}
