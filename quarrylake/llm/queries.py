@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import ann, language, packing, pieces, sharding, simhash, suffixes, topk
+from quarrylake.llm import ann, language, packing, pieces, quality, secrets, sharding, simhash, suffixes, topk
 from quarrylake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base findings, all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
+    )
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest neighbours found for every hundredth embedding."""
     return ann.nearest(table(spark, sf_dir, "embeddings"))
@@ -45,6 +55,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -67,6 +82,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op3_ann, op4_sharding, op5_topk, op6_suffix_dedup, op8_packing, op9_simhash, op10_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_ann, op4_sharding, op5_topk, op6_suffix_dedup, op7_quality, op8_packing, op9_simhash, op10_sentencepiece)}
 
 ORACLES: dict[str, str] = {"op4_sharding": sharding.oracle(), "op5_topk": topk.oracle(), "op6_suffix_dedup": suffixes.oracle()}

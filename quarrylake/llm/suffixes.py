@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import materialize
+from quarrylake.llm.common import fresh, materialize
 
 WINDOW, GRAM, WIDE, BLOCK_BYTES = 100, 32, 6_000, 1_200_000
 _PIECE = 1_000_000  # windows hashed at once
@@ -334,10 +334,34 @@ def cut(raw: bytes, runs: list[tuple[int, int]], window: int = WINDOW) -> tuple[
     return spans, b"".join([*kept, raw[at:]])
 
 
+def _base(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def cut_texts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
+    """``docs`` with repeated byte strings cut out of ``text``; what is left of a character cut apart goes too.
+
+    Documents of which nothing is left go; those that were null or empty before stay as they are.
+    """
+    id_, h, runs, left = (fresh(docs, x) for x in ("cut_id", "cut_h", "cut_runs", "cut_text"))
+    gone = runs_to_remove(_base(docs), window, gram, wide).groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    gone = gone.select(F.col("id").alias(id_), F.col("h").alias(h), F.transform("runs", lambda r: F.array(r["first"], r["last"])).alias(runs))
+
+    @F.pandas_udf("string")
+    def rest(texts, found):
+        out = [t if r is None or t is None else cut(t.encode(), [tuple(x) for x in r], window)[1].decode("utf-8", "ignore") for t, r in zip(texts, found, strict=True)]
+        return texts.__class__(out, dtype=object)
+
+    keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))).withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    cut_out = keyed.join(gone, [id_, h], "left").withColumn(left, rest("text", runs))
+    kept = cut_out.filter(F.col(runs).isNull() | (F.length(left) > 0))
+    return kept.select(*[F.col(left).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row: removed byte runs, and the remaining bytes."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    base = _base(docs)
     gone = runs_to_remove(base, window, gram, wide).groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     joined = base.join(gone, ["id", "h"], "left").select("id", "text", "runs")
 
