@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+PLANS = ("retrieval",)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _name in PLANS:
+    _plan = import_module(f"quarrylake.plans.{_name}")
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
