@@ -143,7 +143,7 @@ class Index:
 
 def _grid(column) -> np.ndarray:
     cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), "<f8").reshape(len(cells), -1)
+    return np.frombuffer(b"".join(cells), "<f8").reshape(len(cells), -1) if cells else np.zeros((0, 0))
 
 
 def usable(embeddings: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(words(text)) if text else None
-        if not found or not self.languages:
+        if not found or not self.languages or not any(c.isalpha() for word in found for c in word):
             return UNDETERMINED, 0.0
         rows, counts, total = [], [], np.zeros(len(self.languages))
         at = self.words.get

@@ -61,7 +61,7 @@ def quantise(embeddings: DataFrame, scale: int) -> DataFrame:
 
 def _grid(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), "<i8").reshape(len(cells), -1)
+    return np.frombuffer(b"".join(cells), "<i8").reshape(len(cells), -1) if cells else np.zeros((0, 0), np.int64)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
