@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: dict[str, SparkSession] = {}
+_PATHS: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,15 +44,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/quarrylake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(stored)] = path
+    return stored
 
 
 def release(df: DataFrame) -> None:
-    """Delete the scratch files that a materialized frame was read from."""
-    for path, spark in list(_SCRATCH.items()):
-        if any(path.split("://")[-1] in f for f in df.inputFiles()):
-            _delete(spark, path)
-            _SCRATCH.pop(path, None)
+    """Delete the scratch files of a frame that ``materialize`` gave, once nothing is to be read from it."""
+    path = _PATHS.pop(id(df), None)
+    if path in _SCRATCH:
+        _delete(_SCRATCH.pop(path), path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -85,9 +87,3 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def bounded_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
-    """At most ``limit`` rows, the smallest by a hash of ``key``: the same rows at every partitioning."""
-    h = F.xxhash64(key.cast("string"))
-    return df.orderBy(h, key).limit(limit)

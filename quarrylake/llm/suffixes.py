@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import fresh, materialize
+from quarrylake.llm.common import fresh, materialize, release
 
 WINDOW, GRAM, WIDE, BLOCK_BYTES = 100, 32, 6_000, 1_200_000
 _PIECE = 1_000_000  # windows hashed at once
@@ -223,23 +223,23 @@ def _anchor_rows(base: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _segment_bytes(wanted: DataFrame, base: DataFrame, window: int) -> DataFrame:
-    """(key, id, h, first, bytes) of wanted segments; ``wanted`` has (id, h, spots) a document."""
+    """(key, wide, id, h, first, bytes) of wanted segments; ``wanted`` has (id, h, spots) a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for doc, h, text, spots in zip(*(part.column(i) for i in range(4)), strict=True):
                     raw = (text.as_py() or "").encode()
                     for s in spots.as_py():
                         place, back, to = s["spot"] >> 16, s["spot"] >> 8 & 255, s["spot"] & 255
-                        for col, x in zip(out, (s["key"], doc.as_py(), h.as_py(), place - back, raw[place - back : place - to + window]), strict=True):
+                        for col, x in zip(out, (s["key"], s["wide"], doc.as_py(), h.as_py(), place - back, raw[place - back : place - to + window]), strict=True):
                             col.append(x)
-                yield _batch(out, [pa.int64()] * 4 + [pa.binary()], ["key", "id", "h", "first", "bytes"])
+                yield _batch(out, [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.binary()], ["key", "wide", "id", "h", "first", "bytes"])
 
     joined = base.join(wanted, ["id", "h"]).select("id", "h", "text", "spots")
-    return joined.mapInArrow(run, "key long, id long, h long, first long, bytes binary")
+    return joined.mapInArrow(run, "key long, wide boolean, id long, h long, first long, bytes binary")
 
 
 def _sorted_runs(segments: DataFrame, window: int) -> DataFrame:
@@ -273,7 +273,7 @@ def _sorted_runs(segments: DataFrame, window: int) -> DataFrame:
                 size += len(row[4])
         yield solve(ready + group)
 
-    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, h long, first long, last long")
+    return segments.select("key", "id", "h", "first", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, h long, first long, last long")
 
 
 def _single_windows(segments: DataFrame, window: int) -> DataFrame:
@@ -298,24 +298,27 @@ def runs_to_remove(base: DataFrame, window: int = WINDOW, gram: int = GRAM, wide
     often = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "often")
     _tidy(base)
     met = materialize(rows.join(often, "key"), "met")
+    release(often)
     _tidy(base)
     segments = met.groupBy("key", "seg").agg(F.min(F.struct("id", "h", "spot")).alias("oldest"), F.count(F.lit(1)).alias("n"))
     segments = materialize(segments, "segments")
     place, back, to = F.shiftrightunsigned("spot", 16), F.shiftrightunsigned("spot", 8).bitwiseAND(255), F.col("spot").bitwiseAND(255)
     later = met.join(segments.filter("n > 1").select("key", "seg", "oldest"), ["key", "seg"]).filter(F.struct("id", "h", "spot") != F.col("oldest"))
     copies = materialize(later.select("id", "h", (place - back).alias("first"), (place - to).alias("last")), "copies")
+    release(met)
     several = segments.groupBy("key").agg(F.count(F.lit(1)).alias("width")).filter("width > 1")
-    owners = segments.join(several, "key").select("key", "oldest.*", "width")
+    owners = segments.join(several, "key").select("key", "oldest.*", (F.col("width") > wide).alias("wide"))
     _tidy(base)
-
-    def wanted(which: DataFrame) -> DataFrame:
-        return _segment_bytes(which.groupBy("id", "h").agg(F.collect_list(F.struct("key", "spot")).alias("spots")), base, window)
-
-    sorted_runs = materialize(_sorted_runs(wanted(owners.filter(F.col("width") <= wide)), window), "sorted")
+    wanted = owners.groupBy("id", "h").agg(F.collect_list(F.struct("key", "spot", "wide")).alias("spots"))
+    met_bytes = materialize(_segment_bytes(wanted, base, window), "bytes")  # texts move once for both kinds of group
+    release(segments)
+    _tidy(base)
+    out = copies.unionByName(materialize(_sorted_runs(met_bytes.filter("not wide"), window), "sorted"))
+    very_wide = met_bytes.filter("wide")
+    if not very_wide.isEmpty():
+        out = out.unionByName(materialize(_single_windows(very_wide, window), "single"))
+    release(met_bytes)
     _tidy(base)
-    out = copies.unionByName(sorted_runs)
-    if not several.filter(F.col("width") > wide).isEmpty():
-        out = out.unionByName(materialize(_single_windows(wanted(owners.filter(F.col("width") > wide)), window), "single"))
     return out
 
 
