@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1_000
 _SCRATCH: dict[str, SparkSession] = {}
 _PATHS: dict[int, str] = {}
 
@@ -49,6 +50,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, about to go through Python: its session sends at most ``BATCH_ROWS`` rows to a worker at once.
+
+    Texts can be long, and Spark's own default of 10,000 rows a batch would hold too many of them.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "0")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch files of a frame that ``materialize`` gave, once nothing is to be read from it."""
     path = _PATHS.pop(id(df), None)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import fresh, held_out
+from quarrylake.llm.common import bounded, fresh, held_out
 
 #: Labelled documents to learn from (by hash of the id, so in expectation), and the bound of the model.
 SAMPLE_DOCUMENTS, WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE, LONGEST_GRAM = 20_000, 30_000, 20_000, 4
@@ -48,14 +48,15 @@ class Model:
         self.languages = languages
         self.words = {w: i for i, w in enumerate(tables[0])}
         self.matrix = np.array(list(tables[0].values()) or np.zeros((0, len(languages))), np.float64)
-        self.grams = [{g: np.array(v) for g, v in t.items()} for t in tables[1:]]
+        self.grams = [{g: i for i, g in enumerate(t)} for t in tables[1:]]
+        self.gram_matrices = [np.array(list(t.values()) or np.zeros((0, len(languages))), np.float64) for t in tables[1:]]
         self.drop = drop
 
     def unseen(self, word: str) -> np.ndarray:
         for step, known in enumerate(self.grams):
             found = [known[g] for g in grams(word, len(self.grams) - step) if g in known]
             if found:
-                return np.mean(found, axis=0) - self.drop * (step + 1)
+                return self.gram_matrices[step][found].mean(axis=0) - self.drop * (step + 1)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -81,7 +82,7 @@ class Model:
     @property
     def _unseen(self):
         if "_cache" not in self.__dict__:
-            self.__dict__["_cache"] = lru_cache(200_000)(self.unseen)
+            self.__dict__["_cache"] = lru_cache(50_000)(self.unseen)
         return self.__dict__["_cache"]
 
     def __getstate__(self) -> dict:
@@ -121,11 +122,11 @@ def train(docs: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> Model:
                     for size in range(1, LONGEST_GRAM + 1):
                         for gram in grams(word, size):
                             totals[lang, size, gram] += n
-            if len(totals) > 500_000:
+            if len(totals) > 200_000:
                 yield flush()
         yield flush()
 
-    counted = rows.select("lang", "text").mapInArrow(count, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
+    counted = bounded(rows.select("lang", "text")).mapInArrow(count, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     # the model's bound: so many items of each language and size
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item"))
     top = counted.filter((F.col("size") > 0) | (F.col("n") > 1)).withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("size") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LANGUAGE))
@@ -155,7 +156,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [sent.value.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -173,4 +174,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
         found = [sent.value.predict(t) for t in texts]
         return texts.__class__([lang != UNDETERMINED and score >= least for lang, score in found])
 
-    return docs.withColumn(name, sure("text")).filter(name).drop(name)
+    return bounded(docs).withColumn(name, sure("text")).filter(name).drop(name)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import materialize
+from quarrylake.llm.common import bounded, materialize
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -95,7 +95,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylake.llm.common import bounded
+
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Units and neighbouring pieces that a Python worker remembers, and the longest unit worth it.
@@ -196,4 +198,4 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
                 ids = [c.encode(t.as_py() or "") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import held_out
+from quarrylake.llm.common import bounded, held_out
 
 #: Labelled documents in the vote (in expectation: they are chosen by hash), slots, dimensions, voters.
 LABELLED, SLOTS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 3_000, 8_192, 64, 15, 8
@@ -124,7 +124,7 @@ def score(docs: DataFrame, voters: Voters, block: int = 512) -> DataFrame:
                 part = batch.slice(at, block)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.score(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import fresh
+from quarrylake.llm.common import bounded, fresh
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -209,7 +209,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
                 out += [(text[max(0, a - BEFORE) : b + AFTER], min(a, BEFORE), min(a, BEFORE) + b - a, y) for a, b, y in seen]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["text", "start", "stop", "label"])
 
-    seen = part.mapInArrow(run, "text string, start int, stop int, label int").distinct()
+    seen = bounded(part).mapInArrow(run, "text string, start int, stop int, label int").distinct()
     rows = [r for y in (0, 1) for r in seen.filter(F.col("label") == y).orderBy(F.xxhash64("text", "start"), "text", "start").limit(findings).collect()]
     return [(r["text"], r["start"], r["stop"], r["label"]) for r in rows]
 
@@ -254,7 +254,7 @@ def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
                 rows = [[{"kind": k, "start": a, "stop": b, "score": p} for a, b, k, p in s] for s in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
 def listed(spans: Column) -> Column:
@@ -281,4 +281,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             out.append(text)
         return texts.__class__(out, dtype=object)
 
-    return docs.withColumn(name, clean("text")).withColumn("text", F.col(name)).drop(name)
+    return bounded(docs).withColumn(name, clean("text")).withColumn("text", F.col(name)).drop(name)

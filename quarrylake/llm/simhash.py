@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import fresh, materialize
+from quarrylake.llm.common import bounded, fresh, materialize
 from quarrylake.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED, BLOCK = 3, 3, 42, 2048
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:

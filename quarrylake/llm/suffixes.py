@@ -9,7 +9,7 @@ segment. Then
 1. anchors whose k-gram occurs once are left out (a count with map-side sums, then a join);
 2. equal segments of one k-gram collapse to the earliest, all others go whole;
 3. k-grams with several different segments send these segments' bytes to one place, where blocks of
-   about a megabyte are suffix-sorted: triples at two thirds of the places are sorted and named, the
+   about 400 kilobytes are suffix-sorted: triples at two thirds of the places are sorted and named, the
    names are sorted by recursion, the other suffixes are merged in,
    and neighbours in that order whose window-long prefixes are equal form a group; all but the
    earliest of a group go;
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import fresh, materialize, release
+from quarrylake.llm.common import bounded, fresh, materialize, release
 
-WINDOW, GRAM, WIDE, BLOCK_BYTES = 100, 32, 6_000, 1_200_000
-_PIECE = 1_000_000  # windows hashed at once
+WINDOW, GRAM, WIDE, BLOCK_BYTES = 100, 32, 6_000, 400_000
+_PIECE = 400_000  # windows hashed at once
 _FIRST = -(1 << 63)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -50,7 +50,7 @@ class _Hasher:
     def power(cls, base: int, n: int) -> np.ndarray:
         have = cls.powers.get(base)
         if have is None or len(have) < n:
-            size = 1 << max(20, (n - 1).bit_length())
+            size = 1 << max(16, (n - 1).bit_length())
             have = np.ones(size, np.uint64)
             m = 1
             while m < size:
@@ -219,7 +219,7 @@ def _anchor_rows(base: DataFrame, window: int, gram: int) -> DataFrame:
                 ids, hs = (np.asarray(part.column(i)) for i in (0, 1))
                 yield _batch([key.view(np.int64), seg.view(np.int64), ids[own], hs[own], spot], [pa.int64()] * 5, ["key", "seg", "id", "h", "spot"])
 
-    return base.mapInArrow(run, "key long, seg long, id long, h long, spot long")
+    return bounded(base).mapInArrow(run, "key long, seg long, id long, h long, spot long")
 
 
 def _segment_bytes(wanted: DataFrame, base: DataFrame, window: int) -> DataFrame:
@@ -239,7 +239,7 @@ def _segment_bytes(wanted: DataFrame, base: DataFrame, window: int) -> DataFrame
                 yield _batch(out, [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.binary()], ["key", "wide", "id", "h", "first", "bytes"])
 
     joined = base.join(wanted, ["id", "h"]).select("id", "h", "text", "spots")
-    return joined.mapInArrow(run, "key long, wide boolean, id long, h long, first long, bytes binary")
+    return bounded(joined).mapInArrow(run, "key long, wide boolean, id long, h long, first long, bytes binary")
 
 
 def _sorted_runs(segments: DataFrame, window: int) -> DataFrame:
@@ -357,7 +357,7 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide: int
         return texts.__class__(out, dtype=object)
 
     keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))).withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
-    cut_out = keyed.join(gone, [id_, h], "left").withColumn(left, rest("text", runs))
+    cut_out = bounded(keyed).join(gone, [id_, h], "left").withColumn(left, rest("text", runs))
     kept = cut_out.filter(F.col(runs).isNull() | (F.length(left) > 0))
     return kept.select(*[F.col(left).alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
@@ -379,7 +379,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide
                 spans = [[{"start": a, "end": b} for a, b in s] for s, _ in cuts]
                 yield _batch([ids, [len(r) for r in raws], spans, [k for _, k in cuts]], [pa.int64(), pa.int64(), spans_type, pa.binary()], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return bounded(joined).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def oracle(window: int = WINDOW) -> str:
