@@ -222,7 +222,7 @@ def links(html: Column) -> Column:
 
 def url_slug(url: Column) -> Column:
     """A file name for a URL: no scheme, other than letters and digits become dashes."""
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(F.regexp_replace(url, r"^[a-z]+://", "")), r"[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(url, r"^[a-z]+://", "")), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def escape_xml(c: Column) -> Column:
