@@ -69,7 +69,13 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     the whole item is compared then.
     """
     gram = lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " ")))
-    shaped = lambda t, k: table(spark, sf_dir, t).select(k, T.normalize_text(F.col("text")).alias("norm")).withColumn("words", T.words(F.col("norm"))).filter(F.size("words") >= 3)
+
+    def shaped(name: str, key: str) -> DataFrame:
+        norm = table(spark, sf_dir, name).select(key, T.normalize_text(F.col("text")).alias("norm"))
+        # the explode keeps the optimiser from splitting each text anew for every word of it
+        once = norm.select(key, F.explode(F.array(F.struct("norm", T.words(F.col("norm")).alias("words")))).alias("s"))
+        return once.select(key, "s.*").filter(F.size("words") >= 3)
+
     items = shaped("benchmark", "item_id").select("item_id", F.col("norm").alias("item"), F.get(gram(F.col("words")), F.lit(0)).alias("key"))
     docs = shaped("documents", "doc_id").select("doc_id", "norm", F.array_distinct(gram(F.col("words"))).alias("keys"))
     posted = docs.select("doc_id", F.explode("keys").alias("key"))
