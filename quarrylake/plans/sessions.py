@@ -16,8 +16,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sliding_60s_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the same user in the 60 minutes up to each event, edges included."""
-    trailing = Window.partitionBy("user_id").orderBy("us").rangeBetween(-3_600_000_000, 0)
+    """Events of the same user in the 60 seconds up to each event, edges included."""
+    trailing = Window.partitionBy("user_id").orderBy("us").rangeBetween(-60_000_000, 0)
     return _events(spark, sf_dir).select("event_id", F.count(F.lit(1)).over(trailing).alias("n"))
 
 
@@ -63,7 +63,7 @@ def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (sliding_60s_rate, daily_budget, session_budget, stream_sliding_counts, history_last_n, prior_context, history_trim)}
 
 ORACLES = {
-    "sliding_60s_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM events",
+    "sliding_60s_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS n FROM events",
     "daily_budget": f"SELECT event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)::INTEGER AS used, used > {PER_DAY} AS over FROM events",
     "session_budget": f"""WITH b AS (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w > {GAP_SECONDS * 1_000_000})::INTEGER, 1) AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM b)
