@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -204,6 +204,7 @@ def test_packing_query_over_documents(spark, small_dir, tokenizer):
 
 
 @settings(max_examples=60, deadline=None)
+@example({683: 29})  # three don't fit: fifteen is the least, though the sum of lengths would fill ten
 @given(st.dictionaries(st.integers(1, 2048), st.integers(1, 40), max_size=40))
 def test_plans_hold_every_length_once(hist):
     runs = packing.plan(hist)
@@ -213,8 +214,14 @@ def test_plans_hold_every_length_once(hist):
         for length in lengths:
             placed[length] = placed.get(length, 0) + n
     assert placed == hist
-    least = -(-sum(k * n for k, n in hist.items()) // 2048)
-    assert sum(n for n, _ in runs) <= 1.23 * least + 2 + sum(n for k, n in hist.items() if k > 1024)
+    rooms: list[int] = []  # first fit, longest first
+    for length in sorted((k for k, n in hist.items() for _ in range(n)), reverse=True):
+        at = next((i for i, room in enumerate(rooms) if room >= length), None)
+        if at is None:
+            rooms.append(2048 - length)
+        else:
+            rooms[at] -= length
+    assert sum(n for n, _ in runs) <= 1.23 * len(rooms) + 2
 
 
 def test_grouped_lengths_round_up_within_equal_groups():
