@@ -74,7 +74,8 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(fps[left] ^ fps[x]) <= radius
+            # as unsigned: of a signed number numpy counts the bits of its absolute value
+            near = np.bitwise_count((fps[left] ^ fps[x]).view(np.uint64)) <= radius
             found = left[near]
             links += [(int(fps[x]), int(fps[y])) for y in found]
             front += found.tolist()

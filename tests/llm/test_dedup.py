@@ -87,6 +87,20 @@ def test_links_join_what_all_pairs_join(spark, block):
     assert found == want
 
 
+def test_links_count_the_top_bit_like_any_other(spark):
+    rng = random.Random(4)
+    near, far = [], []
+    for low in ([0], [5], [0, 1], [40, 62], [59, 3]):
+        x = rng.getrandbits(64)
+        near.append((x, x ^ (1 << 63) ^ sum(1 << b for b in low)))
+    x = rng.getrandbits(64)
+    far.append((x, x ^ (15 << 60)))  # four bits apart
+    for a, b in near + far:
+        links = simhash.links(spark.createDataFrame([(simhash._signed(a),), (simhash._signed(b),)], "fp long")).collect()
+        found = {frozenset((r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1)) for r in links}
+        assert found == ({frozenset((a, b))} if (a, b) in near else set())
+
+
 def test_simhash_edges(messy, empty):
     rows = simhash.near_duplicates(messy).collect()
     assert len(rows) == len(MESSY)
