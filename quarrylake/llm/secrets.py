@@ -4,8 +4,9 @@ The network reads a candidate and what surrounds it, character by character. It
 numpy, on labelled findings: what the base patterns find in a bounded sample of documents against
 look-alikes from the same documents, with generated secrets and look-alikes of known forms beside
 them. Its outputs are calibrated on findings kept from training, and the threshold is the highest
-that still recalls ``RECALL`` of the secrets there. Every candidate of every whole text is judged; base
-findings always stay.
+that still recalls ``RECALL`` of those secrets there that are candidates. Every candidate of every whole
+text is judged, over its whole length in overlapping pieces: the surest piece counts. Base findings
+always stay.
 
 Defined cases: a null text counts as empty and has no spans; repeated and null doc_ids keep a row
 each; places are code points, ends exclusive; an empty table trains on generated findings alone.
@@ -30,8 +31,15 @@ KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: Further candidates: long runs of key characters with a digit and a letter among them.
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Further candidates: long runs of key characters, also such that other marks join, with a digit and a letter among them,
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+(?:[.~!@#$%^&*?]+[A-Za-z0-9+/_=-]+)*")
+#: and values next to a credential word, of any characters, shorter and without digits too.
+_WORD = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth(?:orization)?|bearer|login|pin|key)s?"
+_VALUES = (
+    re.compile(_WORD + r"""["']?\x20*[:=]+>?\x20*["']?([^\s"'<>]{4,})""", re.ASCII | re.IGNORECASE),
+    re.compile(r"(?<![A-Za-z])" + _WORD + r"""\x20+(?:(?:is|was)\x20+)?["']?([^\s"'<>:=]{6,})""", re.ASCII | re.IGNORECASE),
+)
+LEAST_RUN, STEP = 16, 16
 #: Documents sampled for labelled findings, findings of each class used, window, filters, aims.
 SAMPLE, FINDINGS, BEFORE, INSIDE, AFTER, WIDTH, FILTERS, EPOCHS, RECALL = 4_000, 1_500, 24, 48, 16, 5, 24, 8, 0.97
 _LENGTH = BEFORE + INSIDE + AFTER
@@ -64,17 +72,41 @@ def in_order(spans: list[Span]) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs that no base finding touches."""
+    """Runs and values next to credential words, what base findings leave of them, by start; those that overlap are one."""
+    found = [(m.start(), m.end()) for m in _RUN.finditer(text) if m.end() - m.start() >= LEAST_RUN and _mixed(m[0])]
+    found += [(m.start(1), m.start(1) + len(m[1].rstrip(".,;:)]}"))) for p in _VALUES for m in p.finditer(text)]
+    whole: list[list[int]] = []
+    for a, b in sorted(found):
+        if whole and a < whole[-1][1]:
+            whole[-1][1] = max(b, whole[-1][1])
+        elif b > a:
+            whole.append([a, b])
     out = []
-    for m in _RUN.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(a < m.end() and m.start() < b for a, b, _ in taken):
-            out.append((m.start(), m.end()))
+    for a, b in whole:
+        inner = sorted((x, y) for x, y, _ in taken if x < b and a < y)
+        if not inner:
+            out.append((a, b))
+        for x, y in [*inner, (b, b)] if inner else []:
+            if x - a >= LEAST_RUN and _mixed(text[a:x]):
+                out.append((a, x))
+            a = max(a, y)
     return out
 
 
+def _mixed(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
+def pieces(item: tuple[str, int, int]) -> list[tuple[str, int, int]]:
+    """Overlapping pieces of at most ``INSIDE`` characters that cover the whole item."""
+    text, start, end = item
+    if end - start <= INSIDE:
+        return [item]
+    return [(text, a, a + INSIDE) for a in [*range(start, end - INSIDE, STEP), end - INSIDE]]
+
+
 def windows(items: list[tuple[str, int, int]]) -> np.ndarray:
-    """(item, place, channel) zeros and ones for the network."""
+    """(piece, place, channel) zeros and ones for the network."""
     out = np.zeros((len(items), _LENGTH + WIDTH - 1, CHANNELS), np.float32)
     pad = WIDTH // 2
     for row, (text, start, end) in zip(out, items, strict=True):
@@ -115,27 +147,40 @@ class Network:
         top = np.maximum(np.concatenate([a.max(1), b.max(1)], axis=1), 0)
         return cols, at, top
 
-    def logits(self, items: list[tuple[str, int, int]]) -> np.ndarray:
+    def piece_logits(self, parts: list[tuple[str, int, int]]) -> np.ndarray:
         out = [np.zeros(0, np.float32)]
-        for i in range(0, len(items), 256):
-            out.append(self._pool(windows(items[i : i + 256]))[2] @ self.out + self.bias)
+        for i in range(0, len(parts), 256):
+            out.append(self._pool(windows(parts[i : i + 256]))[2] @ self.out + self.bias)
         return np.concatenate(out)
 
+    def logits(self, items: list[tuple[str, int, int]]) -> np.ndarray:
+        """Of each item, that of its surest piece."""
+        cut = [pieces(i) for i in items]
+        if not cut:
+            return np.zeros(0, np.float32)
+        return np.maximum.reduceat(self.piece_logits([p for c in cut for p in c]), np.cumsum([0, *map(len, cut[:-1])]))
+
     def probability(self, items: list[tuple[str, int, int]]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(items) + self.offset, -30, 30)))
 
     def fit(self, items: list[tuple[str, int, int]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 6) -> None:
+        """Every piece of a look-alike is one; of a secret in several pieces, the surest so far is the secret."""
         rng = np.random.default_rng(seed)
+        cut = [pieces(i) for i in items]
+        long = [k for k, c in enumerate(cut) if labels[k] > 0 and len(c) > 1]
+        fixed = [(p, labels[k]) for k, c in enumerate(cut) if labels[k] == 0 or len(c) == 1 for p in c]
         params = [self.kernel, self.shift, self.out, self.bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(items))
+        for epoch in range(epochs):
+            sure = [self.piece_logits(cut[k]) for k in long] if epoch else []
+            rows = fixed + [(cut[k][int(x.argmax())], 1.0) for k, x in zip(long, sure, strict=False)]
+            order = rng.permutation(len(rows))
             for i in range(0, len(order), 128):
                 pick = order[i : i + 128]
-                cols, at, top = self._pool(windows([items[j] for j in pick]))
+                cols, at, top = self._pool(windows([rows[j][0] for j in pick]))
                 p = 1 / (1 + np.exp(-np.clip(top @ self.out + self.bias, -30, 30)))
-                err = (p - labels[pick]).astype(np.float32) / len(pick)
+                err = (p - np.array([rows[j][1] for j in pick])).astype(np.float32) / len(pick)
                 back = err[:, None] * self.out * (top > 0)
                 g_kernel = np.zeros_like(self.kernel)
                 for f in range(FILTERS):
@@ -160,7 +205,10 @@ class Network:
             step = np.linalg.solve(np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum()]]), grad)
             a, b = a - 0.5 * step[0], b - 0.5 * step[1]
         self.scale, self.offset = a, b
-        found = np.sort(self.probability([i for i, y in zip(items, labels, strict=True) if y > 0]))[::-1]
+        secrets = [i for i, y in zip(items, labels, strict=True) if y > 0]
+        # what the network is asked about: base findings stay anyhow and would make the recall look better than it is
+        asked = [c for c in map(as_asked, secrets) if c]
+        found = np.sort(self.probability(asked or secrets))[::-1]
         if len(found):
             self.threshold = float(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)])
 
@@ -192,8 +240,51 @@ def generated(n: int, seed: int = 3) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def as_asked(item: tuple[str, int, int]) -> tuple[str, int, int] | None:
+    """The candidate that a finding lies in, if it lies in one."""
+    text, start, end = item
+    return next(((text, a, b) for a, b in candidates(text, base_spans(text)) if a <= start and end <= b), None)
+
+
+def generated_wide(n: int, seed: int = 7) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label) like ``generated``: keys behind long filler, long, short, letter-only and split ones, and look-alikes."""
+    rng = random.Random(seed)
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    alnum, letters, marks = string.ascii_letters + string.digits, string.ascii_letters, "!@#$%^&*?.~"
+    syllables = ["an", "er", "the", "ion", "ou", "re", "men", "tra", "ver", "sta", "le", "qui"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "/".join(word() for _ in range(rng.randint(3, 16))) + "/"
+    key = lambda: rng.choice([f"ghp_{pick(alnum, 36)}", f"sk_live_{pick(alnum, 24)}", f"AIza{pick(alnum + '_-', 35)}", pick(alnum, rng.randint(24, 40))])
+    name = lambda: rng.choice(["password", "pass", "pwd", "secret", "token", "credential", "auth", "login", "api_key", "private_key", "key"])
+    to = lambda: rng.choice(["=", ": ", " = ", ":", '="'])
+    secrets = [
+        lambda: ("", path() + key()), lambda: ("", rng.choice("=-_") * rng.randint(30, 90) + key()), lambda: ("", path() + key() + "/" + word() + "/" + word() + "/" + word()),
+        lambda: ("key ", pick(alnum + "+/", rng.randint(60, 160))), lambda: ("Bearer ", f"eyJ{pick(alnum, 20)}.eyJ{pick(alnum, 40)}.{pick(alnum + '_-', 43)}"),
+        lambda: (name() + to(), pick(letters, rng.randint(8, 30))), lambda: (name() + to(), pick(string.ascii_lowercase, rng.randint(8, 24))),
+        lambda: (name() + to(), pick(alnum, rng.randint(6, 15))), lambda: (name() + to(), pick(alnum, rng.randint(3, 8)) + pick(marks, rng.randint(1, 2)) + pick(alnum, rng.randint(3, 8))),
+        lambda: (name() + rng.choice([" ", " is "]), pick(alnum + marks, rng.randint(8, 15)) + pick(alnum, 1)),
+    ]
+    others = [
+        lambda: ("", path() + f"page{rng.randint(1, 99)}"), lambda: ("", path() + word() + str(rng.randint(1, 9)) + path() + word()), lambda: ("", rng.choice("=-_") * rng.randint(30, 90) + word() + str(rng.randint(1, 99))),
+        lambda: ("", "-".join(word() for _ in range(rng.randint(8, 20))) + f"-{rng.randint(1, 2030)}"), lambda: ("", f"{word()}.{rng.randint(1, 99)}@{word()}{rng.randint(1, 9)}.{word()}.com"),
+        lambda: ("https:", f"//www.{word()}{word()}.com{path()}{word()}?id={rng.randint(1, 9999)}"), lambda: ("", ".".join(word() for _ in range(rng.randint(4, 8))) + f".{rng.randint(1, 99)}"),
+        lambda: (name() + rng.choice([" ", " is ", " was "]), word() + word() + word()), lambda: (name() + " ", rng.choice(["required", "missing", "management", "expired", "rotation", "changed", "reset,then"])),
+        lambda: ("", word().title() + word() + "!!" + word() + "..." + word() + str(rng.randint(1, 99))),
+    ]
+    out = []
+    for i in range(n):
+        label = i % 2
+        lead, body = rng.choice(secrets if label else others)()
+        text = " ".join(word() for _ in range(rng.randint(0, 6))) + " " + lead + body
+        out.append((text + rng.choice(["", " ", ".", '"']) + " ".join([" ", *(word() for _ in range(rng.randint(0, 4)))]), len(text) - len(body), len(text), label))
+    return out
+
+
 def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FINDINGS) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) from about ``sample`` documents: base findings, and words and short values that look like them."""
+    """(text, start, end, label) from about ``sample`` documents: base findings, and long words that are none.
+
+    A word that has the shape of a candidate may be a secret that no base pattern knows, so it is taken for neither.
+    """
     n = docs.count()
     part = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", F.lit("findings")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1)) + 1)))
 
@@ -205,7 +296,8 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
                 spans = base_spans(text)
                 seen = [(a, b, 1) for a, b, _ in spans[:4]]
                 long_words = heapq.nlargest(2, ((len(m[0]), m.start(), m.end()) for m in re.finditer(r"\S+", text)))
-                seen += [(a, b, 0) for _, a, b in long_words if not any(x < b and a < y for x, y, _ in spans)]
+                unsure = [*spans, *((a, b, "model") for a, b in candidates(text, spans))]
+                seen += [(a, b, 0) for _, a, b in long_words if not any(x < b and a < y for x, y, _ in unsure)]
                 out += [(text[max(0, a - BEFORE) : b + AFTER], min(a, BEFORE), min(a, BEFORE) + b - a, y) for a, b, y in seen]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["text", "start", "stop", "label"])
 
@@ -216,7 +308,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
 
 def train(docs: DataFrame) -> Network:
     """A calibrated network from ``docs``'s labelled findings and generated ones."""
-    found = labelled_findings(docs) + generated(2 * FINDINGS)
+    found = labelled_findings(docs) + generated(2 * FINDINGS) + generated_wide(2 * FINDINGS)
     order = np.random.default_rng(4).permutation(len(found))
     items, labels = [found[i][:3] for i in order], np.array([found[i][3] for i in order], np.float32)
     cut = len(items) * 3 // 4

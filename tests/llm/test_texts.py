@@ -103,6 +103,47 @@ def test_network_recall_and_precision_on_unseen_forms_of_known_kinds(spark, smal
     assert (sure & labels).sum() / sure.sum() > 0.9
 
 
+def test_candidates_take_in_values_next_to_credential_words_and_what_base_findings_leave():
+    def asked(text):
+        return [text[a:b] for a, b in secrets.candidates(text, secrets.base_spans(text))]
+
+    assert asked("pwd: kQzrWvXm now") == ["kQzrWvXm"]  # letters alone, short
+    assert asked("the passphrase is horse%Battery!staple") == ["horse%Battery!staple"]
+    assert asked("password: p@ss!w0rd9") == ["p@ss!w0rd9"]
+    assert asked("see aB3dE6gH.9kLmN2pQ end") == ["aB3dE6gH.9kLmN2pQ"]
+    assert asked("qWertyuiop1234567/" + "0a" * 16 + "/Zxcvbnm7654321qwe") == ["qWertyuiop1234567/", "/Zxcvbnm7654321qwe"]
+    assert asked("a monkey sat here, plain words alone") == []
+
+
+def test_pieces_cover_every_place_of_a_candidate():
+    for n in (1, 47, 48, 49, 64, 65, 200, 1001):
+        cut = secrets.pieces(("x" * (n + 9), 5, 5 + n))
+        assert {i for _, a, b in cut for i in range(a, b)} == set(range(5, 5 + n))
+        assert all(b - a <= secrets.INSIDE for _, a, b in cut)
+
+
+def test_candidate_shaped_words_are_not_taken_for_look_alikes(spark):
+    word = "Zx9Kq2Lm7Vt4Bn8Rw3Yp"
+    found = secrets.labelled_findings(spark.createDataFrame([(1, f"some words around {word} here extraordinarily")], "doc_id long, text string"))
+    assert all(word not in t[a:b] for t, a, b, _ in found) and any(t[a:b] == "extraordinarily" and y == 0 for t, a, b, y in found)
+
+
+def test_network_reads_candidates_to_their_end(spark, small_dir):
+    net = secrets.train(spark.read.parquet(f"{small_dir}/documents.parquet"))
+    rng = random.Random(12)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "ghp_" + "".join(rng.choice(alnum) for _ in range(36))
+    behind = [f"see {'/river/stone/lamp' * rng.randint(4, 9)}/{key()} end" for _ in range(60)]
+    plain = [f"see {'/river/stone/lamp' * rng.randint(4, 9)}/page{i} end" for i in range(60)]
+    hits = [sum(any(k == "model" for _, _, k, _ in s) for s in secrets.find(t, net)) for t in (behind, plain)]
+    assert hits[0] >= 54 and hits[1] <= 6
+    fresh = secrets.generated_wide(600, seed=98)
+    sure = net.probability([x[:3] for x in fresh]) >= net.threshold
+    labels = np.array([x[3] for x in fresh]) > 0
+    assert (sure & labels).sum() / labels.sum() > 0.9
+    assert (sure & labels).sum() / sure.sum() > 0.9
+
+
 def test_secret_edges(messy, empty):
     rows = secrets.scan(messy).collect()
     assert len(rows) == len(MESSY)
