@@ -47,14 +47,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a long."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, with the text's ``hash`` between them if asked; fp holds the 64 bits as a long."""
+    names = ["doc_id", "hash"] if hashed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([fingerprint(t.as_py()) for t in batch.column(len(names))], pa.int64())], [*names, "fp"])
 
-    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").select(*names, "text")
+    return bounded(rows).mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -121,12 +123,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return grouped.mapInArrow(run, "a long, b long")
 
 
+def _linked(own: DataFrame, least: Column, radius: int) -> DataFrame:
+    """(fp, least, root) of every fingerprint: ``least`` over its rows, and its component's root."""
+    nodes = materialize(own.groupBy("fp").agg(least.alias("least")), "nodes")
+    roots = connected_components(materialize(links(nodes.select("fp"), radius), "links"))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the least doc_id that links reach."""
     own = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(materialize(links(nodes.select("fp"), radius), "links"))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = _linked(own, F.min("doc_id"), radius)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(linked.join(least, "root").select("fp", "component_id"), "classes")
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -137,12 +144,18 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: the one with its least doc_id (of repeated rows, one).
+    """``docs`` with one row of each component: the one with its least doc_id, then text hash (of repeated rows, one).
 
-    Rows without an id can't be told apart by it, so they all stay.
+    It is rows that stay or go, so an id on two texts can stay twice. Null ids come last. Rows with
+    neither id nor text hold nothing to be a copy of, so they all stay.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    first = near_duplicates(named, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    row = fresh(docs, "copy")
-    kept = named.join(first, "doc_id", "left_semi").withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return kept.filter(F.col(row) == 1).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    nothing = F.col("doc_id").isNull() & F.col("text").isNull()
+    rows = docs.filter(~nothing)
+    own = materialize(fingerprints(rows, hashed=True), "fingerprints")
+    linked = _linked(own, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")), radius)
+    id_, hash_, row = (fresh(docs, x) for x in ("first_id", "text_hash", "copy"))
+    first = linked.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(id_), F.col("least.hash").alias(f"{hash_}_"))
+    keyed = rows.withColumn(hash_, F.xxhash64("text"))
+    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(f"{hash_}_")), "left_semi")
+    once = kept.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", hash_).orderBy(hash_))).filter(F.col(row) == 1)
+    return once.select(*docs.columns).unionByName(docs.filter(nothing))

@@ -114,6 +114,15 @@ def test_simhash_edges(messy, empty):
     assert simhash.near_duplicates(empty).collect() == []
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(4))
+    rows = [(2, a), (2, b), (1, b), (3, c), (3, c), (None, c), (None, d), (None, d), (2, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # one id on two unrelated texts: only the text that another document has goes with it
+    assert sorted(map(tuple, kept), key=repr) == sorted([(2, a), (1, b), (3, c), (None, d)], key=repr)
+
+
 # ---------------------------------------------------------------------------------------------
 # suffix-array dedup
 
