@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 1_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 4_000_000
 _SCRATCH: dict[str, SparkSession] = {}
 _PATHS: dict[int, str] = {}
 
@@ -27,11 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder stands in for it.
+    Where that setting is absent, a temporary folder stands in for it if the session runs in one
+    process (tests, a laptop); on a cluster, whose machines don't share one, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.environ.get("QUARRYLAKE_SCRATCH") or os.path.join(tempfile.gettempdir(), "quarrylake-scratch")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "quarrylake-scratch")
     return root.rstrip("/")
 
 
@@ -51,13 +54,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, about to go through Python: its session sends at most ``BATCH_ROWS`` rows to a worker at once.
+    """``df``, about to go through Python: a worker gets at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at once.
 
-    Texts can be long, and Spark's own default of 10,000 rows a batch would hold too many of them.
+    Texts can be long, and Spark's own defaults (10,000 rows of any size) would hold too many of them.
+    The settings are the session's, read when the plan runs, so they stay; smaller ones are left alone.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "0")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df
 
 

@@ -2,8 +2,9 @@
 
 Known words score by their log frequency in each language. A word no language knows is cut into
 character n-grams (its ends marked): the longest length of which some n-gram is known decides, at a
-price for each step down. Frequencies are learnt from a bounded sample of labelled documents and
-sent to the tasks; every whole text is scored.
+price for each step down. Frequencies are learnt from a bounded sample of labelled documents: every
+item that occurs ``LEAST_COUNT`` times there is kept, so it is the sample alone that bounds what is
+sent to the tasks. Every whole text is scored.
 
 Defined cases: a null text, or one without letters, gets ``und`` and score 0, as does every text
 where nothing could be learnt (no labelled rows); a null label isn't learnt from; repeated rows are
@@ -19,13 +20,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import bounded, fresh, held_out
+from quarrylake.llm.common import bounded, held_out
 
-#: Labelled documents to learn from (by hash of the id, so in expectation), and the bound of the model.
-SAMPLE_DOCUMENTS, WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE, LONGEST_GRAM = 20_000, 30_000, 20_000, 4
+#: Labelled documents to learn from (by hash of the id, so in expectation), and how often an item has to occur in them.
+SAMPLE_DOCUMENTS, LEAST_COUNT, LONGEST_GRAM = 20_000, 2, 4
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,22 +43,33 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies of words and n-grams, one column a language."""
+    """Log frequencies of words and n-grams, one column a language.
 
-    def __init__(self, languages: list[str], tables: list[dict[str, list[float]]], drop: float = 1.0):
-        """``tables``: words first, then n-grams by falling length; ``drop``: log price of a step down."""
+    Words are looked up in a dictionary, n-grams in sorted arrays, which hold many times as many in
+    the same memory; a Python worker keeps one model.
+    """
+
+    def __init__(self, languages: list[str], tables: list[tuple[list[str], np.ndarray]], drop: float = 1.0):
+        """``tables``: (items, a row of log frequencies each) of words first, then of n-grams by falling length; ``drop``: log price of a step down."""
         self.languages = languages
-        self.words = {w: i for i, w in enumerate(tables[0])}
-        self.matrix = np.array(list(tables[0].values()) or np.zeros((0, len(languages))), np.float64)
-        self.grams = [{g: i for i, g in enumerate(t)} for t in tables[1:]]
-        self.gram_matrices = [np.array(list(t.values()) or np.zeros((0, len(languages))), np.float64) for t in tables[1:]]
+        self.words = {w: i for i, w in enumerate(tables[0][0])}
+        self.matrix = np.asarray(tables[0][1], np.float32).reshape(len(tables[0][0]), len(languages))
+        self.grams, self.gram_rows = [], []
+        for step, (items, rows) in enumerate(tables[1:]):
+            known = np.array(items, f"U{len(tables) - 1 - step}")
+            order = np.argsort(known)
+            self.grams.append(known[order])
+            self.gram_rows.append(np.asarray(rows, np.float32).reshape(len(items), len(languages))[order])
         self.drop = drop
 
     def unseen(self, word: str) -> np.ndarray:
-        for step, known in enumerate(self.grams):
-            found = [known[g] for g in grams(word, len(self.grams) - step) if g in known]
-            if found:
-                return self.gram_matrices[step][found].mean(axis=0) - self.drop * (step + 1)
+        for step, (known, rows) in enumerate(zip(self.grams, self.gram_rows, strict=True)):
+            asked = np.array(grams(word, len(self.grams) - step), known.dtype)
+            if len(known) and len(asked):
+                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                at = at[known[at] == asked]
+                if len(at):
+                    return rows[at].mean(axis=0, dtype=np.float64) - self.drop * (step + 1)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -82,7 +95,7 @@ class Model:
     @property
     def _unseen(self):
         if "_cache" not in self.__dict__:
-            self.__dict__["_cache"] = lru_cache(50_000)(self.unseen)
+            self.__dict__["_cache"] = lru_cache(20_000)(self.unseen)
         return self.__dict__["_cache"]
 
     def __getstate__(self) -> dict:
@@ -98,52 +111,50 @@ def sample_labelled(docs: DataFrame, label: str, limit: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * limit / n))
 
 
-def train(docs: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> Model:
-    """Learn from ``docs`` (doc_id, text, lang); ids only decide which rows may be learnt from."""
+def train(docs: DataFrame, limit: int = SAMPLE_DOCUMENTS, least: int = LEAST_COUNT) -> Model:
+    """Learn from ``docs`` (doc_id, text, lang) what occurs ``least`` times; ids only decide which rows may be learnt from."""
     rows = sample_labelled(docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull()), "lang", limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: Counter = Counter()
+        totals: dict[tuple[str, int], Counter] = {}
+        held = 0
 
-        def flush() -> pa.RecordBatch:
-            keys = list(totals)
-            cols = [[k[i] for k in keys] for i in range(3)]
-            batch = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array([totals[k] for k in keys], pa.int64())], ["lang", "size", "item", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, size), found in totals.items():
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([size] * n, pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "size", "item", "n"])
             totals.clear()
-            return batch
 
         for batch in batches:
             by_lang: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 by_lang.setdefault(lang, Counter()).update(words(text.as_py()))
             for lang, found in by_lang.items():
-                for word, n in found.items():
-                    totals[lang, 0, word] += n
-                    for size in range(1, LONGEST_GRAM + 1):
-                        for gram in grams(word, size):
-                            totals[lang, size, gram] += n
-            if len(totals) > 200_000:
-                yield flush()
-        yield flush()
+                for size in range(LONGEST_GRAM + 1):
+                    own = totals.setdefault((lang, size), Counter())
+                    held -= len(own)
+                    for word, n in found.items():
+                        for item in grams(word, size) if size else (word,):
+                            own[item] += n
+                    held += len(own)
+            if held > 150_000:
+                yield from flush()
+                held = 0
+        yield from flush()
 
     counted = bounded(rows.select("lang", "text")).mapInArrow(count, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    # the model's bound: so many items of each language and size
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item"))
-    top = counted.filter((F.col("size") > 0) | (F.col("n") > 1)).withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("size") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LANGUAGE))
-    kept = top.select("lang", "size", "item", "n").toPandas()
-    languages = sorted(kept["lang"].unique())
+    kept = counted.filter(F.col("n") >= least).toArrow()  # bounded by the sample of documents
+    languages = sorted(set(kept["lang"].to_pylist()))
     column = {x: i for i, x in enumerate(languages)}
     tables = []
     for size in (0, *range(LONGEST_GRAM, 0, -1)):
-        part = kept[kept["size"] == size]
-        counts: dict[str, np.ndarray] = {}
-        for lang, item, n in zip(part["lang"], part["item"], part["n"], strict=True):
-            counts.setdefault(item, np.zeros(len(languages)))[column[lang]] = n
-        if counts:
-            items, grid = list(counts), np.array(list(counts.values())) + 0.5
-            tables.append(dict(zip(items, np.log(grid / grid.sum(axis=0)).tolist(), strict=True)))
-        else:
-            tables.append({})
+        part = kept.filter(pc.equal(kept["size"], size))
+        place: dict[str, int] = {}
+        cells = [(place.setdefault(item, len(place)), column[lang], n) for lang, item, n in zip(part["lang"].to_pylist(), part["item"].to_pylist(), part["n"].to_pylist(), strict=True)]
+        grid = np.full((len(place), len(languages)), 0.5)
+        for row, col, n in cells:
+            grid[row, col] += n
+        tables.append((list(place), np.log(grid / grid.sum(axis=0)) if cells else grid))
     return Model(languages, tables)
 
 
@@ -167,11 +178,11 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose language can't be told: ``und``, or a score under ``least``."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
-    name = fresh(docs, "sure")
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def sure(texts):
-        found = [sent.value.predict(t) for t in texts]
-        return texts.__class__([lang != UNDETERMINED and score >= least for lang, score in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sent.value.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
 
-    return bounded(docs).withColumn(name, sure("text")).filter(name).drop(name)
+    return bounded(docs).mapInArrow(run, docs.schema)

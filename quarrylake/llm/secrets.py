@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import bounded, fresh
+from quarrylake.llm.common import bounded
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -357,20 +357,23 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every finding replaced by ``mark``; rows and texts without findings stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
-    name = fresh(docs, "redacted")
-
-    @F.pandas_udf("string")
-    def clean(texts):
-        out = []
-        for text in texts:
-            if text:
-                parts, at = [], 0
-                for a, b, _, _ in find([text], sent.value)[0]:
-                    if a >= at:
-                        parts += [text[at:a], mark]
-                    at = max(at, b)
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        return texts.__class__(out, dtype=object)
-
-    return bounded(docs).withColumn(name, clean("text")).withColumn("text", F.col(name)).drop(name)
+    at = docs.columns.index("text")
+
+    def clean(text: str, spans: list[tuple]) -> str:
+        parts, to = [], 0
+        for a, b, *_ in spans:
+            if a >= to:
+                parts += [text[to:a], mark]
+            to = max(to, b)
+        return "".join([*parts, text[to:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                texts = part.column(at).to_pylist()
+                found = find([t or "" for t in texts], sent.value)
+                new = [clean(t, s) if s else t for t, s in zip(texts, found, strict=True)]
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+
+    return bounded(docs).mapInArrow(run, docs.schema)

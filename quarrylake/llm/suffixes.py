@@ -9,7 +9,7 @@ segment. Then
 1. anchors whose k-gram occurs once are left out (a count with map-side sums, then a join);
 2. equal segments of one k-gram collapse to the earliest, all others go whole;
 3. k-grams with several different segments send these segments' bytes to one place, where blocks of
-   about 400 kilobytes are suffix-sorted: triples at two thirds of the places are sorted and named, the
+   about 150 kilobytes are suffix-sorted: triples at two thirds of the places are sorted and named, the
    names are sorted by recursion, the other suffixes are merged in,
    and neighbours in that order whose window-long prefixes are equal form a group; all but the
    earliest of a group go;
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from quarrylake.llm.common import bounded, fresh, materialize, release
 
-WINDOW, GRAM, WIDE, BLOCK_BYTES = 100, 32, 6_000, 400_000
-_PIECE = 400_000  # windows hashed at once
+WINDOW, GRAM, WIDE, BLOCK_BYTES = 100, 32, 2_000, 150_000
+_PIECE = 100_000  # windows hashed at once
 _FIRST = -(1 << 63)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -347,19 +347,32 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide: int
 
     Documents of which nothing is left go; those that were null or empty before stay as they are.
     """
-    id_, h, runs, left = (fresh(docs, x) for x in ("cut_id", "cut_h", "cut_runs", "cut_text"))
+    id_, h, runs = (fresh(docs, x) for x in ("cut_id", "cut_h", "cut_runs"))
     gone = runs_to_remove(_base(docs), window, gram, wide).groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     gone = gone.select(F.col("id").alias(id_), F.col("h").alias(h), F.transform("runs", lambda r: F.array(r["first"], r["last"])).alias(runs))
-
-    @F.pandas_udf("string")
-    def rest(texts, found):
-        out = [t if r is None or t is None else cut(t.encode(), [tuple(x) for x in r], window)[1].decode("utf-8", "ignore") for t, r in zip(texts, found, strict=True)]
-        return texts.__class__(out, dtype=object)
-
     keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))).withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
-    cut_out = bounded(keyed).join(gone, [id_, h], "left").withColumn(left, rest("text", runs))
-    kept = cut_out.filter(F.col(runs).isNull() | (F.length(left) > 0))
-    return kept.select(*[F.col(left).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    joined = keyed.join(gone, [id_, h], "left").select(*docs.columns, runs)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(batch.num_columns - 1)
+            part = batch.select(range(batch.num_columns - 1))
+            if found.null_count < batch.num_rows:
+                new, keep = [], []
+                for text, r in zip(part.column(at), found, strict=True):
+                    text, r = text.as_py(), r.as_py()
+                    if r is not None and text is not None:
+                        text = cut(text.encode(), [tuple(x) for x in r], window)[1].decode("utf-8", "ignore")
+                        keep.append(bool(text))
+                    else:
+                        keep.append(True)
+                    new.append(text)
+                field = part.schema.field(at)
+                part = part.set_column(at, field, pa.array(new, field.type)).filter(pa.array(keep, pa.bool_()))
+            yield part
+
+    return bounded(joined).mapInArrow(run, docs.schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wide: int = WIDE) -> DataFrame:

@@ -53,7 +53,8 @@ def test_language_edges(messy, empty):
 
 
 def test_language_backs_off_to_shorter_grams():
-    tables = [{"hund": [0.0, -9.0]}, {}, {"und": [-1.0, -5.0]}, {}, {"q": [-5.0, -1.0]}]
+    none = ([], np.zeros((0, 2)))
+    tables = [(["hund"], [[0.0, -9.0]]), none, (["und"], [[-1.0, -5.0]]), none, (["q"], [[-5.0, -1.0]])]
     model = language.Model(["de", "en"], tables)
     assert model.predict("Hund")[0] == "de"
     assert model.predict("rund")[0] == "de"  # no word, no 4-gram, a known 3-gram
