@@ -5,14 +5,15 @@ A first pass over the ``SEEDS`` longest vectors gives each query a score that it
 fall below. For a bucket that score becomes a local cosine threshold: above 1 the bucket is left
 out; where it is high, coordinates of the query's largest components bound what can qualify
 (coordinate pruning); else only the bucket's vectors that are long enough do (length pruning). What
-is left is verified with exact integer products. Buckets and queries are dealt in blocks of bounded
-size, and each pair of blocks returns k rows a query at most.
+is left is verified with exact integer products. A large bucket is cut into cells by length, so that
+cells drop out whole too, and a cell into blocks of bounded size; the queries that ask a cell are cut
+into blocks of their own. Each pair of blocks returns k rows a query at most.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do
 those of another dimension than the smallest valid vec_id's, nor rows without a vec_id; rows that
 repeat a vec_id are one candidate with the best of their scores (as a query, its least vector);
-ties go to the smaller vec_id; fewer candidates than k give fewer rows. Components are taken to be
-under 2 ** 27 after scaling, which keeps sums within 64 bits.
+ties go to the smaller vec_id; fewer candidates than k give fewer rows. Components of any size are
+multiplied exactly; a component or a score that 64 bits can't hold is an error, never a wrong score.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.llm.common import materialize
 
-RATIO, SEEDS, QUERY_BLOCK, ROW_BLOCK, COORDINATE_FROM, FOCUS = 0.9, 2048, 1024, 8192, 0.6, 4
+RATIO, SLICES, SEEDS, QUERY_BLOCK, ROW_BLOCK, COORDINATE_FROM, FOCUS = 0.9, 16, 2048, 1024, 8192, 0.6, 4
 
 
 def valid(embedding: str | Column) -> Column:
@@ -51,12 +52,34 @@ def quantise(embeddings: DataFrame, scale: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             grid = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            whole = np.floor(scale * grid).astype("<i8")
+            whole = np.floor(scale * grid)
+            if not (np.abs(whole) < 2.0**63).all():
+                raise OverflowError("a scaled component doesn't fit into 64 bits")
+            whole = whole.astype("<i8")
             norm = np.sqrt((whole.astype(np.float64) ** 2).sum(axis=1))
             bucket = np.where(norm > 0, np.ceil(np.log(np.maximum(norm, 1)) / -np.log(RATIO)), -1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket), pa.array(norm), pa.array([v.tobytes() for v in whole], pa.binary())], ["vec_id", "bucket", "norm", "vec"])
-
-    return rows.mapInArrow(run, "vec_id long, bucket int, norm double, vec binary")
+            within = np.where(norm > 0, SLICES * (np.log(np.maximum(norm, 1)) / -np.log(RATIO) - (bucket - 1)), 0)
+            part = np.clip(np.ceil(within) - 1, 0, SLICES - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket), pa.array(part), pa.array(norm), pa.array([v.tobytes() for v in whole], pa.binary())], ["vec_id", "bucket", "slice", "norm", "vec"])
+
+    return rows.mapInArrow(run, "vec_id long, bucket int, slice int, norm double, vec binary")
+
+
+def cells(counts: dict[tuple[int, int], int], rows: int) -> list[tuple[int, int, int, int, float]]:
+    """(bucket, slice, cell, blocks, longest): slices of like length joined until they hold ``rows`` rows."""
+    out: list[tuple[int, int, int, int, float]] = []
+    cell = 0
+    for bucket in sorted({b for b, _ in counts}):
+        held: list[tuple[int, int]] = []
+        parts = sorted((s, n) for (b, s), n in counts.items() if b == bucket)
+        for i, part in enumerate(parts):
+            held.append(part)
+            n = sum(x for _, x in held)
+            if n >= rows or i + 1 == len(parts):
+                longest = float(RATIO ** -(bucket - 1 + (held[-1][0] + 1) / SLICES)) if bucket >= 0 else 0.0
+                out += [(bucket, s, cell, -(-n // rows), longest) for s, _ in held]
+                cell, held = cell + 1, []
+    return out
 
 
 def _grid(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -68,9 +91,15 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
+    most = max(abs(int(a.min())), int(a.max())) * max(abs(int(b.min())), int(b.max())) * a.shape[1]
+    if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if most < 2**63:
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T  # Python's integers
+    if max(map(abs, exact.ravel())) >= 2**63:
+        raise OverflowError("an inner product doesn't fit into 64 bits")
+    return exact.astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
@@ -109,9 +138,8 @@ def top_products(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int
     """(query_id, rank, vec_id, score): the k best integer products of each row whose vec_id ``every`` divides."""
     spark = embeddings.sparkSession
     rows = materialize(quantise(embeddings, scale), "quantised")
-    sizes = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {(r["bucket"], r["slice"]): r["n"] for r in rows.groupBy("bucket", "slice").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the range of lengths
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "norm")).alias("q")).select(F.col("vec_id").alias("query_id"), "q.*")
-    n_queries = max(1, queries.count())
     seeds = rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "vec").toArrow()
     seed_ids, seed_grid = np.array(seeds.column(0).to_pylist(), np.int64), _grid(seeds.column(1))
     sent = spark.sparkContext.broadcast((seed_ids, seed_grid))
@@ -127,17 +155,21 @@ def top_products(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int
                     out.append(float(found[-1][1]) if len(found) == k else -1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], ["query_id", "vec", "norm", "floor"])
 
-    q_blocks = -(-n_queries // QUERY_BLOCK)
-    floored = materialize(queries.mapInArrow(floors, "query_id long, vec binary, norm double, floor double"), "floors").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-    # a bucket's greatest length is known from its number, so whole buckets drop out per query here
-    shape = [(b, -(-n // ROW_BLOCK), float(RATIO**-b) if b >= 0 else 0.0) for b, n in sizes.items()]
-    buckets = F.broadcast(spark.createDataFrame(shape, "bucket int, blocks int, longest double"))  # bounded by the range of lengths
-    may = (F.col("floor") <= 0) | (F.col("norm") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("floor"))
-    asked = floored.join(buckets, may).select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "q_block", "query_id", "vec", "norm", "floor")
-    wanted = asked.select("bucket", "q_block").distinct()
-    dealt = rows.join(buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).join(wanted, "bucket")
-    keys = ["bucket", "block", "q_block"]
-    dealt = dealt.select(*[F.col(c).alias(c) for c in keys], "vec_id", "vec", "norm")
+    floored = materialize(queries.mapInArrow(floors, "query_id long, vec binary, norm double, floor double"), "floors")
+    # a cell's greatest length is known from its number, so whole cells drop out per query here
+    shape = cells(sizes, ROW_BLOCK)
+    known = sorted({(c, blocks, longest) for _, _, c, blocks, longest in shape})
+    listed = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(n).alias("blocks"), F.lit(longest).alias("longest")) for c, n, longest in known]) if known else F.array().cast("array<struct<cell: int, blocks: int, longest: double>>")
+    may = F.filter(listed, lambda c: (F.col("floor") <= 0) | (F.col("norm") * c["longest"] * (1 + 1e-9) + 1 >= F.col("floor")))
+    asked = floored.select("query_id", "vec", "norm", "floor", F.explode(may).alias("c")).select("c.cell", "c.blocks", "query_id", "vec", "norm", "floor")
+    visits = F.broadcast(materialize(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_blocks")), "visits"))  # a row a cell
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(visits, "cell").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int"))
+    asked = asked.select("cell", every_one("blocks").alias("block"), "q_block", "query_id", "vec", "norm", "floor")
+    placed = F.broadcast(spark.createDataFrame([x[:4] for x in shape], "bucket int, slice int, cell int, blocks int"))
+    dealt = rows.join(placed, ["bucket", "slice"]).join(visits, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    keys = ["cell", "block", "q_block"]
+    dealt = dealt.select("cell", "block", every_one("q_blocks").alias("q_block"), "vec_id", "vec", "norm")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
