@@ -2,12 +2,14 @@
 
 Centroids are fitted to a bounded sample by k-means that charges full clusters, and linked into a
 graph that is searched in memory (best-first with a beam, many vectors at a time). Each vector goes
-to the list of its nearest centroid, and, where it lies near a boundary, to others whose distance is
-within a ratio and which no chosen centroid already stands in front of. A query visits the lists
-whose centroids lie within a distance ratio of its nearest one; the ratio is set on the sample so
-that the lists hold ``RECALL`` of true neighbours there (denser data only come nearer). Distances to the
-vectors of visited lists are exact. Lists are dealt in blocks of bounded size, so a list of many
-equal vectors is spread.
+to the list of least distance and charge, and, where it lies near a boundary, to others whose distance
+is within a ratio (set on the sample) and which no chosen centroid already stands in front of. A query
+visits the lists whose centroids lie within a distance ratio of its nearest one; the ratio is set on the
+sample so that the lists hold ``RECALL`` of true neighbours there (denser data only come nearer). All
+of this is relative, so the unit of the vectors doesn't matter. Distances to the vectors of visited
+lists are exact. Lists are dealt in blocks of bounded size, so a list of many equal vectors is spread,
+and a list's queries are cut into blocks of their own, so its rows move only as often as its own
+queries ask. Past ``MOST_LISTS`` lists, which bounds the broadcast, lists grow longer instead.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those of another dimension than the smallest valid vec_id's, nor rows without a vec_id; rows that
@@ -29,8 +31,8 @@ from quarrylake.llm.topk import same_dimension, valid
 
 #: Sampled rows, rows a list aims at, most lists (which bounds the broadcast), links of a centroid.
 SAMPLE, LIST_ROWS, MOST_LISTS, LINKS = 16_384, 512, 4096, 24
-#: Distance ratio within which boundary vectors are replicated, and recall aimed at on the sample.
-REPLICATE, RECALL = 1.05, 0.985
+#: Share of vectors that lie near enough to a second list to be weighed for replication, lists a vector at most, recall aimed at on the sample.
+BOUNDARY, COPIES, RECALL = 0.5, 8, 0.985
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
 
@@ -55,22 +57,26 @@ class Index:
         self.graph = np.array([sorted(x) + [i] * (width - len(x)) for i, x in enumerate(self.links)], np.int64).reshape(n, width)
         self.links = None
         self.entries = rng.permutation(n)[: min(n, 8)]
-        self.ratio, self.beam = np.inf, n
+        self.ratio, self.beam, self.replicate, self.copies = np.inf, n, 1.0, 1.0
         self._calibrate(sample, k, rng)
 
-    @staticmethod
-    def _fit(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    def _fit(self, x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
         centre = x[rng.choice(len(x), lists, replace=False)].copy()
         charge, mean = np.zeros(lists), len(x) / lists
         for _ in range(rounds):
-            own = np.empty(len(x), np.int64)
+            own, near = np.empty(len(x), np.int64), np.empty(len(x))
             for at in range(0, len(x), 2048):
-                own[at : at + 2048] = (_distances(x[at : at + 2048], centre) + charge).argmin(1)
+                d = _distances(x[at : at + 2048], centre)
+                own[at : at + 2048] = (d + charge).argmin(1)
+                near[at : at + 2048] = d.min(1)
             size = np.bincount(own, minlength=lists)
             total = np.zeros_like(centre)
             np.add.at(total, own, x)
             centre[size > 0] = total[size > 0] / size[size > 0, None]
-            charge += 0.02 * (size / mean - 1)  # a full list grows dearer, an empty one cheaper
+            # a full list grows dearer, an empty one cheaper, in the data's own unit
+            charge += 0.05 * near.mean() * np.clip(size / mean - 1, -1, 1)
+            charge -= charge.min()
+        self.charge = charge
         return centre
 
     def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,28 +114,39 @@ class Index:
             at, dist, done = np.hstack([at, nodes]), np.hstack([dist, far]), np.hstack([done, np.zeros(far.shape, bool)])
 
     def lists_of(self, x: np.ndarray) -> list[list[int]]:
-        """Lists that take each vector: the nearest, and boundary ones."""
-        at, dist = self.search(x, 8)
+        """Lists that take each vector: the nearest by distance and charge, and boundary ones, ``COPIES`` in all at most."""
+        at, dist = self.search(x, COPIES)
+        order = np.argsort(dist + self.charge[at], axis=1, kind="stable")
+        at, dist = np.take_along_axis(at, order, 1), np.take_along_axis(dist, order, 1)
         out = []
         for row, d in zip(at, dist, strict=True):
             chosen = [int(row[0])]
             for j in range(1, len(row)):
-                if not d[j] <= REPLICATE * d[0]:
-                    break
-                if all(np.linalg.norm(self.centroids[row[j]] - self.centroids[c]) >= d[j] for c in chosen):
+                if d[j] <= self.replicate * d.min() and all(np.linalg.norm(self.centroids[row[j]] - self.centroids[c]) >= d[j] for c in chosen):
                     chosen.append(int(row[j]))
             out.append(chosen)
         return out
 
     def probes(self, x: np.ndarray) -> list[list[int]]:
-        """Lists a query visits: those within the distance ratio of its nearest."""
-        at, dist = self.search(x, self.beam)
-        return [row[d <= self.ratio * d[0] + 1e-12].tolist() for row, d in zip(at, dist, strict=True)]
+        """Lists a query visits: all that the search finds within the distance ratio of its nearest, however many."""
+        out: list[list[int]] = [[] for _ in x]
+        todo, beam = np.arange(len(x)), self.beam
+        while len(todo):
+            at, dist = self.search(x[todo], beam)
+            inside = dist <= self.ratio * dist[:, :1] + 1e-12
+            full = inside.all(1) & (beam < len(self.centroids))
+            for q, row, near in zip(todo[~full], at[~full], inside[~full], strict=True):
+                out[q] = row[near].tolist()
+            todo, beam = todo[full], min(2 * beam, len(self.centroids))
+        return out
 
     def _calibrate(self, sample: np.ndarray, k: int, rng: np.random.Generator) -> None:
         if len(sample) < 2:
             return
         pick = rng.choice(len(sample), min(256, len(sample)), replace=False)
+        # boundary: as far as the second list of every other vector is
+        _, two = self.search(sample[pick], 2)
+        self.replicate = max(1.0, float(np.quantile(two[:, -1] / np.maximum(two[:, 0], 1e-12), BOUNDARY)))
         d = _distances(sample[pick], sample)
         d[np.arange(len(pick)), pick] = np.inf
         near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
@@ -138,6 +155,7 @@ class Index:
         homes = dict(zip(met.tolist(), self.lists_of(sample[met]), strict=True))
         need = [min(to[q, homes[int(i)]]) / max(to[q].min(), 1e-12) for q, row in enumerate(near) for i in row]
         self.ratio = float(np.quantile(need, RECALL)) * (1 + 1e-9)
+        self.copies = sum(map(len, homes.values())) / max(1, len(homes))
         self.beam = min(len(self.centroids), int(1.2 * (to <= self.ratio * to.min(1)[:, None]).sum(1).max()) + 1)
 
 
@@ -190,14 +208,16 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     posted = materialize(_with_lists(rows, sent, "lists_of"), "posted")
     one = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     asked = materialize(_with_lists(one, sent, "probes"), "asked").withColumnsRenamed({"vec_id": "query_id"})
-    q_blocks = -(-max(1, rows.filter(F.col("vec_id") % every == 0).count()) // QUERY_BLOCK)
-    sizes = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("blocks")))  # MOST_LISTS rows at most
-    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).join(sizes, "list")
-    wanted = asked.select("list", "q_block").distinct()
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "q_block", "query_id", "vec")
-    dealt = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).join(wanted, "list")
+    # MOST_LISTS rows at most: blocks of a list's rows, and of the queries that ask it
+    sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("blocks"))
+    visits = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_blocks"))
+    shape = F.broadcast(materialize(sizes.join(visits, "list"), "shape"))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(shape, "list").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int"))
+    asked = asked.select("list", every_one("blocks").alias("block"), "q_block", "query_id", "vec")
+    dealt = posted.join(shape, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     keys = ["list", "block", "q_block"]
-    dealt = dealt.select(*[F.col(c).alias(c) for c in keys], "vec_id", "vec")
+    dealt = dealt.select("list", "block", every_one("q_blocks").alias("q_block"), "vec_id", "vec")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []

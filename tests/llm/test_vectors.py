@@ -79,6 +79,35 @@ def test_neighbour_edges(awkward):
     assert ann.nearest(awkward.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("unit", [0.001, 1.0, 100.0])
+def test_recall_over_many_lists_in_any_unit(spark, monkeypatch, unit):
+    for name, value in (("LIST_ROWS", 128), ("QUERY_BLOCK", 16), ("ROW_BLOCK", 96)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 16)) * 2
+    grid = (centres[rng.integers(0, 40, 8000)] + rng.standard_normal((8000, 16))) * unit
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(grid)], "vec_id long, embedding array<double>")
+    index = ann.fit(ann.usable(frame))
+    assert len(index.centroids) == 62 and 1.05 < index.copies <= ann.COPIES
+    homes = np.bincount([x[0] for x in index.lists_of(grid)], minlength=62)
+    assert homes.max() < 3 * homes.mean()
+    want = brute([(i, v) for i, v in enumerate(grid)], 100, 10, distance, lambda v: v[0], min)
+    got = grouped(ann.nearest(frame).collect())
+    hits = sum(len({x for x, _ in got[q]} & {x for x, _ in want[q]}) for q in want)
+    assert set(got) == set(want) and hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_queries_visit_every_list_within_the_ratio():
+    rng = np.random.default_rng(9)
+    index = ann.Index(rng.standard_normal((3000, 8)), 120, 10)
+    index.beam = 1  # too narrow a search is widened
+    asked = rng.standard_normal((50, 8))
+    d = ann._distances(asked, index.centroids)
+    inside = [set(np.flatnonzero(x <= index.ratio * x.min())) for x in d]
+    found = [set(x) for x in index.probes(asked)]
+    assert sum(len(a & b) for a, b in zip(found, inside, strict=True)) / sum(map(len, inside)) > 0.9
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(5)
     index = ann.Index(rng.standard_normal((3000, 8)), 120, 10)
@@ -105,6 +134,28 @@ def test_products_equal_brute_force(spark, monkeypatch, seeds):
     assert grouped(topk.top_products(frame).collect()) == want
 
 
+def test_products_in_small_blocks_and_cells(spark, monkeypatch):
+    for name, value in (("SEEDS", 4), ("QUERY_BLOCK", 7), ("ROW_BLOCK", 50)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(16)
+    grid = rng.standard_normal((900, 6)) * np.exp(rng.standard_normal(900))[:, None]
+    grid[300:600] = grid[300]  # a third of all rows in one cell
+    rows = [(i, grid[i]) for i in range(900)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    want = brute([(i, floored(v)) for i, v in rows], 50, 5, lambda g, q: g @ q, lambda v: v[0], max)
+    assert grouped(topk.top_products(frame).collect()) == want
+
+
+def test_products_are_exact_or_an_error(spark):
+    big = np.array([[2**31, 1], [2**31, 3]], np.int64)
+    assert topk.products(big, big).tolist() == [[2**62 + 1, 2**62 + 3], [2**62 + 3, 2**62 + 9]]
+    with pytest.raises(OverflowError):
+        topk.products(big * 4, big * 4)
+    far = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_products(far).collect()
+
+
 def test_product_edges(awkward):
     got = grouped(topk.top_products(awkward).collect())
     want = brute([(i, floored(v)) for i, v in usable(zero=True)], 50, 5, lambda g, q: g @ q, lambda v: min(v, key=lambda x: x.astype("<i8").tobytes()), max)
