@@ -42,6 +42,8 @@ _VALUES = (
 LEAST_RUN, STEP = 16, 16
 #: Documents sampled for labelled findings, findings of each class used, window, filters, aims.
 SAMPLE, FINDINGS, BEFORE, INSIDE, AFTER, WIDTH, FILTERS, EPOCHS, RECALL = 4_000, 1_500, 24, 48, 16, 5, 24, 8, 0.97
+#: Of a sampled document: base findings and long words learnt from, and the length up to which they are.
+SPANS_EACH, WORDS_EACH, LONGEST = 4, 2, 1_000
 _LENGTH = BEFORE + INSIDE + AFTER
 _PLAIN = "0 \n" + string.punctuation
 _CODE = np.full(128, 27 + len(_PLAIN), np.int64)
@@ -213,30 +215,103 @@ class Network:
             self.threshold = float(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)])
 
 
-def generated(n: int, seed: int = 3) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) of made-up secrets and look-alikes of known forms."""
-    rng = random.Random(seed)
-    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    alnum, hexa, b64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
-    syllables = ["an", "er", "the", "ion", "ou", "re", "men", "tra", "ver", "sta", "le", "qui"]
-    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-    secrets = [
-        lambda: ("", f"ghp_{pick(alnum, 36)}"), lambda: ("", f"xoxb-{pick(string.digits, 12)}-{pick(alnum, 24)}"), lambda: ("", f"sk_live_{pick(alnum, 24)}"),
-        lambda: ("Bearer ", f"eyJ{pick(alnum, 20)}-{pick(alnum, 30)}"), lambda: ("aws_secret ", pick(b64, 40)), lambda: ("", f"AIza{pick(alnum + '_-', 35)}"),
-        lambda: (f"{rng.choice(['pwd', 'pass', 'auth', 'credential', 'private_key'])}{rng.choice(['=', ': ', ' = '])}", pick(alnum, rng.randint(16, 40))), lambda: ("key ", pick(hexa, rng.randint(20, 31))),
-    ]
-    others = [
-        lambda: ("", f"{pick(hexa, 8)}-{pick(hexa, 4)}-4{pick(hexa, 3)}-a{pick(hexa, 3)}-{pick(hexa, 12)}"), lambda: ("", f"{word()}-{word()}-{word()}-{word()}-{rng.randint(1, 2030)}"),
-        lambda: ("see ", f"/{word()}/{word()}/{word()}/page{rng.randint(1, 99)}"), lambda: ("on ", f"20{rng.randint(10, 29)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-{rng.randint(10, 59)}Z-{word()}"),
-        lambda: ("", f"{word()}_{word()}_{word()}_{word()}_v{rng.randint(1, 20)}"), lambda: ("ISBN ", f"978-{pick(string.digits, 1)}-{pick(string.digits, 4)}-{pick(string.digits, 4)}-X"), lambda: ("", word() + word() + word() + word() + word() + str(rng.randint(1, 9))),
-        lambda: ("", "=" * rng.randint(8, 20) + word() + str(rng.randint(1, 9)) + "-" * 12),
-    ]
-    out = []
+class _Maker:
+    """Draws of made-up secrets and look-alikes, each form by its name."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def draw(self, chars: str, low: int, high: int | None = None) -> str:
+        return "".join(self.rng.choice(chars) for _ in range(self.rng.randint(low, high or low)))
+
+    def word(self) -> str:
+        return "".join(self.rng.choice(("an", "er", "the", "ion", "ou", "re", "men", "tra", "ver", "sta", "le", "qui", "ba", "si", "con", "lo")) for _ in range(self.rng.randint(1, 4)))
+
+    def path(self) -> str:
+        return "/" + "/".join(self.word() for _ in range(self.rng.randint(3, 16))) + "/"
+
+    def name(self) -> str:
+        return self.rng.choice(["password", "pass", "pwd", "secret", "token", "credential", "auth", "login", "api_key", "private_key", "key"])
+
+    def to(self) -> str:
+        return self.rng.choice(["=", ": ", " = ", ":", '="'])
+
+    def key(self) -> str:
+        mark = self.rng.choice(["ghp_", "sk_live_", "AIza", "", self.draw(string.ascii_lowercase, 2, 5) + self.rng.choice("_-")])
+        return mark + self.draw(_ALNUM, 24, 40)
+
+    def secret(self, form: str) -> tuple[str, str]:
+        """(lead, body) of a secret of a form."""
+        r, d = self.rng, self.draw
+        alnum, hexa, marks = _ALNUM, "0123456789abcdef", "!@#$%^&*?.~"
+        match form:
+            case "prefixed":
+                return "", d(string.ascii_letters, 2, 6) + r.choice(["_", "-", "_live_", "_test_", "-v1-", ""]) + d(alnum, 20, 44)
+            case "repository":
+                return "", "ghp_" + d(alnum, 36)
+            case "chat":
+                return "", "xoxb-" + d(string.digits, 12) + "-" + d(alnum, 24)
+            case "payment":
+                return "", "sk_live_" + d(alnum, 24)
+            case "maps":
+                return "", "AIza" + d(alnum + "_-", 35)
+            case "bearer":
+                return "Bearer ", f"eyJ{d(alnum, 20)}-{d(alnum, 30)}" if r.random() < 0.5 else f"eyJ{d(alnum, 20)}.eyJ{d(alnum, 40)}.{d(alnum + '_-', 43)}"
+            case "base64":
+                return r.choice(["aws_secret ", "key ", ""]), d(alnum + "+/", 40, 88) + r.choice(["", "=", "=="])
+            case "named":
+                return self.name() + self.to(), d(alnum, 6, 40)
+            case "hexadecimal":
+                return r.choice(["key ", "", ""]), d(hexa, 20, 31)
+            case "upper_hexadecimal":
+                return r.choice(["key ", "", "id "]), d(hexa.upper(), 20, 64)
+            case "base32":
+                return r.choice(["otp ", ""]), d("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 26, 52)
+            case "behind_path":
+                return "", self.path() + self.key()
+            case "behind_filler":
+                return "", r.choice("=-_") * r.randint(30, 90) + self.key()
+            case "inside_path":
+                return "", self.path() + self.key() + "/" + self.word() + "/" + self.word()
+            case "long":
+                return "key ", d(alnum + "+/", 60, 160)
+            case "letters":
+                return self.name() + self.to(), d(r.choice([string.ascii_letters, string.ascii_lowercase]), 8, 30)
+            case "split":
+                return self.name() + self.to(), d(alnum, 3, 8) + d(marks, 1, 2) + d(alnum, 3, 8)
+            case "told":
+                return self.name() + r.choice([" ", " is "]), d(alnum + marks, 8, 15) + d(alnum, 1)
+        raise ValueError(form)
+
+    def other(self) -> tuple[str, str]:
+        """(lead, body) of something that only looks like one."""
+        r, d, w = self.rng, self.draw, self.word
+        hexa, digits = "0123456789abcdef", string.digits
+        return r.choice((
+            lambda: ("", f"{d(hexa, 8)}-{d(hexa, 4)}-4{d(hexa, 3)}-a{d(hexa, 3)}-{d(hexa, 12)}"), lambda: ("", f"{w()}-{w()}-{w()}-{w()}-{r.randint(1, 2030)}"), lambda: ("see ", f"/{w()}/{w()}/{w()}/page{r.randint(1, 99)}"),
+            lambda: ("on ", f"20{d(digits, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}Z-{w()}"), lambda: ("", f"{w()}_{w()}_{w()}_{w()}_v{r.randint(1, 20)}"),
+            lambda: ("ISBN ", f"978-{d(digits, 1)}-{d(digits, 4)}-{d(digits, 4)}-X"), lambda: ("", w() + w() + w() + w() + w() + str(r.randint(1, 9))), lambda: ("", "=" * r.randint(8, 20) + w() + str(r.randint(1, 9)) + "-" * 12),
+            lambda: ("", self.path() + f"page{r.randint(1, 99)}"), lambda: ("", self.path() + w() + str(r.randint(1, 9)) + self.path() + w()), lambda: ("", r.choice("=-_") * r.randint(30, 90) + w() + str(r.randint(1, 99))),
+            lambda: ("", "-".join(w() for _ in range(r.randint(8, 20))) + f"-{r.randint(1, 2030)}"), lambda: ("", f"{w()}.{r.randint(1, 99)}@{w()}{r.randint(1, 9)}.{w()}.com"),
+            lambda: ("https:", f"//www.{w()}{w()}.com{self.path()}{w()}?id={r.randint(1, 9999)}"), lambda: ("", ".".join(w() for _ in range(r.randint(4, 8))) + f".{r.randint(1, 99)}"),
+            lambda: (self.name() + r.choice([" ", " is ", " was "]), w() + w() + w()), lambda: (self.name() + " ", r.choice(["required", "missing", "management", "expired", "rotation", "changed", "reset,then"])),
+            lambda: ("", w().title() + w() + "!!" + w() + "..." + w() + str(r.randint(1, 99))), lambda: ("", f"{w().upper()}_{w().upper()}_{w().upper()}_{w().upper()}{r.randint(1, 99)}"), lambda: ("no ", d(digits, 4) + "-" + d(digits, 4) + "-" + w().upper() + d(digits, 8)),
+        ))()
+
+
+_ALNUM = string.ascii_letters + string.digits
+FORMS = ("prefixed", "repository", "chat", "payment", "maps", "bearer", "base64", "named", "hexadecimal", "upper_hexadecimal", "base32", "behind_path", "behind_filler", "inside_path", "long", "letters", "split", "told")
+
+
+def generated(n: int, seed: int = 3, forms: tuple[str, ...] = FORMS) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label) of made-up secrets of ``forms``, and as many look-alikes."""
+    maker = _Maker(seed)
+    rng, out = maker.rng, []
     for i in range(n):
         label = i % 2
-        lead, body = rng.choice(secrets if label else others)()
-        text = " ".join(word() for _ in range(rng.randint(0, 6))) + " " + lead + body
-        out.append((text + rng.choice(["", " ", ".", '"']) + " ".join(word() for _ in range(rng.randint(0, 4))), len(text) - len(body), len(text), label))
+        lead, body = maker.secret(rng.choice(forms)) if label else maker.other()
+        text = " ".join(maker.word() for _ in range(rng.randint(0, 6))) + " " + lead + body
+        out.append((text + rng.choice(["", " ", ".", '"']) + " ".join(["", *(maker.word() for _ in range(rng.randint(0, 4)))]), len(text) - len(body), len(text), label))
     return out
 
 
@@ -246,44 +321,12 @@ def as_asked(item: tuple[str, int, int]) -> tuple[str, int, int] | None:
     return next(((text, a, b) for a, b in candidates(text, base_spans(text)) if a <= start and end <= b), None)
 
 
-def generated_wide(n: int, seed: int = 7) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) like ``generated``: keys behind long filler, long, short, letter-only and split ones, and look-alikes."""
-    rng = random.Random(seed)
-    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    alnum, letters, marks = string.ascii_letters + string.digits, string.ascii_letters, "!@#$%^&*?.~"
-    syllables = ["an", "er", "the", "ion", "ou", "re", "men", "tra", "ver", "sta", "le", "qui"]
-    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-    path = lambda: "/" + "/".join(word() for _ in range(rng.randint(3, 16))) + "/"
-    key = lambda: rng.choice([f"ghp_{pick(alnum, 36)}", f"sk_live_{pick(alnum, 24)}", f"AIza{pick(alnum + '_-', 35)}", pick(alnum, rng.randint(24, 40))])
-    name = lambda: rng.choice(["password", "pass", "pwd", "secret", "token", "credential", "auth", "login", "api_key", "private_key", "key"])
-    to = lambda: rng.choice(["=", ": ", " = ", ":", '="'])
-    secrets = [
-        lambda: ("", path() + key()), lambda: ("", rng.choice("=-_") * rng.randint(30, 90) + key()), lambda: ("", path() + key() + "/" + word() + "/" + word() + "/" + word()),
-        lambda: ("key ", pick(alnum + "+/", rng.randint(60, 160))), lambda: ("Bearer ", f"eyJ{pick(alnum, 20)}.eyJ{pick(alnum, 40)}.{pick(alnum + '_-', 43)}"),
-        lambda: (name() + to(), pick(letters, rng.randint(8, 30))), lambda: (name() + to(), pick(string.ascii_lowercase, rng.randint(8, 24))),
-        lambda: (name() + to(), pick(alnum, rng.randint(6, 15))), lambda: (name() + to(), pick(alnum, rng.randint(3, 8)) + pick(marks, rng.randint(1, 2)) + pick(alnum, rng.randint(3, 8))),
-        lambda: (name() + rng.choice([" ", " is "]), pick(alnum + marks, rng.randint(8, 15)) + pick(alnum, 1)),
-    ]
-    others = [
-        lambda: ("", path() + f"page{rng.randint(1, 99)}"), lambda: ("", path() + word() + str(rng.randint(1, 9)) + path() + word()), lambda: ("", rng.choice("=-_") * rng.randint(30, 90) + word() + str(rng.randint(1, 99))),
-        lambda: ("", "-".join(word() for _ in range(rng.randint(8, 20))) + f"-{rng.randint(1, 2030)}"), lambda: ("", f"{word()}.{rng.randint(1, 99)}@{word()}{rng.randint(1, 9)}.{word()}.com"),
-        lambda: ("https:", f"//www.{word()}{word()}.com{path()}{word()}?id={rng.randint(1, 9999)}"), lambda: ("", ".".join(word() for _ in range(rng.randint(4, 8))) + f".{rng.randint(1, 99)}"),
-        lambda: (name() + rng.choice([" ", " is ", " was "]), word() + word() + word()), lambda: (name() + " ", rng.choice(["required", "missing", "management", "expired", "rotation", "changed", "reset,then"])),
-        lambda: ("", word().title() + word() + "!!" + word() + "..." + word() + str(rng.randint(1, 99))),
-    ]
-    out = []
-    for i in range(n):
-        label = i % 2
-        lead, body = rng.choice(secrets if label else others)()
-        text = " ".join(word() for _ in range(rng.randint(0, 6))) + " " + lead + body
-        out.append((text + rng.choice(["", " ", ".", '"']) + " ".join([" ", *(word() for _ in range(rng.randint(0, 4)))]), len(text) - len(body), len(text), label))
-    return out
-
-
 def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FINDINGS) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label) from about ``sample`` documents: base findings, and long words that are none.
 
-    A word that has the shape of a candidate may be a secret that no base pattern knows, so it is taken for neither.
+    A sampled document gives its first ``SPANS_EACH`` base findings and its ``WORDS_EACH`` longest words; a finding over
+    ``LONGEST`` characters is left out. A word that has the shape of a candidate may be a secret that no base pattern
+    knows, so it is taken for neither.
     """
     n = docs.count()
     part = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", F.lit("findings")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1)) + 1)))
@@ -294,8 +337,8 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
             for cell in batch.column(0):
                 text = cell.as_py()
                 spans = base_spans(text)
-                seen = [(a, b, 1) for a, b, _ in spans[:4]]
-                long_words = heapq.nlargest(2, ((len(m[0]), m.start(), m.end()) for m in re.finditer(r"\S+", text)))
+                seen = [(a, b, 1) for a, b, _ in spans[:SPANS_EACH] if b - a <= LONGEST]
+                long_words = heapq.nlargest(WORDS_EACH, ((len(m[0]), m.start(), m.end()) for m in re.finditer(r"\S+", text) if len(m[0]) <= LONGEST))
                 unsure = [*spans, *((a, b, "model") for a, b in candidates(text, spans))]
                 seen += [(a, b, 0) for _, a, b in long_words if not any(x < b and a < y for x, y, _ in unsure)]
                 out += [(text[max(0, a - BEFORE) : b + AFTER], min(a, BEFORE), min(a, BEFORE) + b - a, y) for a, b, y in seen]
@@ -306,9 +349,9 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
     return [(r["text"], r["start"], r["stop"], r["label"]) for r in rows]
 
 
-def train(docs: DataFrame) -> Network:
-    """A calibrated network from ``docs``'s labelled findings and generated ones."""
-    found = labelled_findings(docs) + generated(2 * FINDINGS) + generated_wide(2 * FINDINGS)
+def train(docs: DataFrame, forms: tuple[str, ...] = FORMS) -> Network:
+    """A calibrated network from ``docs``'s labelled findings and generated ones of ``forms``."""
+    found = labelled_findings(docs) + generated(4 * FINDINGS, forms=forms)
     order = np.random.default_rng(4).permutation(len(found))
     items, labels = [found[i][:3] for i in order], np.array([found[i][3] for i in order], np.float32)
     cut = len(items) * 3 // 4

@@ -138,11 +138,18 @@ def test_network_reads_candidates_to_their_end(spark, small_dir):
     plain = [f"see {'/river/stone/lamp' * rng.randint(4, 9)}/page{i} end" for i in range(60)]
     hits = [sum(any(k == "model" for _, _, k, _ in s) for s in secrets.find(t, net)) for t in (behind, plain)]
     assert hits[0] >= 54 and hits[1] <= 6
-    fresh = secrets.generated_wide(600, seed=98)
-    sure = net.probability([x[:3] for x in fresh]) >= net.threshold
-    labels = np.array([x[3] for x in fresh]) > 0
-    assert (sure & labels).sum() / labels.sum() > 0.9
-    assert (sure & labels).sum() / sure.sum() > 0.9
+
+
+#: Forms that a network which never saw them still recalls; README tells the figures of all.
+@pytest.mark.parametrize("form", ["prefixed", "base64", "inside_path"])
+def test_secrets_of_a_form_left_out_of_training(form):
+    learnt = secrets.generated(4_000, forms=tuple(f for f in secrets.FORMS if f != form))
+    net = secrets.Network()
+    items, labels = [x[:3] for x in learnt], np.array([x[3] for x in learnt], np.float32)
+    net.fit(items[:3000], labels[:3000], epochs=4)
+    net.calibrate(items[3000:], labels[3000:])
+    asked = [c for c in (secrets.as_asked(x[:3]) for x in secrets.generated(600, seed=97, forms=(form,)) if x[3]) if c]
+    assert (net.probability(asked) >= net.threshold).mean() >= 0.9
 
 
 def test_secret_edges(messy, empty):
