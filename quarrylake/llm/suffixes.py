@@ -59,10 +59,10 @@ class _Hasher:
             cls.powers[base] = have
         return have[:n]
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, hashes: int = 2):
         n = len(data)
         self.sums = []
-        for table, base in zip(self.tables, self.bases, strict=True):
+        for table, base in zip(self.tables[:hashes], self.bases[:hashes], strict=True):
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(table[data] * self.power(pow(base, -1, 1 << 64), n), out=sums[1:])
             self.sums.append((sums, self.power(base, n + 1)))
@@ -78,8 +78,8 @@ class _Hasher:
         return self.one(start, end) ^ (self.one(start, end, 1) * np.uint64(0x94D049BB133111EB))
 
 
-def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, place, first window, last window, k-gram hash, segment hash) of every anchor, as arrays."""
+def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM, segments: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, place, first window, last window, k-gram hash, segment hash) of every anchor, as arrays; segment hashes are zero unless asked for."""
     found: list[list[np.ndarray]] = [[] for _ in range(6)]
     held: list[tuple[int, int, bytes]] = []
     size = 0
@@ -89,7 +89,7 @@ def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
         if not held:
             return
         data = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
-        hashes = _Hasher(data)
+        hashes = _Hasher(data, 2 if segments else 1)
         place = np.arange(len(data) - gram + 1)
         least = (hashes.one(place, place + gram) & ~_PLACE) | place.astype(np.uint64)
         width, step = window - gram + 1, 1
@@ -112,7 +112,7 @@ def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
         p, own = at[new], owner[new]
         shift = begins[own] - np.array([x[1] for x in held])[own]
         shape = ((p - first) * 256 + (last - first)).astype(np.uint64)
-        seg = hashes.both(first, last + window) + shape * np.uint64(0x9E3779B97F4A7C15)
+        seg = hashes.both(first, last + window) + shape * np.uint64(0x9E3779B97F4A7C15) if segments else np.zeros(len(p), np.uint64)
         for col, x in zip(found, (np.array([x[0] for x in held])[own], p - shift, first - shift, last - shift, hashes.one(p, p + gram), seg), strict=True):
             col.append(x)
         held.clear()
@@ -292,10 +292,22 @@ def _tidy(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def _anchor_keys(base: DataFrame, window: int, gram: int) -> DataFrame:
+    """(key) of every anchor: all that counting them needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 400):
+                texts = [(x.as_py() or "").encode() for x in batch.slice(at, 400).column(0)]
+                yield _batch([anchors(texts, window, gram, segments=False)[4].view(np.int64)], [pa.int64()], ["key"])
+
+    return bounded(base.select("text")).mapInArrow(run, "key long")
+
+
 def runs_to_remove(base: DataFrame, window: int = WINDOW, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
     """(id, h, first, last): runs of windows of a document that occur earlier. ``base``: id, h, text."""
     rows = _anchor_rows(base, window, gram)
-    often = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "often")
+    often = materialize(_anchor_keys(base, window, gram).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "often")
     _tidy(base)
     met = materialize(rows.join(often, "key"), "met")
     release(often)
