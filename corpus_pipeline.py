@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of ``docs``. Between stages the rows are written as Parquet and read again, so a
-lost executor costs one stage's work at most.
+lost executor costs one stage's work at most; a stage's copy goes once the next stage's is written.
+
+Defined cases, of every stage: an empty table gives an empty table; other columns, whatever their names,
+come through all stages but the last. Texts that are null, empty or without letters go in the first
+stage, as do texts that no language is sure of. Rows that repeat an id and a text are one document,
+and one stays; two texts under one id are two documents; null ids come last in their group. Very
+long texts are read whole. Ties (documents of one age) fall to the smaller hash of the text.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.llm import language, packing, secrets, simhash, suffixes
-from quarrylake.llm.common import materialize, table
+from quarrylake.llm.common import materialize, release, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        release(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
