@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``x``, with ``x`` worked out once however often it is read there."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,44 +28,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
-def grid_to_gfm(grid: Column) -> Column:
-    """Rows of cells as a bar table; short rows are padded, bars in cells escaped; empty for no rows."""
-    width = F.array_max(F.transform(grid, lambda r: F.size(r)))
-    cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    row = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    rendered = F.transform(grid, row)
-    return F.when(F.coalesce(F.size(grid), F.lit(0)) > 0, F.array_join(F.concat(F.slice(rendered, 1, 1), F.array(rule), F.slice(rendered, 2, 100_000)), "\n")).otherwise(F.lit(""))
-
-
-def gfm_cells(gfm: Column) -> Column:
-    """Trimmed cells of a bar table, row by row, rule rows left out."""
-    rows = F.filter(F.split(gfm, "\n"), lambda r: (F.locate("|", r) > 0) & ~r.rlike(r"^[\s|:-]+$"))
-    return F.flatten(F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))))
-
-
-def empty_cell_ratio(gfm: Column) -> Column:
-    cells = gfm_cells(gfm)
-    return F.when(F.size(cells) > 0, F.size(F.filter(cells, lambda c: c == "")) / F.size(cells)).otherwise(F.lit(0.0))
-
-
-def max_empty_run(cells: Column) -> Column:
-    """Longest run of empty cells, row by row."""
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("top"))
-
-    def step(s: Column, c: Column) -> Column:
-        run = F.when(c == "", s["run"] + 1).otherwise(F.lit(0))
-        return F.struct(run.alias("run"), F.greatest(s["top"], run).alias("top"))
-
-    return F.aggregate(cells, start, step, lambda s: s["top"])
-
-
-def is_degenerate(gfm: Column, run: int = 8, ratio: float = 0.6, least: int = 6) -> Column:
-    """A table of at least ``least`` cells with a long run of empty ones, or mostly empty."""
-    cells = gfm_cells(gfm)
-    return (F.size(cells) >= least) & ((max_empty_run(cells) >= run) | (empty_cell_ratio(gfm) > ratio))
-
-
 def level_skips(levels: Column) -> Column:
     """How often a heading level goes down by more than one step from a level above zero."""
     pairs = F.arrays_zip(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))).alias("a"), F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))).alias("b"))
@@ -70,8 +39,8 @@ def normalize_levels(levels: Column, deepest: int = 6) -> Column:
     start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, level: Column) -> Column:
-        still = F.filter(s["open"], lambda x: x < level)
-        now = F.concat(still, F.array(level.cast("int")))
+        raw = F.greatest(level.cast("int"), F.lit(1))
+        now = F.concat(F.filter(s["open"], lambda x: x < raw), F.array(raw))
         return F.struct(now.alias("open"), F.concat(s["out"], F.array(F.least(F.size(now), F.lit(deepest)).cast("int"))).alias("out"))
 
     return F.aggregate(levels, start, step, lambda s: s["out"])

@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 #: ASCII punctuation, in code order.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Phrases that mark an answer as holding no information.
-NO_INFORMATION = ("not found", "no information", "not available", "cannot find", "not mentioned", "not specified")
+NO_INFORMATION = ("(out of scope)", "does not contain any information", "no information about", "not available in the syllabus")
+#: Words that ask for more when a text ends with them.
+OPEN_ENDS = ("in", "of", "the", "a", "an", "and", "or", "for", "to", "with", "from")
+#: A percentage; a date that something is due.
+PERCENT = r"\b\d{1,3}(?:\.\d+)?\s*%"
+DUE_DATE = r"(?i)\b(?:due|deadline|submitted by)\b[^.\n]{0,40}?(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2}|\d{1,2}/\d{1,2}(?:/\d{2,4})?)"
+#: Words that lost a doubled letter.
+LETTER_DROPS = ("Colege", "Sylabus", "Meting", "Aditional", "Textbok", "wil", "fal", "instaling")
+#: Common words as they look where a text layer lost its f-ligatures.
+LIGATURE_DAMAGE = (
+    "ofce ofcial ofcer ofcers confdential confdentiality confdentially signifcant signifcantly difcult difculty difculties beneft benefts fnal fnally specifc specifcally specifed "
+    "certifcate certifcation notifcation notifed notifes fexible fexibility fnancial afliated afliation sufcient sufciently efcient efciency profcient profciency "
+    "classifcation classifed modifcation modifed qualifcation qualifed"
+).split()
 _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
@@ -65,9 +78,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def content_tokens(c: Column) -> Column:
-    """Distinct lower-cased tokens of four or more characters, edge dots, slashes, colons, dashes stripped."""
-    raw = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9][a-z0-9./:-]*"), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(raw, lambda t: F.regexp_replace(t, r"^[./:-]+|[./:-]+$", "")), lambda t: F.length(t) >= 4))
+    """Distinct lower-cased tokens of four or more characters (addresses and numbers whole), edge dots, slashes, colons, dashes stripped."""
+    raw = F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9][A-Za-z0-9./:@_+#-]{3,}"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(raw, lambda t: F.regexp_replace(F.lower(t), r"^[./:-]+|[./:-]+$", "")), lambda t: F.length(t) >= 4))
 
 
 def stable_cluster_id(normalized: Column) -> Column:
@@ -100,30 +113,32 @@ def strip_heading_marks(c: Column) -> Column:
 
 
 def has_table(c: Column) -> Column:
-    """Whether a line begins and ends with a bar or holds two or more."""
-    return F.coalesce(c.rlike(r"\|[^\n|]+\|"), F.lit(False))
-
-
-def table_rows(c: Column) -> Column:
-    """Lines with two or more non-empty bar-separated cells."""
-    return F.size(F.filter(lines(c), lambda x: F.size(F.filter(F.split(x, r"\|"), lambda cell: F.trim(cell) != "")) >= 2))
-
-
-def looks_like_table(c: Column) -> Column:
-    return table_rows(c) >= 2
+    """Whether a line holds two bars."""
+    return F.coalesce(c.rlike(r"\|.*\|"), F.lit(False))
 
 
 def course_signal(c: Column) -> Column:
-    """What ties a text to one course: a percentage, else a due date, else null."""
-    return F.when(c.rlike(r"\b\d{1,3}(\.\d+)?\s?%"), F.lit("percent")).when(c.rlike(r"(?i)\b(due|deadline)\b[^\n]{0,40}\d"), F.lit("due_date"))
+    """What ties a text to one course: its first percentage, else its first due date, with a label; else null."""
+    percent, due = F.trim(F.regexp_extract(c, PERCENT, 0)), F.trim(F.regexp_extract(c, DUE_DATE, 0))
+    return F.when(percent != "", F.concat(F.lit("percent:"), percent)).when(due != "", F.concat(F.lit("due_date:"), due))
 
 
 def protected_signal(c: Column) -> Column:
     """What keeps a text from being hidden as a duplicate: its first URL, else ``course_signal``."""
-    url = F.substring(F.regexp_replace(F.regexp_extract(c, r"https?://[^\s)>\]]+", 0), r"[.,;:]+$", ""), 1, 60)
+    url = F.substring(F.regexp_replace(F.regexp_extract(c, r"(?i)https?://\S+|\bwww\.\S+", 0), r"[.,);]+$", ""), 1, 60)
     return F.when(url != "", F.concat(F.lit("url:"), url)).otherwise(course_signal(c))
 
 
+def letter_drops(c: Column) -> Column:
+    """How many words lost a doubled letter."""
+    return F.regexp_count(c, F.lit(r"\b(?:" + "|".join(LETTER_DROPS) + r")\b"))
+
+
+def ligature_damage(c: Column) -> Column:
+    """How many words lost an f-ligature, in either case."""
+    return F.regexp_count(c, F.lit(r"(?i)\b(?:" + "|".join(LIGATURE_DAMAGE) + r")\b"))
+
+
 def replacement_chars(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("�"), F.lit("")))
 
@@ -158,22 +173,24 @@ def squeeze_spaces(c: Column) -> Column:
 
 
 def fix_broken_urls(c: Column) -> Column:
-    """A space after a URL's scheme, or after a slash inside it, goes."""
-    return F.regexp_replace(F.regexp_replace(c, r"(https?://)\s+", "$1"), r"(https?://\S+/)\s+(?=\S+\.\w)", "$1")
+    """A URL's space goes where what follows goes on like an address: a slash, a dotted name or a query in it."""
+    return F.regexp_replace(c, r"(https?://\S+)\s+([A-Za-z0-9][\w./?=&%-]*(?:/|\.[\w]+|[?=&])\S*)", "$1$2")
 
 
 def collapse_spaced_caps(c: Column) -> Column:
-    """T I T L E becomes TITLE: a space goes between two capitals that each stand alone."""
-    return F.regexp_replace(c, r"(?<=\b[A-Z])\s(?=[A-Z]\b)", "")
+    """``T I T L E`` becomes ``TITLE``: spaces go from runs of four or more capitals that each stand alone."""
+    around = (("", r"[A-Z]\s[A-Z]\s"), (r"[A-Z]\s", r"[A-Z]\s"), (r"[A-Z]\s[A-Z]\s", ""))
+    return F.regexp_replace(c, "|".join(rf"(?<=\b{before}[A-Z]) (?={after}[A-Z]\b)" for before, after in around), "")
 
 
 def is_truncated(c: Column) -> Column:
     """Ends with a comma or a word that asks for more."""
-    return F.coalesce(F.trim(c).rlike(r"(?i)(,|\b(and|or|the|of|with|for|to|a|an))$"), F.lit(False))
+    end = F.regexp_replace(c, r"\s+$", "")
+    return F.coalesce(end.endswith(",") | F.lower(F.regexp_extract(end, r"(\S+)$", 1)).isin(*OPEN_ENDS), F.lit(False))
 
 
 def is_empty_answer(c: Column) -> Column:
-    return F.coalesce(F.trim(c) == "", F.lit(True)) | F.coalesce(F.lower(c).rlike("|".join(NO_INFORMATION)), F.lit(False))
+    return F.coalesce(F.trim(c) == "", F.lit(True)) | F.coalesce(F.exists(F.array(*map(F.lit, NO_INFORMATION)), lambda p: F.contains(F.lower(c), p)), F.lit(False))
 
 
 def coerce_bool(c: Column) -> Column:
@@ -184,13 +201,14 @@ def coerce_bool(c: Column) -> Column:
 def classify_error(c: Column) -> Column:
     """Class of an error message; the first that fits."""
     low = F.lower(F.coalesce(c, F.lit("")))
+    holds = lambda *parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(low, p))
     return (
-        F.when(low.rlike("rate limit|429|quota"), "rate_limit")
-        .when(low.rlike("timeout|timed out"), "timeout")
-        .when(low.rlike("json|parse|decode"), "parse")
-        .when(low.rlike("connection|network|503"), "network")
-        .when(low.rlike("auth|401|403|api key"), "auth")
-        .otherwise("other")
+        F.when(holds("json parse error"), "JSON_PARSE_ERROR")
+        .when(holds("ssl", "certificate"), "SSL_ERROR")
+        .when(holds("getaddrinfo", "name or service not known", "nodename nor servname"), "DNS_ERROR")
+        .when(holds("429", "quota", "rate"), "RATE_LIMIT")
+        .when(holds("exhausted retries"), "EXHAUSTED_RETRIES")
+        .otherwise("UNKNOWN_ERROR")
     )
 
 

@@ -86,7 +86,7 @@ _LINES = f"l AS (SELECT doc_id, source AS grp, idx - 1 AS idx, content FROM (SEL
 _REF = "f AS (SELECT norm, count(DISTINCT doc_id) AS df, count(DISTINCT grp) AS dg, min(content) AS rep FROM n WHERE norm <> '' GROUP BY norm), r AS (SELECT 'bp_' || sha256(norm)[1:16] AS cluster_id, norm, df, dg, rep FROM f WHERE df >= 5 AND dg >= 3)"
 ORACLES = {
     "normalize_text": f"SELECT doc_id, md5({_N}) AS digest, length({_N})::INTEGER AS n, round_even(length(text) / 4.0, 0)::BIGINT AS tokens FROM documents",
-    "content_tokens": "SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9./:-]*'), lambda t: regexp_replace(t, '^[./:-]+|[./:-]+$', '', 'g')), lambda t: length(t) >= 4)))::INTEGER AS n_tokens FROM documents",
+    "content_tokens": "SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9./:@_+#-]{3,}'), lambda t: regexp_replace(lower(t), '^[./:-]+|[./:-]+$', '', 'g')), lambda t: length(t) >= 4)))::INTEGER AS n_tokens FROM documents",
     "word_ngrams_df": f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS t FROM documents), g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) ELSE [] END) AS gram FROM w) SELECT gram, count(*) AS df FROM g GROUP BY gram HAVING count(*) > 1",
     "exact_dup_groups": f"SELECT 'bp_' || sha256({_N})[1:16] AS cluster_id, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY {_N} HAVING count(*) > 1",
     "jaccard_near_dups": f'WITH {_SETS} SELECT a, b, common, "union" FROM j',
