@@ -67,14 +67,3 @@ def windows(c: Column, size: int, overlap: int) -> Column:
     n = F.length(c)
     count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / step).cast("int") + 1)
     return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.struct(i.alias("ord"), F.substring(c, i * step + 1, F.lit(size)).alias("content")))
-
-
-def derive_function(n_courses: Column, recursive: Column, intent: Column) -> Column:
-    """Which retrieval a routed question takes."""
-    return (
-        F.when((n_courses == 0) & intent.isNull(), "out_of_scope")
-        .when(n_courses == 0, "semantic_general")
-        .when(recursive, "recursive")
-        .when(n_courses == 1, "hybrid_course")
-        .otherwise("metadata_multi")
-    )

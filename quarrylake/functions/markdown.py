@@ -29,7 +29,7 @@ def is_suspicious(heading: Column) -> Column:
 
 def header_only(c: Column) -> Column:
     """Whether all lines that aren't blank, at least one, are headings."""
-    held = F.filter(F.transform(T.lines(F.coalesce(c, F.lit(""))), F.trim), lambda x: x != "")
+    held = F.filter(F.transform(T.lines(F.coalesce(c, F.lit(""))), lambda x: F.trim(x)), lambda x: x != "")
     return (F.size(held) > 0) & F.forall(held, lambda x: x.startswith("#"))
 
 

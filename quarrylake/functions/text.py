@@ -103,9 +103,9 @@ def lines(c: Column) -> Column:
 
 
 def normalize_header(c: Column) -> Column:
-    """First line without heading marks and closing colon, normalised."""
-    first = F.substring_index(c, "\n", 1)
-    return normalize_text(F.regexp_replace(F.regexp_replace(first, r"^#{1,6}\s*", ""), r":\s*$", ""))
+    """First line without heading marks and closing colons, normalised."""
+    first = F.substring_index(F.regexp_replace(c, r"^\s+", ""), "\n", 1)
+    return normalize_text(F.regexp_replace(F.trim(F.regexp_replace(first, "^#+", "")), ":+$", ""))
 
 
 def strip_heading_marks(c: Column) -> Column:
@@ -157,8 +157,8 @@ def strip_thinking(c: Column) -> Column:
 
 
 def sanitize_json(c: Column) -> Column:
-    """No control characters that JSON forbids."""
-    return F.regexp_replace(c, _CONTROL, "")
+    """No control characters that JSON forbids, no backslash that escapes nothing."""
+    return F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("\0"), F.lit("")), r'\\([^"\\/bfnrtu0-9])', r"\\\\$1"), _CONTROL, "")
 
 
 def json_body(c: Column) -> Column:
@@ -212,12 +212,6 @@ def classify_error(c: Column) -> Column:
     )
 
 
-def topics(c: Column) -> Column:
-    """Terms of a ``Topics: a, b, c`` line, trimmed, empty ones dropped."""
-    line = F.regexp_extract(c, r"(?m)^Topics:\s*(.*)$", 1)
-    return F.filter(F.transform(F.split(line, ","), lambda t: F.trim(t)), lambda t: t != "")
-
-
 def generic_reference(c: Column) -> Column:
     return F.coalesce(F.lower(c).rlike(r"\b(the|this) (course|class|instructor|syllabus)\b"), F.lit(False))
 
@@ -248,24 +242,14 @@ def escape_xml(c: Column) -> Column:
     return F.replace(F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
 
 
-def stem_parts(stem: Column) -> Column:
-    """term, dept, course, section, crn of ``<term>_<dept>_<course>_<section>_<crn>``; null with fewer parts."""
-    p = F.split(stem, "_")
-    return F.when(F.size(p) >= 5, F.struct(*[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(("term", "dept", "course", "section", "crn"))]))
-
-
-def course_id(c: Column) -> Column:
-    """``csce638`` and ``CSCE-638`` become ``CSCE 638``."""
-    return F.regexp_replace(F.upper(F.trim(c)), r"^([A-Z]+)[\s-]*(\d+)", "$1 $2")
-
-
-def truncate(c: Column, tokens: int, marker: str = " [truncated]") -> Column:
-    """At most 4 * ``tokens`` characters, cut back to the last paragraph, line or sentence end in the second half."""
-    most = 4 * tokens
-    head = F.substring(c, 1, most)
-    cuts = [F.length(head) - F.locate(F.reverse(F.lit(b)), F.reverse(head)) + 1 - len(b) + 1 for b in ("\n\n", "\n", ". ")]
-    hit = [F.locate(b, head) > 0 for b in ("\n\n", "\n", ". ")]
-    at = F.lit(most)
-    for cut, found in reversed(list(zip(cuts, hit, strict=True))):
-        at = F.when(found & (cut - 1 > most // 2), cut - 1).otherwise(at)
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(head, F.lit(1), at.cast("int")), F.lit(marker)))
+def truncate(c: Column, tokens: int, marker: str = "\n\n*[Response truncated — output limit reached]*") -> Column:
+    """(text, truncated): at most 4 * ``tokens`` characters, cut back to the last paragraph, line or sentence end (the first of these that is there) in the second half."""
+    head = F.substring(c, 1, 4 * tokens)
+    at = F.lit(4 * tokens)
+    for end in (". ", "\n", "\n\n"):
+        back = F.locate(end[::-1], F.reverse(head))
+        begins = F.length(head) - back + 1 - len(end)
+        at = F.when((back > 0) & (begins >= 2 * tokens), begins + len(end)).otherwise(at)
+    over = F.floor(F.length(c) / 4) > tokens
+    cut = F.concat(F.regexp_replace(F.substring(head, F.lit(1), at.cast("int")), r"\s+$", ""), F.lit(marker))
+    return F.struct(F.when(over, cut).otherwise(c).alias("text"), over.alias("truncated"))
