@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylake.functions import arrays
 from quarrylake.functions import text as T
 
+#: Queries sent to the tasks at once, and decimals that scores are compared by.
+QUERY_BLOCK, DIGITS = 4096, 12
+
 
 def visible(df: DataFrame, *flags: str) -> DataFrame:
     """Rows none of whose flags is true; a null flag keeps its row."""
@@ -22,20 +28,64 @@ def rank_by(df: DataFrame, group: list[str], order: list[Column], k: int | None
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id") -> DataFrame:
-    """(query_id, id, rank) by falling cosine. ``queries`` (query_id, q) is a stated, bounded set: it is broadcast."""
-    scored = rows.filter(F.col("embedding").isNotNull()).join(F.broadcast(queries)).withColumn("score", arrays.cosine(F.col("embedding"), F.col("q")))
-    return rank_by(scored, ["query_id"], [F.desc("score"), F.col(id_)], k).select("query_id", id_, "rank", "score")
+def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", within: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, rank, score) by falling cosine, exact to ``DIGITS`` decimals; ties go to the smaller id.
+
+    ``queries`` (query_id, q, and ``within`` where given) are met in blocks of ``block``, each sent to the
+    tasks by itself, so what is sent has a bound and the rows never move; a task returns k rows a query.
+    A row is no candidate of the query of its own id, nor, with ``within``, of queries of another value.
+    Rows without a vector, or with one of another length than the queries, take no part; a zero vector scores 0.
+    """
+    spark = rows.sparkSession
+    keyed = queries.filter(F.col("q").isNotNull())
+    size = keyed.agg(F.max(F.size("q"))).first()[0] or 0
+    keyed = keyed.filter(F.size("q") == size)
+    n = keyed.count()
+    parts = -(-n // block) if n else 0
+    held = rows.filter(F.size("embedding") == size).select(F.col(id_).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), (F.col(within).cast("string") if within else F.lit(None).cast("string")).alias("own"))
+    found = None
+    for part in range(parts):
+        some = keyed.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", F.col("q").cast("array<double>").alias("q"), (F.col(within).cast("string") if within else F.lit(None).cast("string")).alias("own")).toArrow()
+        sent = spark.sparkContext.broadcast((np.array(some["query_id"].to_pylist(), np.int64), _units(some["q"], size), some["own"].to_pylist()))
+        out = held.mapInArrow(_nearest(sent, k, size, within is not None), "query_id long, id long, score double")
+        found = out if found is None else found.unionByName(out)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, id long, score double")
+    return rank_by(found, ["query_id"], [F.desc("score"), F.col("id")], k).select("query_id", F.col("id").alias(id_), "rank", "score")
+
+
+def _units(cells: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    grid = np.array(cells.to_pylist(), np.float64).reshape(-1, size)
+    length = np.sqrt((grid * grid).sum(axis=1))
+    return grid / np.where(length > 0, length, 1.0)[:, None]
+
+
+def _nearest(sent, k: int, size: int, within: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, grid, own = sent.value
+        best, ids = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            some = np.asarray(batch.column(0))
+            score = np.round(grid @ _units(batch.column(1), size).T, DIGITS) + 0.0
+            score[asked[:, None] == some[None]] = -np.inf
+            if within:
+                score[np.array(own, object)[:, None] != np.array(batch.column(2).to_pylist(), object)[None]] = -np.inf
+            best, ids = np.hstack([best, score]), np.hstack([ids, np.broadcast_to(some, score.shape)])
+            order = np.lexsort((ids, -best), axis=1)[:, :k]
+            best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
+        q, at = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(asked[q], pa.int64()), pa.array(ids[q, at], pa.int64()), pa.array(best[q, at], pa.float64())], ["query_id", "id", "score"])
+
+    return run
 
 
 def lexical_overlap_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, rank, score): how many distinct query tokens a document has.
-
-    Queries' tokens (bounded) are broadcast against the exploded tokens of documents.
-    """
+    """(query_id, doc_id, rank, score): how many distinct query tokens a document has. Tokens meet by a join on their text."""
     terms = queries.select("query_id", F.explode(F.array_distinct(T.words(T.normalize_text(F.col("text"))))).alias("term"))
     own = docs.select("doc_id", F.explode(F.array_distinct(T.words(T.normalize_text(F.col("text"))))).alias("term"))
-    scored = own.join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    scored = own.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
     return rank_by(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "rank", "score")
 
 
@@ -45,18 +95,18 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: f
     stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     terms = queries.select("query_id", F.explode(F.array_distinct(T.words(T.normalize_text(F.col("text"))))).alias("term"))
     wanted = terms.select("term").distinct()
-    tf = tokens.select("doc_id", "len", F.explode("t").alias("term")).join(F.broadcast(wanted), "term").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tokens.select("doc_id", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
+    weighed = tf.join(df, "term").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     # whole billionths: their sum is the same in every order
-    scored = weighed.select("doc_id", "term", F.round(weight * 1e9).cast("long").alias("w")).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    scored = weighed.select("doc_id", "term", F.round(weight * 1e9).cast("long").alias("w")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     return rank_by(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "rank", "score")
 
 
-def rrf(ranked: DataFrame, id_: str = "id", k: int = 60, final_k: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Reciprocal-rank fusion of (list_no, rank, id) rows, ranks from 1; null ids are left out.
+def rrf(ranked: DataFrame, id_: str = "id", k: int | Column = 60, final_k: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal-rank fusion of (list_no, rank, id) rows, ranks from 1; null ids are left out; ``k`` may be a column of ``by``.
 
     Ties keep the order of first appearance (list, then rank).
     """

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.operators import retrieval as R
-from quarrylake.plans.tables import NORM, VECTOR_RANKED, WORDS, benchmark_queries, label_queries, table
+from quarrylake.plans.tables import NORM, VECTOR_RANKED, WORDS, benchmark_queries, table, vector_queries
 
 K = 20
+SWEEP = (20, 40, 60, 80, 100)
 
 
 def _vector(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    """(query_id, vec_id, rank, score, label) of the k nearest rows of each label's query vector."""
+    """(query_id, vec_id, rank, score, label) of the k rows nearest to each query of the stated set."""
     rows = table(spark, sf_dir, "embeddings")
-    found = R.vector_topk(rows.select("vec_id", "embedding"), label_queries(rows), k)
+    found = R.vector_topk(rows, vector_queries(rows), k)
     return found.join(rows.select("vec_id", "label"), "vec_id")
 
 
@@ -25,9 +26,7 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter is applied before ranking: only rows of the query's own label take part."""
     rows = table(spark, sf_dir, "embeddings")
-    queries = label_queries(rows)
-    scored = rows.join(F.broadcast(queries), rows["label"] == queries["query_id"]).withColumn("score", R.arrays.cosine(F.col("embedding"), F.col("q")))
-    return R.rank_by(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], 10).select("query_id", "vec_id", "rank")
+    return R.vector_topk(rows, vector_queries(rows), 10, within="label").select("query_id", "vec_id", "rank")
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector and lexical arms of ten queries, fused; ids of both arms are taken as one id space."""
+    """Vector and lexical arms of the queries that share an id, or have one arm alone, fused; ids of both arms are taken as one id space."""
     vector = _vector(spark, sf_dir).select("query_id", F.col("vec_id").alias("id"), "rank")
     lexical = lexical_topk(spark, sf_dir).select("query_id", F.col("doc_id").alias("id"), "rank")
     return R.hybrid(vector, lexical, 10)
@@ -52,13 +51,9 @@ def rrf_multi_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fusion constant really takes each value of the sweep; each gives its own top ten."""
-    lists = _vector(spark, sf_dir, 200).select(F.col("vec_id").alias("id"), "rank", F.col("query_id").alias("list_no"))
-    parts = [R.rrf(lists, k=k, final_k=10).select(F.lit(k).alias("k"), "id", "fused_rank") for k in (20, 40, 60, 80, 100)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The fusion constant really takes each value of the sweep; each gives its own top ten. The lists are made once."""
+    lists = _vector(spark, sf_dir, 200).select(F.col("vec_id").alias("id"), "rank", F.col("query_id").alias("list_no"), F.explode(F.array(*map(F.lit, SWEEP))).alias("k"))
+    return R.rrf(lists, k=F.col("k"), final_k=10, by=("k",)).select("k", "id", "fused_rank")
 
 
 def _billionths(df: DataFrame) -> DataFrame:
@@ -79,7 +74,7 @@ def cap_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_first_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best rank of each row over all queries' lists."""
-    lists = _vector(spark, sf_dir, 100).select("vec_id", "query_id", (F.col("rank") * 1000 + F.col("query_id")).alias("rank"))
+    lists = _vector(spark, sf_dir, 100).select("vec_id", "query_id", (F.col("rank").cast("long") * 1_000_000_000 + F.col("query_id")).alias("rank"))
     return R.first_ranked(lists, ["vec_id"])
 
 
@@ -102,7 +97,7 @@ def source_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (vector_topk_batch, vector_topk_filtered, lexical_topk, bm25_topk, hybrid_rrf_topk, rrf_multi_list, rrf_k_sweep, knee_cut, score_threshold_floor, cap_per_group, dedup_first_ranked, stratified_select, context_reorder, source_tally)}
 
 _LEX = f"""
-lq AS (SELECT item_id::INTEGER AS query_id, text FROM benchmark ORDER BY item_id LIMIT 10),
+lq AS (SELECT item_id AS query_id, text FROM benchmark),
 lt AS (SELECT DISTINCT query_id, unnest({WORDS.format("text")}) AS term FROM lq),
 dt AS (SELECT DISTINCT doc_id, unnest({WORDS.format("text")}) AS term FROM documents),
 ls AS (SELECT query_id, doc_id, count(*) AS score FROM dt JOIN lt USING (term) GROUP BY ALL),
@@ -122,9 +117,9 @@ def _fused(k: int, n: int) -> str:
 
 ORACLES = {
     "vector_topk_batch": f"WITH {VECTOR_RANKED} SELECT query_id, vec_id, rank FROM vr WHERE rank <= {K}",
-    "vector_topk_filtered": f"WITH {VECTOR_RANKED} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM vs WHERE label = query_id QUALIFY rank <= 10",
+    "vector_topk_filtered": f"WITH {VECTOR_RANKED} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM vs WHERE label = asked QUALIFY rank <= 10",
     "lexical_topk": f"WITH {_LEX} SELECT query_id, doc_id, rank, score FROM lr WHERE rank <= {K}",
-    "bm25_topk": f"""WITH lq AS (SELECT item_id::INTEGER AS query_id, text FROM benchmark ORDER BY item_id LIMIT 10),
+    "bm25_topk": f"""WITH lq AS (SELECT item_id AS query_id, text FROM benchmark),
 lt AS (SELECT DISTINCT query_id, unnest({WORDS.format("text")}) AS term FROM lq),
 d AS (SELECT doc_id, {WORDS.format("text")} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS al FROM d),
 x AS (SELECT doc_id, len(t) AS ln, unnest(t) AS term FROM d),
@@ -135,7 +130,7 @@ SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score
     "hybrid_rrf_topk": f"{_HYBRID} SELECT * FROM h",
     "source_tally": f"{_HYBRID} SELECT query_id, count(*) FILTER (rrf_source = 'vector') AS vector_only, count(*) FILTER (rrf_source = 'bm25') AS bm25_only, count(*) FILTER (rrf_source = 'both') AS both, count(*) AS total FROM h GROUP BY query_id",
     "rrf_multi_list": f"WITH {VECTOR_RANKED} SELECT id, fused_rank, units::DOUBLE / 1e12 AS rrf_score, n_lists FROM {_fused(60, 50)}",
-    "rrf_k_sweep": f"WITH {VECTOR_RANKED} " + " UNION ALL ".join(f"SELECT {k} AS k, id, fused_rank FROM {_fused(k, 10)}" for k in (20, 40, 60, 80, 100)),
+    "rrf_k_sweep": f"WITH {VECTOR_RANKED} " + " UNION ALL ".join(f"SELECT {k} AS k, id, fused_rank FROM {_fused(k, 10)}" for k in SWEEP),
     "knee_cut": f"""WITH {VECTOR_RANKED}, t AS (SELECT query_id, vec_id, rank, round(score, 6) AS score FROM vr WHERE rank <= {K}),
 g AS (SELECT *, CASE WHEN rank >= 2 THEN score - lead(score) OVER (PARTITION BY query_id ORDER BY rank) END AS g FROM t),
 c AS (SELECT query_id, coalesce(min(rank) FILTER (g > 0.15), arg_max(rank, g * 1e9 - rank) FILTER (g > 0.05)) AS cut FROM g GROUP BY query_id)
@@ -144,7 +139,7 @@ SELECT query_id, vec_id, rank FROM g JOIN c USING (query_id) WHERE cut IS NULL O
 n AS (SELECT *, count(*) FILTER (score >= 0.35) OVER (PARTITION BY query_id) AS n FROM t)
 SELECT query_id, vec_id, rank FROM n WHERE CASE WHEN n >= 2 THEN score >= 0.35 ELSE rank <= 2 END""",
     "cap_per_group": f"WITH {VECTOR_RANKED} SELECT query_id, label, vec_id, rank FROM vr WHERE rank <= 100 QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY rank) <= 4",
-    "dedup_first_ranked": f"WITH {VECTOR_RANKED} SELECT vec_id, arg_min(query_id, rank * 1000 + query_id) AS query_id, min(rank * 1000 + query_id)::INTEGER AS rank FROM vr WHERE rank <= 100 GROUP BY vec_id",
+    "dedup_first_ranked": f"WITH {VECTOR_RANKED} SELECT vec_id, arg_min(query_id, rank * 1000000000 + query_id) AS query_id, min(rank::BIGINT * 1000000000 + query_id) AS rank FROM vr WHERE rank <= 100 GROUP BY vec_id",
     "stratified_select": f"""WITH {VECTOR_RANKED}, t AS (SELECT query_id, vec_id, label, rank FROM vr WHERE rank <= 100),
 s AS (SELECT *, min(rank) OVER (PARTITION BY query_id, label) AS f, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS nth FROM t),
 n AS (SELECT query_id, count(DISTINCT label) AS g FROM t GROUP BY query_id)

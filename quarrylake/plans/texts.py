@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import arrays as A
 from quarrylake.functions import text as T
-from quarrylake.plans.retrieval import _vector
-from quarrylake.plans.tables import NORM, VECTOR_RANKED, WORDS, table
+from quarrylake.operators import retrieval as R
+from quarrylake.plans.retrieval import _LEX, _vector
+from quarrylake.plans.tables import NORM, VECTOR_RANKED, WORDS, benchmark_queries, table, vector_queries
 
 SIZE, OVERLAP, K = 800, 100, 10
 
@@ -92,23 +93,33 @@ def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ndcg_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranking metrics at ten of each label's query; rows of the label are relevant."""
-    found = _vector(spark, sf_dir, K).withColumn("hit", (F.col("label") == F.col("query_id")).cast("int"))
-    relevant = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("query_id")).agg(F.count(F.lit(1)).alias("n_relevant"))
-    each = found.groupBy("query_id").agg(F.sum("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first_hit"), F.sum(F.col("hit") / F.log2(F.col("rank") + 1)).alias("dcg"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(K), F.col("n_relevant")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    joined = each.join(relevant, "query_id")
-    return joined.select("query_id", (F.col("hits") / K).alias("precision"), (F.col("hits") / F.col("n_relevant")).alias("recall"), F.coalesce(1 / F.col("first_hit"), F.lit(0.0)).alias("reciprocal_rank"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
+    """Ranking metrics at ten of each query; other rows of its label are relevant."""
+    own = vector_queries(table(spark, sf_dir, "embeddings")).select("query_id", F.col("label").alias("asked"))
+    found = _vector(spark, sf_dir, K).join(own, "query_id").withColumn("hit", (F.col("label") == F.col("asked")).cast("int"))
+    relevant = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("asked")).agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    each = found.groupBy("query_id", "asked").agg(F.sum("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first_hit"), F.sum(F.col("hit") / F.log2(F.col("rank") + 1)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(K), F.greatest("n_relevant", F.lit(1))).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    joined = each.join(relevant, "asked")
+    recall = F.when(F.col("n_relevant") > 0, F.col("hits") / F.col("n_relevant")).otherwise(F.lit(0.0))
+    return joined.select("query_id", (F.col("hits") / K).alias("precision"), recall.alias("recall"), F.coalesce(1 / F.col("first_hit"), F.lit(0.0)).alias("reciprocal_rank"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
 
 
 def golden_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each label's query, whether its golden row (its own vector) is among the first one, three and ten."""
-    golden = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("query_id")).agg(F.min("vec_id").alias("golden"))
-    ranks = _vector(spark, sf_dir, K).join(golden, "query_id").groupBy("query_id").agg(F.min(F.when(F.col("vec_id") == F.col("golden"), F.col("rank"))).alias("at"))
-    return ranks.select("query_id", *[F.coalesce(F.col("at") <= k, F.lit(False)).alias(f"in_{k}") for k in (1, 3, 10)])
+    """For each query, whether its golden row (the next vec_id, which is not the query) is among the first ten, hundred and thousand."""
+    golden = F.col("query_id") + 1
+    ranks = _vector(spark, sf_dir, 1000).groupBy("query_id").agg(F.min(F.when(F.col("vec_id") == golden, F.col("rank"))).alias("at"))
+    return ranks.select("query_id", *[F.coalesce(F.col("at") <= k, F.lit(False)).alias(f"in_{k}") for k in (10, 100, 1000)])
 
 
-QUERIES = {f.__name__: f for f in (explode_ordinals, fixed_window_chunks, citation_counts, link_extraction, page_url_slug, html_main_text, json_props, heading_level_skips, hash_sample, containment_join, text_coverage, ndcg_precision_recall, golden_recall_at_k)}
+def golden_passages_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at five of lexical search for benchmark items: documents that hold an item whole are what it should find; items that none holds are left out."""
+    expected = containment_join(spark, sf_dir)
+    found = R.lexical_overlap_topk(table(spark, sf_dir, "documents"), benchmark_queries(table(spark, sf_dir, "benchmark")), 5).select(F.col("query_id").alias("item_id"), "doc_id", F.lit(1).alias("hit"))
+    each = expected.join(found, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_expected"), F.count("hit").alias("n_found"))
+    return each.select("item_id", "n_expected", "n_found", (F.col("n_found") / F.col("n_expected")).alias("recall"), (F.col("n_found") / F.col("n_expected") >= 0.8).alias("passed"))
+
+
+QUERIES = {f.__name__: f for f in (explode_ordinals, fixed_window_chunks, citation_counts, link_extraction, page_url_slug, html_main_text, json_props, heading_level_skips, hash_sample, containment_join, text_coverage, ndcg_precision_recall, golden_recall_at_k, golden_passages_recall)}
 
 _HTML = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
 for _tag in ("script", "style", "nav", "footer", "header", "aside"):
@@ -133,9 +144,13 @@ SELECT doc_id, ord::INTEGER AS ord, md5(substr(text, ord * {SIZE - OVERLAP} + 1,
 SELECT item_id, doc_id FROM b JOIN d ON contains(' ' || norm || ' ', ' ' || item || ' ') WHERE len(string_split(item, ' ')) >= 3""",
     "text_coverage": f"""WITH k AS (SELECT DISTINCT unnest({WORDS.format("text")}) AS word FROM documents), b AS (SELECT DISTINCT item_id, unnest({WORDS.format("text")}) AS word FROM benchmark)
 SELECT item_id, count(*) AS n_words, count(k.word) AS n_found FROM b LEFT JOIN k USING (word) GROUP BY item_id""",
-    "ndcg_precision_recall": f"""WITH {VECTOR_RANKED}, f AS (SELECT query_id, rank, (label = query_id)::INTEGER AS hit FROM vr WHERE rank <= {K}), n AS (SELECT label AS query_id, count(*) AS n FROM embeddings GROUP BY label),
-e AS (SELECT query_id, sum(hit) AS hits, min(rank) FILTER (hit = 1) AS first_hit, sum(hit / log2(rank + 1)) AS dcg FROM f GROUP BY query_id)
-SELECT query_id, (hits / {K})::DOUBLE AS precision, (hits / n)::DOUBLE AS recall, coalesce(1 / first_hit, 0)::DOUBLE AS reciprocal_rank, round(dcg / list_sum(list_transform(range(1, least({K}, n) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM e JOIN n USING (query_id)""",
-    "golden_recall_at_k": f"""WITH {VECTOR_RANKED}, g AS (SELECT label AS query_id, min(vec_id) AS golden FROM embeddings GROUP BY label), r AS (SELECT query_id, min(rank) FILTER (vec_id = golden) AS place FROM vr JOIN g USING (query_id) WHERE rank <= {K} GROUP BY query_id)
-SELECT query_id, coalesce(place <= 1, false) AS in_1, coalesce(place <= 3, false) AS in_3, coalesce(place <= 10, false) AS in_10 FROM r""",
+    "ndcg_precision_recall": f"""WITH {VECTOR_RANKED}, f AS (SELECT query_id, asked, rank, (label = asked)::INTEGER AS hit FROM vr WHERE rank <= {K}), n AS (SELECT label AS asked, count(*) - 1 AS n FROM embeddings GROUP BY label),
+e AS (SELECT query_id, asked, sum(hit) AS hits, min(rank) FILTER (hit = 1) AS first_hit, sum(hit / log2(rank + 1)) AS dcg FROM f GROUP BY ALL)
+SELECT query_id, (hits / {K})::DOUBLE AS precision, (hits / n)::DOUBLE AS recall, coalesce(1 / first_hit, 0)::DOUBLE AS reciprocal_rank, round(dcg / list_sum(list_transform(range(1, least({K}, n) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM e JOIN n USING (asked)""",
+    "golden_recall_at_k": f"""WITH {VECTOR_RANKED}, r AS (SELECT query_id, min(rank) FILTER (vec_id = query_id + 1) AS place FROM vr WHERE rank <= 1000 GROUP BY query_id)
+SELECT query_id, coalesce(place <= 10, false) AS in_10, coalesce(place <= 100, false) AS in_100, coalesce(place <= 1000, false) AS in_1000 FROM r""",
+    "golden_passages_recall": f"""WITH {_LEX}, b AS (SELECT item_id, {NORM.format("text")} AS item FROM benchmark), d AS (SELECT doc_id, {NORM.format("text")} AS norm FROM documents),
+x AS (SELECT item_id, doc_id FROM b JOIN d ON contains(' ' || norm || ' ', ' ' || item || ' ') WHERE len(string_split(item, ' ')) >= 3),
+e AS (SELECT x.item_id, count(*) AS n_expected, count(lr.doc_id) AS n_found FROM x LEFT JOIN lr ON lr.query_id = x.item_id AND lr.doc_id = x.doc_id AND lr.rank <= 5 GROUP BY x.item_id)
+SELECT item_id, n_expected, n_found, n_found / n_expected AS recall, n_found / n_expected >= 0.8 AS passed FROM e""",
 }
