@@ -5,15 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; where that is unset, a temporary folder serves a session of one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/quarrylake-scratch"
+    return f"{root.rstrip('/')}/quarrylake/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: lineage is cut and a lost executor costs a re-read."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/quarrylake-scratch"
-    path = f"{root}/quarrylake/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

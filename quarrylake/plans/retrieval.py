@@ -139,7 +139,7 @@ SELECT query_id, vec_id, rank FROM g JOIN c USING (query_id) WHERE cut IS NULL O
 n AS (SELECT *, count(*) FILTER (score >= 0.35) OVER (PARTITION BY query_id) AS n FROM t)
 SELECT query_id, vec_id, rank FROM n WHERE CASE WHEN n >= 2 THEN score >= 0.35 ELSE rank <= 2 END""",
     "cap_per_group": f"WITH {VECTOR_RANKED} SELECT query_id, label, vec_id, rank FROM vr WHERE rank <= 100 QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY rank) <= 4",
-    "dedup_first_ranked": f"WITH {VECTOR_RANKED} SELECT vec_id, arg_min(query_id, rank * 1000000000 + query_id) AS query_id, min(rank::BIGINT * 1000000000 + query_id) AS rank FROM vr WHERE rank <= 100 GROUP BY vec_id",
+    "dedup_first_ranked": f"WITH {VECTOR_RANKED} SELECT vec_id, arg_min(query_id, rank::BIGINT * 1000000000 + query_id) AS query_id, min(rank::BIGINT * 1000000000 + query_id) AS rank FROM vr WHERE rank <= 100 GROUP BY vec_id",
     "stratified_select": f"""WITH {VECTOR_RANKED}, t AS (SELECT query_id, vec_id, label, rank FROM vr WHERE rank <= 100),
 s AS (SELECT *, min(rank) OVER (PARTITION BY query_id, label) AS f, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS nth FROM t),
 n AS (SELECT query_id, count(DISTINCT label) AS g FROM t GROUP BY query_id)

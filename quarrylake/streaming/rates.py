@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylake.operators.graph import scratch
+
 #: Seconds of the slide and of the window.
 SLIDE, SIZE = 21_600, 43_200
 
@@ -26,15 +24,16 @@ def counted(events: DataFrame, late: str = "1 hour") -> DataFrame:
 def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream the event files through ``counted`` until they are read, and give the result."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quarrylake-scratch")
-    place = f"{root.rstrip('/')}/quarrylake/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/epoch={epoch}")
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{place}/part={epoch}")  # a batch that is tried again writes the same place
 
-    query = counted(source).writeStream.outputMode("complete").option("checkpointLocation", f"{place}-state").foreachBatch(keep).trigger(availableNow=True).start()
+    # update mode: a window's row is written anew when it changes and leaves the state when the watermark passes it
+    query = counted(source).writeStream.outputMode("update").option("checkpointLocation", f"{place}-state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    epoch = last["batchId"] if last else 0
-    return spark.read.parquet(f"{place}/epoch={epoch}")
+    if query.lastProgress is None:
+        return spark.createDataFrame([], "event_type string, start long, n long")
+    written = spark.read.parquet(place)
+    return written.groupBy("event_type", "start").agg(F.max_by("n", "epoch").alias("n"))
