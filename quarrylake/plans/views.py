@@ -51,3 +51,15 @@ GRADES = f"SELECT l_orderkey AS doc_id, {_NTH} AS ord, l_partkey, {_Q} AS weight
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+#: Blocks with their boxes, counted upward from the page's foot, and text that pairs labels with values.
+LAYOUT = f"""SELECT l_orderkey AS doc_id, {_NTH} AS ord, CAST(floor(l_linenumber / 4.0) AS INT) AS page, CASE WHEN l_partkey % 5 = 0 THEN 'table' WHEN l_partkey % 5 = 1 THEN 'link' ELSE 'text' END AS kind,
+ CASE WHEN l_partkey % 7 < 3 THEN concat('Label', l_suppkey % 2, ':') ELSE concat('Value ', l_suppkey % 3) END AS text, 20.0 * (l_suppkey % 10) AS x0, 10.0 * (l_partkey % 12) AS y,
+ 10.0 * {_Q} AS top, 20.0 * (l_suppkey % 10) + CASE WHEN l_partkey % 5 = 0 THEN 120.0 ELSE 30.0 END AS x1, 10.0 * {_Q} - CASE WHEN l_partkey % 5 = 0 THEN 150.0 ELSE 12.0 END AS bottom
+FROM lineitem"""
+#: Sections of a catalogue in the order they are read.
+SECTIONS = f"""SELECT l_orderkey * 100 + {_NTH} AS seq, l_partkey AS course, l_suppkey AS crn, concat('title ', l_orderkey % 50) AS title, CASE WHEN l_tax > 0.04 THEN concat('pre ', {_Q}) END AS prerequisites,
+ CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(l_suppkey % 4 AS INT) END AS dept, concat('name', l_partkey % 9) AS instructor, CASE WHEN l_discount > 0.05 THEN concat('m', l_orderkey) END AS email,
+ CASE WHEN l_partkey % 2 = 0 THEN concat(' Policy ', l_partkey % 20) ELSE concat('policy ', l_partkey % 20, ' ') END AS policy, concat('t', l_returnflag, ', ,T', l_linestatus, ',x', l_partkey % 3) AS topics, l_returnflag AS doc_type
+FROM lineitem"""
