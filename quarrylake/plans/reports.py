@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylake.operators import upsert as U
+from quarrylake.operators.checks import drift
 from quarrylake.plans.tables import table
 
 #: The event types, in alphabetical order.
@@ -60,11 +61,9 @@ _DAILY = "daily AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM event
 
 
 def baseline_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts that leave the mean of up to five days before by over a fifth; no history passes."""
-    before = Window.partitionBy("event_type").orderBy("day").rowsBetween(-5, -1)
-    rows = _daily(spark, sf_dir).withColumn("base", F.avg("n").over(before)).withColumn("n_history", F.count("n").over(before))
-    drifted = F.coalesce((F.col("base") > 0) & (F.abs(F.col("n") - F.col("base")) > 0.2 * F.col("base")), F.lit(False))
-    return rows.select("event_type", F.col("day").cast("string").alias("day"), "n", "n_history", drifted.alias("drifted"))
+    """Daily counts that leave the median of up to five days before by over a fifth; no history passes."""
+    rows = drift(_daily(spark, sf_dir), ["event_type"], ["day"], "n")
+    return rows.select("event_type", F.col("day").cast("string").alias("day"), "n", "n_history", "drifted")
 
 
 def noise_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +212,8 @@ ORACLES = {
     "anchor_first_n": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER AS pos FROM orders QUALIFY pos <= 3",
     "first_non_null_lookup": "SELECT user_id, value AS first_value FROM events WHERE event_type = 'purchase' AND value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "metric_outliers": "SELECT doc_id, lang FROM documents JOIN (SELECT lang, avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM documents GROUP BY lang) USING (lang) WHERE n_chars > m + 2 * s",
-    "baseline_drift": f"""WITH {_DAILY}, b AS (SELECT *, avg(n) OVER w AS base, count(n) OVER w AS n_history FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
-SELECT event_type, day::VARCHAR AS day, n, n_history, coalesce(base > 0 AND abs(n - base) > 0.2::DOUBLE * base, false) AS drifted FROM b""",
+    "baseline_drift": f"""WITH {_DAILY}, b AS (SELECT *, median(n) OVER w AS base, count(n) OVER w AS n_history FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT event_type, day::VARCHAR AS day, n, n_history, coalesce(base <> 0 AND abs((n - base) / base) > 0.2::DOUBLE, false) AS drifted FROM b""",
     "noise_band": f"""WITH {_DAILY}, s AS (SELECT event_type, min(n) AS low, max(n) AS high, avg(n) AS m, stddev_pop(n) AS sd FROM daily GROUP BY event_type)
 SELECT event_type, low, high, count(*) AS n_days, count(*) FILTER (abs(n - m) > 2 * sd) AS n_outside FROM daily JOIN s USING (event_type) GROUP BY ALL""",
     "pass_rates": f"WITH {_PASS} SELECT source, n, passed, passed / n AS rate FROM p",
