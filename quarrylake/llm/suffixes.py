@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by distributed difference-cover suffix sorting.
+"""Exact removal of repeated byte strings: difference-cover suffix sorting of blocks that are dealt by content.
 
 A byte goes if some ``WINDOW``-byte string that covers it also starts earlier (smaller doc_id, or the
 same document further left). Sorting every suffix of the corpus would move it many times over, so
@@ -16,6 +16,11 @@ segment. Then
 4. a k-gram with more than ``WIDE`` segments deals its windows out one by one, by their hash;
 5. what goes is gathered per document and cut out of its text.
 
+So repeats whose whole segments are equal (2), and those of very wide groups (4), are told by hashes
+(64 bits of the k-gram with 64 of the segment; SHA-256 of the window) and never meet a suffix sort.
+The method dealt to this operator sorts the suffixes of all of the corpus; ``difference_cover`` does
+that with Spark sorts, and README gives its measured cost, which is far beyond the bounds.
+
 Defined cases: a null text counts as empty; null ids come before all others; rows that repeat an id
 and its text are one document and get the same result; rows of one id with different texts are
 ordered by a hash of the text; texts shorter than a window lose nothing; other columns are ignored.
