@@ -240,3 +240,39 @@ def test_piece_edges(messy, empty, library):
     want = sorted((expected(library, m[1] or "")[0] for m in MESSY))
     assert sorted(np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in rows) == want
     assert pieces.round_trip(empty).collect() == []
+
+
+def test_language_scores_equal_a_plain_scorer(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    rows = [r for r in docs.collect() if r["text"] is not None]
+    counts: dict[tuple[str, int], dict[str, int]] = {}
+    for r in rows:
+        if r["lang"] is not None and not is_held_out(r["doc_id"]):
+            for word in re.findall(r"[^\W\d_]+", r["text"].lower()):
+                for n in range(5):
+                    for item in ([word] if n == 0 else [f"<{word}>"[i : i + n] for i in range(len(word) + 3 - n)]):
+                        held = counts.setdefault((r["lang"], n), {})
+                        held[item] = held.get(item, 0) + 1
+    langs = sorted({lang for lang, _ in counts})
+    known = [{x for lang in langs if (held := counts[lang, n]) for x in held if held[x] >= language.LEAST_COUNT} for n in range(5)]
+    grid = [{x: [c if (c := counts[lang, n].get(x, 0)) >= language.LEAST_COUNT else 0 for lang in langs] for x in known[n]} for n in range(5)]
+    total = [np.array([[c + 0.5 for c in v] for v in grid[n].values()]).sum(axis=0) for n in range(5)]
+    logs = [{x: np.log((np.array(v) + 0.5) / total[n]) for x, v in grid[n].items()} for n in range(5)]
+
+    def plain(text: str) -> str:
+        score = np.zeros(len(langs))
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            if word in logs[0]:
+                score += logs[0][word]
+                continue
+            for n in (4, 3, 2, 1):
+                found = [logs[n][g] for i in range(len(word) + 3 - n) if (g := f"<{word}>"[i : i + n]) in logs[n]]
+                if found:
+                    score += np.mean(found, axis=0) - (5 - n)
+                    break
+        return langs[int(score.argmax())]
+
+    model = language.train(docs)
+    assert model.languages == langs
+    asked = [r["text"] for r in rows if any(c.isalpha() for c in r["text"])]
+    assert [model.predict(t)[0] for t in asked] == [plain(t) for t in asked]
