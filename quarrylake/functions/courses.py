@@ -256,7 +256,9 @@ def drop_reason(is_boilerplate: Column, is_duplicate: Column) -> Column:
 
 
 def slug(term: Column, subject: Column, course: Column, section: Column, crn: Column) -> Column:
-    return F.concat_ws("-", F.regexp_replace(term, " ", "-"), subject, course, section, crn)
+    """``Spring-2026-College-Station-CSCE-605-600-(1)``."""
+    prefix = F.replace(F.replace(term, F.lit(" - "), F.lit("-")), F.lit(" "), F.lit("-"))
+    return F.concat_ws("-", prefix, subject, course, section, F.concat(F.lit("("), crn, F.lit(")")))
 
 
 def f1(precision: Column, recall: Column) -> Column:

@@ -105,7 +105,7 @@ COURSE_CASES: list[Case] = [
      r"CASE p_partkey % 3 WHEN 0 THEN concat('as [\[S1, p.', p_partkey, '\]](/app/static/syllabi/a.pdf#page=', p_partkey, ') and [\[S2\]](/app/static/syllabi/b.pdf) say') WHEN 1 THEN 'see [Source 9] or \[S3\]' ELSE 'none' END"),
     ("repaired_ids", lambda: F.array_join(_repaired()["course_ids"], "|"), "CASE WHEN p_partkey % 2 = 0 THEN 'A 1' ELSE '' END"),
     ("repaired_queries", lambda: F.array_join(_repaired()["subqueries"], "|"), "CASE p_partkey % 3 WHEN 0 THEN 'q' || p_partkey || '|b|c|d' WHEN 1 THEN 'b|c|d|e' ELSE 'the question' END"),
-    ("slug", lambda: K.slug(F.lit("Fall 2025"), F.lit("CSCE"), _x("CAST(p_partkey AS STRING)"), F.lit("600"), F.lit("1")), "concat('Fall-2025-CSCE-', p_partkey, '-600-1')"),
+    ("slug", lambda: K.slug(F.lit("Fall 2025 - College Station"), F.lit("CSCE"), _x("CAST(p_partkey AS STRING)"), F.lit("600"), F.lit("1")), "concat('Fall-2025-College-Station-CSCE-', p_partkey, '-600-(1)')"),
     ("flags", lambda: K.file_flags(_x("p_partkey * 100"), _x("p_size % 3"), _x("p_size % 2"), _x("p_size % 5 > 0")), "concat_ws(', ', CASE WHEN p_partkey * 100 > 10000 THEN 'MASSIVE_FILE' END, CASE WHEN p_partkey * 100 < 300 THEN 'TINY' END, CASE WHEN p_size % 3 = 0 THEN 'ZERO_HEADERS' END, CASE WHEN p_size % 2 > 0 THEN 'OVERSIZED(1)' END, CASE WHEN p_size % 5 = 0 THEN 'NO_ENRICHMENT' END)"),
     ("drop", lambda: K.drop_reason(_x("p_partkey % 3 = 0"), _x(_pick("true", "NULL"))), "CASE WHEN p_partkey % 3 = 0 THEN 'boilerplate' WHEN p_partkey % 2 = 0 THEN 'duplicate' END"),
     ("cutoff", lambda: F.array_join(F.transform(K.fix_failing_cutoff(_x("array(named_struct('grade', CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'S' END, 'min_percent', 80D), named_struct('grade', 'f ', 'min_percent', 59D))")), lambda c: c["min_percent"].cast("int").cast("string")), "|"), "CASE WHEN p_partkey % 2 = 0 THEN '80|0' ELSE '80|59' END"),

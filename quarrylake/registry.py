@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("retrieval", "dedup", "reports", "sessions", "texts", "checks", "scalars", "loads", "metrics")
+PLANS = ("retrieval", "dedup", "reports", "sessions", "texts", "checks", "scalars", "loads", "metrics", "cleaning")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
