@@ -22,17 +22,23 @@ COMPLETE = 0.8
 
 def cells(row: Column) -> Column:
     """Trimmed cells of a bar row."""
-    return F.transform(F.split(F.regexp_replace(F.trim(row), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+    return F.split(F.regexp_replace(F.trim(row), r"^\|+\s*|\s*\|+$", ""), r"\s*\|\s*")
 
 
 def is_rule(row: Column) -> Column:
-    """Whether a row only parts header and body: dashes and colons."""
-    return F.trim(row).rlike(r"^[\s|:-]*$") & F.contains(row, F.lit("-")) & F.forall(cells(row), lambda c: (c == "") | F.contains(c, F.lit("-")))
+    """Whether a row only parts header and body: cells of dashes and colons, with a dash in each that isn't blank."""
+    return F.contains(row, F.lit("-")) & F.trim(row).rlike(r"^\|*\s*(?:(?:[:-]*-[:-]*)?\s*(?:\|\s*|$))+$")
 
 
 def rows(gfm: Column) -> Column:
     """Rows of a bar table, without rules: lines that begin with a bar."""
-    return F.filter(T.lines(F.coalesce(gfm, F.lit(""))), lambda r: F.trim(r).startswith("|") & ~is_rule(r))
+    return F.filter(F.split(F.coalesce(gfm, F.lit("")), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda r: F.ltrim(r).startswith("|") & ~is_rule(r))
+
+
+def grid_rows(grid: Column) -> Column:
+    """Data rows of a grid: those with cells, all but the first; rows that would read as rules don't count."""
+    held = F.filter(grid, lambda r: (F.size(r) > 0) & ~F.array_join(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))), "|").rlike(r"^(?=.*-)(?:(?:[:-]*-[:-]*)?(?:\||$))+$"))
+    return F.greatest(F.lit(0), F.coalesce(F.size(held), F.lit(0)) - 1)
 
 
 def row_count(gfm: Column) -> Column:
@@ -98,7 +104,7 @@ def covered(gfm: Column, grid: Column) -> Column:
 
 def truncated(gfm: Column, grid: Column) -> Column:
     """A sound table that has clearly fewer rows than its grid."""
-    fewer = let(row_count(to_gfm(grid)), lambda n: (n > 0) & (row_count(gfm) < n * COMPLETE))
+    fewer = let(grid_rows(grid), lambda n: (n > 0) & (row_count(gfm) < n * COMPLETE))
     return (F.trim(F.coalesce(gfm, F.lit(""))) != "") & ~is_degenerate(gfm) & fewer
 
 
@@ -118,7 +124,7 @@ def outcome(gfm: Column, grid: Column, partial: Column) -> Column:
             .otherwise("lost")
         )
 
-    return let(F.struct(n_text.alias("text"), row_count(to_gfm(grid)).alias("grid")), of)
+    return let(F.struct(n_text.alias("text"), grid_rows(grid).alias("grid")), of)
 
 
 def render(gfm: Column, grid: Column, partial: Column) -> Column:

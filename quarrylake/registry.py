@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 PLANS = ("retrieval", "dedup", "reports", "sessions", "texts", "checks", "scalars", "loads", "metrics", "cleaning")
 
+
+
+def of(plan: str) -> list[str]:
+    """Names of a plan's queries."""
+    return list(import_module(f"quarrylake.plans.{plan}").QUERIES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _name in PLANS:
