@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import markdown as M
 from quarrylake.functions import text as T
+from quarrylake.operators import blocks as B
 from quarrylake.operators import evaluation as E
 from quarrylake.plans.checks import markdown_view
 from quarrylake.plans.tables import table
@@ -14,6 +15,8 @@ from quarrylake.plans.tables import table
 #: Weights of severities.
 WEIGHTS = {"error": 5, "purchase": 3, "signup": 2, "click": 1, "view": 1}
 STRATA = 8
+#: Stratum of a question: the function it should be routed to, and whether it names its course.
+STRATUM_TRUTH = {"ECONOMY": ("hybrid_course", True), "STANDARD": ("semantic_general", False), "PROMO": ("recursive", True)}
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +217,30 @@ def trace_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.sum("k").alias("k"), *each, F.count(F.lit(1)).alias("total"))
 
 
+def metric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every registered metric of each event type."""
+    return B.evaluate(table(spark, sf_dir, "events"), ["event_type"], B.resolve("all", []))
+
+
+def filter_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names filtered in two steps, with the tokens before and after each."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<thinking>a b</thinking> "), "p_name", F.lit("     end")).alias("text"))
+    out = B.apply_filters(rows, "text", B.resolve("thinking, spaces", [], B.FILTERS))
+    return out.select("p_partkey", "text", F.explode("filter_tokens").alias("t")).select("p_partkey", "text", "t.name", "t.before", "t.after")
+
+
+def router_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a router should say of a question drawn from a chunk, by its stratum: the function, and the course where the stratum names one."""
+    truth = F.create_map(*[x for name, (function, _) in STRATUM_TRUTH.items() for x in (F.lit(name), F.lit(function))])
+    named = [name for name, (_, named) in STRATUM_TRUTH.items() if named]
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.try_element_at(truth, "p_type"), F.lower("p_type")).alias("expected_function"), F.when(F.col("p_type").isin(*named), F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("courses")).select("p_partkey", "expected_function", F.array_join("courses", ",").alias("courses"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         run_fold, flip_rates, paired_exact, error_ranking, stage_ledger, failed_check_histogram, file_metrics, metric_summary, metric_far_values, filter_reduction, combined_batches, header_candidates, header_overlap, merged_proposals,
-        recent_cohort, stratified_sample, weighted_choice, title_matches, missing_sections, context_xml, history_context, gate_results, draft_errors, trace_sums,
+        recent_cohort, stratified_sample, weighted_choice, title_matches, missing_sections, context_xml, history_context, gate_results, draft_errors, trace_sums, metric_blocks, filter_steps, router_truth,
     )
 }
 
@@ -284,3 +306,8 @@ def _page_oracles() -> dict[str, str]:
 
 
 ORACLES |= _page_oracles()
+ORACLES |= {
+    "metric_blocks": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(avg((value > 50)::INTEGER), 6) AS share_high FROM events GROUP BY event_type",
+    "filter_steps": "WITH t AS (SELECT p_partkey, '<thinking>a b</thinking> ' || p_name || '     end' AS a, p_name || '     end' AS b, p_name || ' end' AS c FROM part) SELECT p_partkey, c AS text, 'thinking' AS name, round_even(length(a) / 4.0, 0)::BIGINT AS before, round_even(length(b) / 4.0, 0)::BIGINT AS after FROM t UNION ALL SELECT p_partkey, c, 'spaces', round_even(length(b) / 4.0, 0)::BIGINT, round_even(length(c) / 4.0, 0)::BIGINT FROM t",
+    "router_truth": "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'hybrid_course' WHEN 'STANDARD' THEN 'semantic_general' WHEN 'PROMO' THEN 'recursive' ELSE lower(p_type) END AS expected_function, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_brand ELSE '' END AS courses FROM part",
+}

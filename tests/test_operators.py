@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.operators import admission, checks, dedup, layout, loads, retrieval, tagging
+from quarrylake.operators import admission, blocks, checks, dedup, layout, loads, retrieval, tagging
 from quarrylake.plans import loads as load_plans
 from quarrylake.sources import files
 
@@ -157,3 +157,9 @@ def test_files_by_name_and_content(spark, tmp_path):
     items = spark.createDataFrame([(1, " What? ", "x"), (2, " ", "y"), (3, None, "z")], "id int, question string, extra string")
     files.write_golden_set(items, str(tmp_path / "golden"), ["id", "question"])
     assert [tuple(r) for r in files.golden_set(spark, str(tmp_path / "golden"), ["question", "id"]).collect()] == [("What?", "1")]
+
+
+def test_selections_of_metrics():
+    assert blocks.resolve(None, ["n"]) == ["n"] and blocks.resolve(" ALL ", []) == sorted(blocks.METRICS) and blocks.resolve("n, mean,", []) == ["n", "mean"]
+    with pytest.raises(ValueError, match="nothing"):
+        blocks.resolve("n,nothing", [])
