@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
+from quarrylake.operators.names import fresh
 
 #: Queries sent to the tasks at once, and decimals that scores are compared by.
 QUERY_BLOCK, DIGITS = 4096, 12
@@ -132,43 +133,43 @@ def hybrid(vector: DataFrame, lexical: DataFrame, k: int, by: tuple[str, ...] =
 
 def score_floor(ranked: DataFrame, by: list[str], threshold: float, least: int) -> DataFrame:
     """Rows that reach the threshold; where fewer than ``least`` do, the first ``least`` instead."""
-    w = Window.partitionBy(*by)
-    n = F.count(F.when(F.col("score") >= threshold, 1)).over(w)
-    return ranked.withColumn("n_over", n).filter(F.when(F.col("n_over") >= least, F.col("score") >= threshold).otherwise(F.col("rank") <= least)).drop("n_over")
+    (over,) = fresh(ranked, "n_over")
+    n = F.count(F.when(F.col("score") >= threshold, 1)).over(Window.partitionBy(*by))
+    kept = F.when(F.col(over) >= least, F.col("score") >= threshold).otherwise(F.col("rank") <= least)
+    return ranked.withColumn(over, n).filter(kept).drop(over)
 
 
 def knee(ranked: DataFrame, by: list[str], floor: int = 2, gap: float = 0.15, fallback: float = 0.05) -> DataFrame:
     """Cut each list at its first gap over ``gap``, else at its largest over ``fallback``; keep ``floor`` at least."""
+    g, cut = fresh(ranked, "gap_after", "cut_at")
     after = F.col("score") - F.lead("score").over(Window.partitionBy(*by).orderBy("rank"))
-    gaps = ranked.withColumn("g", F.when(F.col("rank") >= floor, after))
+    gaps = ranked.withColumn(g, F.when(F.col("rank") >= floor, after))
     w = Window.partitionBy(*by)
-    first = F.min(F.when(F.col("g") > gap, F.col("rank"))).over(w)
-    widest = F.max(F.when(F.col("g") > fallback, F.struct(F.col("g"), -F.col("rank")))).over(w)
-    cut = F.coalesce(first, -widest["col2"])
-    return gaps.withColumn("cut", cut).filter(F.col("cut").isNull() | (F.col("rank") <= F.col("cut"))).drop("g", "cut")
+    first = F.min(F.when(F.col(g) > gap, F.col("rank"))).over(w)
+    widest = F.max(F.when(F.col(g) > fallback, F.struct(F.col(g).alias("gap"), (-F.col("rank")).alias("rank")))).over(w)
+    return gaps.withColumn(cut, F.coalesce(first, -widest["rank"])).filter(F.col(cut).isNull() | (F.col("rank") <= F.col(cut))).drop(g, cut)
 
 
 def cap_per_group(ranked: DataFrame, group: str, n: int, by: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows of each group in order of rank; a null group is one group."""
+    (nth,) = fresh(ranked, "nth")
     key = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    return ranked.withColumn("nth", F.row_number().over(Window.partitionBy(*(by or []), key).orderBy("rank"))).filter(F.col("nth") <= n).drop("nth")
+    return ranked.withColumn(nth, F.row_number().over(Window.partitionBy(*(by or []), key).orderBy("rank"))).filter(F.col(nth) <= n).drop(nth)
 
 
 def first_ranked(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """The best-ranked row of each key; nulls are one key."""
-    return ranked.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).filter("nth = 1").drop("nth")
+    (nth,) = fresh(ranked, "nth")
+    return ranked.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).filter(F.col(nth) == 1).drop(nth)
 
 
 def stratified(ranked: DataFrame, group: str, k: int, by: list[str]) -> DataFrame:
-    """ceil(k / groups) rows of each group, groups in order of first appearance, then the first k."""
+    """ceil(k / groups) rows of each group, groups in order of first appearance, then the first k, placed in ``pos``."""
+    first, groups, nth = fresh(ranked, "first", "groups", "nth")
     w = Window.partitionBy(*by)
-    seen = ranked.withColumn("first", F.min("rank").over(Window.partitionBy(*by, group))).withColumn("groups", F.size(F.collect_set(group).over(w)))
-    some = seen.withColumn("nth", F.row_number().over(Window.partitionBy(*by, group).orderBy("rank"))).filter(F.col("nth") <= F.ceil(F.lit(k) / F.col("groups")))
-    return some.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("first", "rank"))).filter(F.col("pos") <= k).drop("first", "groups", "nth")
-
-
-def dynamic_k(base: Column, n: Column, cap: int) -> Column:
-    return F.least(base * F.greatest(n, F.lit(1)), F.lit(cap))
+    seen = ranked.withColumn(first, F.min("rank").over(Window.partitionBy(*by, group))).withColumn(groups, F.size(F.collect_set(group).over(w)))
+    some = seen.withColumn(nth, F.row_number().over(Window.partitionBy(*by, group).orderBy("rank"))).filter(F.col(nth) <= F.ceil(F.lit(k) / F.col(groups)))
+    return some.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(first, "rank"))).filter(F.col("pos") <= k).drop(first, groups, nth)
 
 
 def context_order(ranked: DataFrame, by: list[str]) -> DataFrame:

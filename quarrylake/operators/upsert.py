@@ -9,27 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylake.operators.names import fresh
+
 
 def last_rows(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row a key, pre-aggregated before the shuffle; rows without a key are left out."""
     values = [c for c in batch.columns if c not in keys]
     known = batch.dropna(subset=keys)
-    picked = known.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("_order"), *values)).alias("_last"))
-    return picked.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values])
+    (last,) = fresh(batch, "last_row")
+    # fields by place: a batch's column may have any name
+    picked = known.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("f0"), *[F.col(c).alias(f"f{i + 1}") for i, c in enumerate(values)])).alias(last))
+    return picked.select(*keys, *[F.col(last)[f"f{i + 1}"].alias(c) for i, c in enumerate(values)])
 
 
 def upsert(base: DataFrame, batch: DataFrame, keys: list[str], order: str, coalesce: bool = False) -> DataFrame:
     """``base`` with the batch's last rows put in; with ``coalesce``, a null in the batch keeps the old value."""
     new = last_rows(batch, keys, order)
-    fresh = new.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_{c}") for c in base.columns if c not in keys], F.lit(True).alias("_new"))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    both = base.join(fresh, on, "full_outer")
+    put = dict(zip(base.columns, fresh(base, *[f"new_{c}" for c in base.columns]), strict=True))
+    (is_new,) = fresh(base.select("*", *[F.lit(None).alias(n) for n in put.values()]), "is_new")
+    both = base.join(new.select(*[F.col(c).alias(put[c]) for c in base.columns], F.lit(True).alias(is_new)), [F.col(k) == F.col(put[k]) for k in keys], "full_outer")
     out = []
     for c in base.columns:
-        if c in keys or coalesce:
-            out.append(F.coalesce(f"_{c}" if c not in keys else c, c if c not in keys else f"_{c}").alias(c))
+        if c in keys:
+            out.append(F.coalesce(c, put[c]).alias(c))
+        elif coalesce:
+            out.append(F.coalesce(put[c], c).alias(c))
         else:
-            out.append(F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c))
+            out.append(F.when(F.col(is_new), F.col(put[c])).otherwise(F.col(c)).alias(c))
     return both.select(*out)
 
 

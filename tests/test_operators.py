@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.operators import admission, blocks, checks, dedup, layout, loads, retrieval, tagging
+from quarrylake.operators import admission, blocks, checks, dedup, layout, loads, retrieval, tagging, upsert
 from quarrylake.plans import loads as load_plans
 from quarrylake.sources import files
 
@@ -163,3 +163,14 @@ def test_selections_of_metrics():
     assert blocks.resolve(None, ["n"]) == ["n"] and blocks.resolve(" ALL ", []) == sorted(blocks.METRICS) and blocks.resolve("n, mean,", []) == ["n", "mean"]
     with pytest.raises(ValueError, match="nothing"):
         blocks.resolve("n,nothing", [])
+
+
+def test_helper_columns_never_clash(spark):
+    ranked = spark.createDataFrame([(1, 1, 0.9, "a", 7), (1, 2, 0.8, "a", 8), (1, 3, 0.1, "b", 9)], "q int, rank int, score double, nth string, cut int")
+    for name in ("n_over", "gap_after", "first", "groups"):
+        ranked = ranked.withColumn(name, F.lit("x"))
+    for out in (retrieval.knee(ranked, ["q"]), retrieval.score_floor(ranked, ["q"], 0.5, 1), retrieval.cap_per_group(ranked, "nth", 1, ["q"]), retrieval.first_ranked(ranked, ["q"]), retrieval.stratified(ranked, "nth", 2, ["q"]).drop("pos")):
+        assert out.columns == ranked.columns and out.count() in (1, 2)
+    base = spark.createDataFrame([(1, "a", "b", "c", "d")], "_k int, new__k string, _new string, last_row string, is_new string")
+    batch = spark.createDataFrame([(1, "z", "y", "x", "w", 1), (2, "p", "q", "r", "s", 1)], "_k int, new__k string, _new string, last_row string, is_new string, step int")
+    assert sorted(tuple(r) for r in upsert.upsert(base, batch, ["_k"], "step").collect()) == [(1, "z", "y", "x", "w"), (2, "p", "q", "r", "s")]
