@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import ann, language, packing, pieces, quality, secrets, sharding, simhash, suffixes, topk
+from quarrylake.llm import ann, byte_pairs, language, packing, pieces, quality, secrets, sharding, simhash, suffixes, topk
 from quarrylake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_ann, op4_sharding, op5_topk, op6_suffix_dedup, op7_quality, op8_packing, op9_simhash, op10_sentencepiece)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level ids and of the bytes they decode to."""
+    found = byte_pairs.round_trip(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(byte_pairs.packed(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_ann, op4_sharding, op5_topk, op6_suffix_dedup, op7_quality, op8_packing, op9_simhash, op10_sentencepiece, op11_byte_bpe)}
 
 ORACLES: dict[str, str] = {"op4_sharding": sharding.oracle(), "op5_topk": topk.oracle(), "op6_suffix_dedup": suffixes.oracle()}
