@@ -32,7 +32,7 @@ from quarrylake.llm.common import materialize, release
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Buckets of the rank map; slots of the word table; documents whose words fill it; longest word in it; pieces joined at once in decoding.
-BUCKETS, SLOTS, SAMPLE, LONGEST, JOINED = 1 << 14, 1 << 20, 40_000, 48, 256
+BUCKETS, SLOTS, SAMPLE, LONGEST, JOINED = 1 << 14, 1 << 17, 20_000, 48, 256
 _NONE, _MARK = (1 << 31) - 1, "\x01"
 
 # Code points that are letters (L) or numbers (N) since Unicode 14, as the JVM knows 13.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import ann, byte_pairs, language, packing, pieces, quality, secrets, sharding, simhash, suffixes, topk
+from quarrylake.llm import ann, byte_pairs, divergence, language, packing, phrases, pieces, quality, secrets, sharding, simhash, suffixes, topk
 from quarrylake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,16 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_ann, op4_sharding, op5_topk, op6_suffix_dedup, op7_quality, op8_packing, op9_simhash, op10_sentencepiece, op11_byte_bpe)}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms in which each exceeds its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op4_sharding": sharding.oracle(), "op5_topk": topk.oracle(), "op6_suffix_dedup": suffixes.oracle()}
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words stand together more often than apart."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_ann, op4_sharding, op5_topk, op6_suffix_dedup, op7_quality, op8_packing, op9_simhash, op10_sentencepiece, op11_byte_bpe, op12_divergence, op13_phrases)}
+
+ORACLES: dict[str, str] = {"op4_sharding": sharding.oracle(), "op5_topk": topk.oracle(), "op6_suffix_dedup": suffixes.oracle(), "op12_divergence": divergence.oracle(), "op13_phrases": phrases.oracle()}
