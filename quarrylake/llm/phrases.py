@@ -305,12 +305,12 @@ def oracle(least: int = LEAST, shown: int = SHOWN) -> str:
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
 g AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(size))),
-f AS (SELECT lang, size, phrase, count(*) AS n FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS n FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
-c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND n >= {least}),
-cut AS (SELECT c.lang, c.size, c.phrase, c.a, c.ws, k, l.n AS l, r.n AS r, ((1000000::HUGEINT * c.a * c.a) // (l.n::HUGEINT * r.n))::BIGINT AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:], ' ')),
+c AS MATERIALIZED (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND n >= {least}),
+halves AS MATERIALIZED (SELECT *, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+cut AS (SELECT h.*, l.n AS l, r.n AS r, ((1000000::HUGEINT * h.a * h.a) // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM halves h JOIN f l ON l.lang = h.lang AND l.phrase = h.lp JOIN f r ON r.lang = h.lang AND r.phrase = h.rp),
 best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 cover AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, array_to_string(ws[1:2], ' ') AS phrase FROM c WHERE size = 3 UNION ALL SELECT lang, a, array_to_string(ws[2:3], ' ') FROM c WHERE size = 3) GROUP BY ALL),
 kept AS (SELECT b.* FROM best b LEFT JOIN cover o ON o.lang = b.lang AND o.phrase = b.phrase AND b.size = 2 WHERE o.a IS NULL OR 100 * o.a < {COVER} * b.a)

@@ -98,9 +98,12 @@ def plain_phrases(docs: list[tuple], least: int, shown: int) -> list[tuple]:
     for lang, of in f.items():
         n = sum(c for w, c in of.items() if len(w) == 1)
         cands = {w: c for w, c in of.items() if len(w) > 1 and c >= least}
-        rows = []
+        rows, cover = [], Counter()
         for w, a in cands.items():
-            if any(len(o) == 3 and len(w) == 2 and w in (o[:2], o[1:]) and 100 * c >= 50 * a for o, c in cands.items()):
+            for inner in (w[:2], w[1:]) if len(w) == 3 else ():
+                cover[inner] = max(cover[inner], a)
+        for w, a in cands.items():
+            if len(w) == 2 and cover[w] and 100 * cover[w] >= 50 * a:
                 continue
             score, k = min((10**6 * a * a // (of[w[:k]] * of[w[k:]]), k) for k in range(1, len(w)))
             rows.append((-score, -a, " ".join(w).encode(), of[w[:k]], of[w[k:]]))
