@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 1_000, 4_000_000
 _SCRATCH: dict[str, SparkSession] = {}
-_PATHS: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +41,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read, not a recomputation, and later steps see
-    exact sizes. The folder goes away when the driver's Python ends.
+    exact sizes. The folder goes away when the driver's Python or JVM ends, whichever is first.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quarrylake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH[path] = spark
+    at, files = _located(spark, path)
+    files.deleteOnExit(at)
     stored = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(stored)] = path
+    stored._scratch_path = path
     return stored
 
 
@@ -69,15 +70,19 @@ def bounded(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete the scratch files of a frame that ``materialize`` gave, once nothing is to be read from it."""
-    path = _PATHS.pop(id(df), None)
+    path = vars(df).get("_scratch_path")
     if path in _SCRATCH:
         _delete(_SCRATCH.pop(path), path)
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, files = _located(spark, path)
+    files.delete(at, True)
 
 
 @atexit.register

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylake.llm import packing, queries, simhash, suffixes
+from quarrylake.llm import common, components, packing, queries, simhash, suffixes
 from tests.llm.conftest import MESSY
 
 # ---------------------------------------------------------------------------------------------
@@ -316,3 +316,30 @@ def test_stages_take_awkward_and_empty_tables(spark, messy, empty, small_dir, tm
         ids = {r["doc_id"] for r in docs.collect()}
         # one of the near copies 6 and 7 and one of the copies 4 and 5 stay; texts without letters go
         assert ids <= {None, 4, 6, 8, 9} and ({4, 6} <= ids if name == "messy" else not ids)
+
+
+# ---------------------------------------------------------------------------------------------
+# components and scratch
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "alternating"])
+def test_components_in_few_rounds(spark, monkeypatch, shape):
+    n = 1_000
+    path = list(range(n)) if shape != "alternating" else [x for i in range(n // 2) for x in (i, n - 1 - i)]
+    edges = [(n - 1, i) for i in range(n - 1)] if shape == "star" else list(zip(path, path[1:], strict=False))
+    rounds = []
+    write = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: rounds.append(label) or write(df, label))
+    rows = components.connected_components(spark.createDataFrame(edges + [(5_000, 5_001)], "a long, b long")).collect()
+    assert len(rows) == n + 2 and len({r["root"] for r in rows if r["node"] < n}) == 1
+    assert {r["root"] for r in rows if r["node"] >= 5_000} <= {5_000, 5_001}
+    assert rounds.count("step") < 15
+
+
+def test_release_deletes_only_what_its_frame_wrote(spark):
+    kept = common.materialize(spark.range(5), "kept")
+    pending = kept.filter("id > 1")
+    del kept
+    for _ in range(200):
+        common.release(spark.range(3))
+    assert pending.count() == 3
