@@ -1,10 +1,10 @@
 """Phrases whose words stand together more often than apart: count-min sketches first, exact counts of what survives them.
 
 1. Each task sketches its words, pairs and triples: ``ROWS`` rows of cells, each cell up to
-   ``LEAST`` at most, two cells a byte. Sketches are merged cell by cell. A sum of counts that are cut at
+   ``LEAST`` at most, two cells a byte, compressed. Sketches are merged cell by cell. A sum of counts that are cut at
    ``LEAST`` reaches ``LEAST`` just when the uncut one does, so a merged cell tells for certain that
    nothing in it is frequent enough; it can't lose a frequent phrase.
-2. The cells that reach ``LEAST`` are bits, at most ``ROWS`` * 2**``WIDEST`` of them, which is the bound of
+2. The cells that reach ``LEAST`` are bits, at most ``ROWS`` * 2**``WIDTH`` of them, which is the bound of
    what is broadcast. The second pass counts exactly, by words and not by hashes, what has its bits set
    and whose parts have theirs, and keeps what really is frequent. More text than the bits can tell
    apart only leaves more to count.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from quarrylake.llm.common import bounded, materialize
 
 LEAST, SHOWN, COVER = 10, 2_000, 50
-#: Rows of a sketch; least and most bits of a row's width; bytes of text a cell; cells of a block; words of a part; phrases sketched at once; held before they are handed on.
-ROWS, NARROWEST, WIDEST, BYTES_A_CELL, BLOCK, PART, AT_ONCE, HELD = 2, 16, 26, 32, 1 << 16, 300_000, 3_000_000, 3_000_000
+#: Rows of a sketch; bits of a row's width, the same for every input, as each task sends its own; cells of a block; words of a part; phrases sketched at once; held before they are handed on.
+ROWS, WIDTH, BLOCK, PART, AT_ONCE, HELD = 2, 25, 1 << 16, 200_000, 2_000_000, 2_000_000
 #: Words that a task numbers; three numbers fit in one long integer.
 _BITS = 21
 _SALTS = 32
@@ -139,7 +139,7 @@ def _sketched(width: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     held += [h[grams.own[at]] for h, at in zip(grams.hashes, grams.starts, strict=True)]
                     if sum(map(len, held)) > AT_ONCE:
                         add()
-                    if len(known) > 1 << _BITS - 1:
+                    if len(known) > 1 << _BITS - 3:  # hashes go by the word, so numbers may start anew
                         known.restart()
         if held:
             add()
@@ -148,19 +148,19 @@ def _sketched(width: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], It
             for at in range(0, 1 << width, block):
                 part = sketch[row, at : at + block]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([at // block], pa.int32()), pa.array([(part[::2] | part[1::2] << 4).tobytes()], pa.binary())], ["row", "block", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([at // block], pa.int32()), pa.array([pa.compress((part[::2] | part[1::2] << 4).tobytes(), "zstd", asbytes=True)], pa.binary())], ["row", "block", "cells"])
 
     return run
 
 
-def _merged(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _merged(width: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Cells of many sketches, added; out come bits of those that reach ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                packed = np.frombuffer(row["cells"], np.uint8)
+                packed = np.frombuffer(pa.decompress(row["cells"], min(BLOCK, 1 << width) // 2, "zstd"), np.uint8)
                 cells = np.stack([packed & 15, packed >> 4], 1).ravel()
                 key = row["row"], row["block"]
                 sums[key] = np.minimum(sums[key] + cells, least) if key in sums else cells
@@ -248,10 +248,9 @@ def _counted(width: int, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, size, phrase, n): exact counts of every word, pair and triple that occurs ``least`` times; size 0 has all words. ``least`` is at most 15."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = min(max((size // BYTES_A_CELL).bit_length(), NARROWEST), WIDEST)
+    width = WIDTH
     sketches = bounded(rows).mapInArrow(_sketched(width, least), "row int, block int, cells binary")
-    bits = sketches.repartition("row", "block").mapInArrow(_merged(least), "row int, block int, bits binary")
+    bits = sketches.repartition("row", "block").mapInArrow(_merged(width, least), "row int, block int, bits binary")
     block = min(BLOCK, 1 << width) // 8
     table = [bytearray((1 << width) // 8) for _ in range(ROWS)]
     for row in bits.toLocalIterator():

@@ -117,7 +117,7 @@ def test_phrases_equal_their_sql(spark, sf_dir):
     assert sorted(map(tuple, found.collect())) == sorted(duck_rows(phrases.oracle(), sf_dir))
 
 
-@pytest.mark.parametrize("setting", [{}, {"PART": 5, "AT_ONCE": 50, "HELD": 40}, {"NARROWEST": 3, "WIDEST": 3}, {"_BITS": 6, "PART": 7}])
+@pytest.mark.parametrize("setting", [{}, {"PART": 5, "AT_ONCE": 50, "HELD": 40}, {"WIDTH": 4}, {"_BITS": 6, "PART": 7}])
 def test_phrases_in_small_parts_and_narrow_sketches(spark, documents, monkeypatch, setting):
     for name, value in setting.items():
         monkeypatch.setattr(phrases, name, value)
