@@ -9,6 +9,7 @@ from quarrylake.functions import text as T
 
 #: Dates and deadlines that pass.
 TRANSIENT = (
+    r"(?i)\b(on|by)\s+(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)?,?\s*(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}",
     r"(?i)\b(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+(20\d{2})",
     r"(?i)\b(next|this|last|coming)\s+(week|month|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b",
     r"\b\d{1,2}/\d{1,2}/(?:\d{2}|\d{4})\b",

@@ -6,9 +6,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylake.operators.graph import stored
+
 WINDOW_SECONDS = 60.0
 
 
@@ -53,33 +55,37 @@ def guarded(turns: DataFrame, session_cap: int, daily_budget: int, flagged: str
     """(turn_id, reason) of user turns (turn_id, session, at, flagged): null for a turn let in, else session_cap, injection or daily_budget.
 
     Guards run in that order. A turn that reaches the budget counts for its day, over it or not; only turns let in count for their
-    session. Sessions are dealt by day first: which turns reach the budget depends on the sessions' state, and that state on the budget,
-    so a day's turns are one task's stream, with its counts as the only state. Sessions' counts start anew each day.
+    session, which outlives days. Until a day's budget runs out, sessions don't touch each other: a turn is let in if it isn't
+    flagged and fewer than ``session_cap`` before it in its session were. So all days are decided at once by windows over sessions, up to
+    the first whose budget runs out; what that day has let in is then known, and the days after it are decided anew. A round for each day that runs out.
+    Order is by time, then turn_id; rows without session or time get the reason invalid.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, turns_of_day, used = None, 0, {}
-        for batch in batches:
-            out = []
-            for turn, day, who, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if day != held:
-                    held, turns_of_day, used = day, 0, {}
-                reason = None
-                if used.get(who, 0) >= session_cap:
-                    reason = "session_cap"
-                elif bad:
-                    reason = "injection"
-                else:
-                    turns_of_day += 1
-                    if turns_of_day > daily_budget:
-                        reason = "daily_budget"
-                    else:
-                        used[who] = used.get(who, 0) + 1
-                out.append((turn, reason))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["turn_id", "reason"])
-
     rows = turns.select(F.col("turn_id").cast("long").alias("turn_id"), F.to_date("at").alias("day"), F.col("session").cast("string").alias("w"), F.coalesce(F.col(flagged), F.lit(False)).alias("bad"), "at")
-    return rows.repartition("day").sortWithinPartitions("day", "at", "turn_id").select("turn_id", F.col("day").cast("string").alias("day"), "w", "bad").mapInArrow(run, "turn_id long, reason string")
+    done = rows.filter(F.col("w").isNull() | F.col("at").isNull()).select("turn_id", F.lit("invalid").alias("reason"))
+    rest = stored(rows.dropna(subset=["w", "at"]).withColumn("used", F.lit(0).cast("long")), "turns")
+    own = Window.partitionBy("w").orderBy("at", "turn_id")
+    while not rest.isEmpty():
+        # the clean turns before this one in its session, after those of days that are done
+        before = F.coalesce(F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        told = rest.withColumn("count", F.least(F.col("used") + before, F.lit(session_cap)))
+        told = stored(told.withColumn("reason", F.when(F.col("count") >= session_cap, "session_cap").when(F.col("bad"), "injection")), "told")
+        let_in = told.filter(F.col("reason").isNull())
+        out = let_in.groupBy("day").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > daily_budget).agg(F.min("day").alias("day")).first()["day"]
+        if out is None:
+            done = done.unionByName(told.select("turn_id", "reason"))
+            break
+        of_day = let_in.filter(F.col("day") == F.lit(out))
+        last = of_day.select("at", "turn_id").orderBy("at", "turn_id").limit(daily_budget).agg(F.max(F.struct("at", "turn_id")).alias("last")).first()["last"]
+        after = F.col("at").isNotNull() if last is None else (F.col("at") > F.lit(last["at"])) | ((F.col("at") == F.lit(last["at"])) & (F.col("turn_id") > last["turn_id"]))
+        early = told.filter((F.col("day") < F.lit(out)) | ((F.col("day") == F.lit(out)) & ~after))
+        done = done.unionByName(early.select("turn_id", "reason"))
+        used = early.filter(F.col("reason").isNull()).groupBy("w").agg(F.count(F.lit(1)).alias("more"))
+        known = told.filter((F.col("day") > F.lit(out)) | ((F.col("day") == F.lit(out)) & after)).select("turn_id", "day", "w", "bad", "at", "used").join(used, "w", "left")
+        known = known.select("turn_id", "day", "w", "bad", "at", (F.col("used") + F.coalesce("more", F.lit(0))).alias("used"))
+        spent = known.filter(F.col("day") == F.lit(out))
+        done = done.unionByName(spent.select("turn_id", F.when(F.col("used") >= session_cap, "session_cap").when(F.col("bad"), "injection").otherwise("daily_budget").alias("reason")))
+        rest = stored(known.filter(F.col("day") > F.lit(out)), "turns")
+    return done
 
 
 def released(requests: DataFrame, per_minute: int, service: str = "service") -> DataFrame:

@@ -1,11 +1,11 @@
-"""Connected components by contraction: least neighbour, one jump, edges rewritten, until none are left."""
+"""Scratch tables, and connected components by contraction."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,20 +21,33 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared checkpoint folder and read back: lineage is cut and a lost executor costs a re-read."""
+    """Write to the shared checkpoint folder and read back: lineage is cut and a lost executor costs a re-read. The files go with the driver's JVM."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _ranked(node: str, turn: int) -> Column:
+    return F.struct(F.xxhash64(F.lit(turn), F.col(node)).alias("rank"), F.col(node).alias("node"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``pairs`` (a, b); the component is its least node."""
+    """(node, component) for every node of ``pairs`` (a, b); the component is its least node.
+
+    A round ranks nodes by a hash with the round's seed; each takes the least-ranked of itself and its
+    neighbours, and that one's choice; edges are rewritten and inner ones vanish. Ranks are random whatever
+    the ids, so chains and stars too lose a fixed part of their nodes a round, as is to be expected of
+    chance, and the rounds grow with the logarithm of the nodes.
+    """
     rest = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    labels = None
+    labels, turn = None, 0
     while not rest.isEmpty():
+        turn += 1
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        choice = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
+        choice = both.groupBy("a").agg(F.min(_ranked("b", turn)).alias("m")).select(F.col("a").alias("node"), F.least(_ranked("a", turn), "m")["node"].alias("to"))
         then = choice.select(F.col("node").alias("to"), F.col("to").alias("root"))
         step = stored(choice.join(then, "to").select("node", "root"), "step")
         a, b = step.toDF("a", "ra"), step.toDF("b", "rb")

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylake.operators.admission import guarded
+from quarrylake.operators.graph import scratch
 from quarrylake.plans.tables import table
-from quarrylake.streaming import rates
+from quarrylake.streaming import gates, rates
 
 PER_DAY, PER_SESSION, GAP_SECONDS, LAST, TRIM_CHARS = 5, 3, 43_200, 4, 600
+#: Turns that a session and a day let in; requests that a service lets in a minute, and one session of it.
+SESSION_CAP, DAY_BUDGET, PER_MINUTE, SESSION_REQUESTS = 50, 320, 8, 12
+_REQUESTS = "key string, id long, session string, at double, flagged boolean"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +45,27 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.sliding_counts(spark, sf_dir)
 
 
+def guard_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as turns behind the guards, every eleventh flagged: sessions outlive days, days have a budget of all sessions."""
+    turns = table(spark, sf_dir, "events").select(F.col("event_id").alias("turn_id"), F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 11 == 0).alias("flagged"))
+    return guarded(turns, SESSION_CAP, DAY_BUDGET)
+
+
+def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests, a thousand times as dense, admitted by a stream in two runs; the second goes on from the checkpoint of the first."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e9
+    events = table(spark, sf_dir, "events")
+    rows = events.select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("session"), at.alias("at"), F.lit(False).alias("flagged"))
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    end = spark.createDataFrame([("", -1, "", (last or 0.0) + 1e6, False)], _REQUESTS)  # moves the watermark past all rows
+    place = scratch(spark, "requests")
+    half = ((first or 0.0) + (last or 0.0)) / 2
+    for part, some in enumerate((rows.filter(F.col("at") <= half), rows.filter(F.col("at") > half).unionByName(end))):
+        some.write.parquet(f"{place}/in/part{part}")
+        found = gates.run(spark, f"{place}/in", _REQUESTS, f"{place}/state", f"{place}/out", gates.admission(PER_MINUTE, SESSION_REQUESTS))
+    return found.filter("key <> ''").select(F.col("id").alias("request_id"), "decision", F.col("value").cast("int").alias("used"))
+
+
 def history_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last four messages of each conversation."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
@@ -60,7 +86,7 @@ def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter((F.col("total") <= TRIM_CHARS) | (F.col("back") == 1)).select("conv_id", "turn", "total")
 
 
-QUERIES = {f.__name__: f for f in (sliding_60s_rate, daily_budget, session_budget, stream_sliding_counts, history_last_n, prior_context, history_trim)}
+QUERIES = {f.__name__: f for f in (sliding_60s_rate, daily_budget, session_budget, stream_sliding_counts, guard_decisions, stream_admission, history_last_n, prior_context, history_trim)}
 
 ORACLES = {
     "sliding_60s_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS n FROM events",

@@ -174,3 +174,33 @@ def test_helper_columns_never_clash(spark):
     base = spark.createDataFrame([(1, "a", "b", "c", "d")], "_k int, new__k string, _new string, last_row string, is_new string")
     batch = spark.createDataFrame([(1, "z", "y", "x", "w", 1), (2, "p", "q", "r", "s", 1)], "_k int, new__k string, _new string, last_row string, is_new string, step int")
     assert sorted(tuple(r) for r in upsert.upsert(base, batch, ["_k"], "step").collect()) == [(1, "z", "y", "x", "w"), (2, "p", "q", "r", "s")]
+
+
+def plain_guards(rows, cap, budget):
+    used, turns, out = {}, {}, {}
+    for turn, session, at, flagged in sorted(rows, key=lambda r: (r[2], r[0])):
+        day = at // 86_400
+        if used.get(session, 0) >= cap:
+            out[turn] = "session_cap"
+        elif flagged:
+            out[turn] = "injection"
+        else:
+            turns[day] = turns.get(day, 0) + 1
+            out[turn] = "daily_budget" if turns[day] > budget else None
+            if out[turn] is None:
+                used[session] = used.get(session, 0) + 1
+    return out
+
+
+def guard_rows(n=500):
+    rng = np.random.default_rng(4)
+    return [(i, f"u{rng.integers(60)}", float(rng.integers(0, 6 * 86_400)), bool(rng.random() < 0.2)) for i in range(n)]
+
+
+@pytest.mark.parametrize(("cap", "budget"), [(5, 40), (3, 1_000), (9, 0), (4, 15)])
+def test_guards_outlive_days(spark, cap, budget):
+    rows = guard_rows()
+    frame = spark.createDataFrame([*rows, (900, None, 5.0, False)], "turn_id long, session string, at double, flagged boolean").withColumn("at", F.timestamp_seconds("at"))
+    got = {r["turn_id"]: r["reason"] for r in admission.guarded(frame, cap, budget).collect()}
+    assert got.pop(900) == "invalid"
+    assert got == plain_guards(rows, cap, budget)
