@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
 from quarrylake.operators import dedup as D
+from quarrylake.operators.graph import scratch
+from quarrylake.operators.signatures import SignatureIndex
 from quarrylake.operators.tagging import tag_near_copies
 from quarrylake.plans.tables import NORM, WORDS, table
 
@@ -79,11 +81,23 @@ def minhash_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.lsh_pairs(own.groupBy("doc_id").agg(F.collect_list("shingle").alias("s")))
 
 
+def signature_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in two batches, the lower ids first, through a stored signature index: the pairs of both batches are those of all."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    low, high = docs.agg(F.min("id"), F.max("id")).first()
+    place = scratch(spark, "index")
+    index = SignatureIndex(spark, f"signatures_{place[-12:]}", place, buckets=8)
+    middle = ((low or 0) + (high or 0)) // 2
+    pairs = [index.add(part, F.col("source")) for part in (docs.filter(F.col("id") <= middle), docs.filter(F.col("id") > middle))]
+    index.drop()
+    return pairs[0].unionByName(pairs[1])
+
+
 def embedding_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.greedy_similar(table(spark, sf_dir, "embeddings"), "label", 0.85)
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, content_tokens, word_ngrams_df, exact_dup_groups, jaccard_near_dups, shingle_classes, dup_components, cross_source_canonical, boilerplate_reference, three_pass_tagging, near_copy_tagging, minhash_lsh_pairs, embedding_greedy_dedup)}
+QUERIES = {f.__name__: f for f in (normalize_text, content_tokens, word_ngrams_df, exact_dup_groups, jaccard_near_dups, shingle_classes, dup_components, cross_source_canonical, boilerplate_reference, three_pass_tagging, near_copy_tagging, minhash_lsh_pairs, signature_index_pairs, embedding_greedy_dedup)}
 
 _N = NORM.format("text")
 _FOLD = f"regexp_replace({_N}, 'ffi|ffl|ff|fi|fl|[ﬀ-ﬄ]', 'f', 'g')"
@@ -103,6 +117,7 @@ ORACLES = {
     "exact_dup_groups": f"SELECT 'bp_' || sha256({_N})[1:16] AS cluster_id, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY {_N} HAVING count(*) > 1",
     "jaccard_near_dups": f'WITH {_SETS} SELECT a, b, common, "union" FROM j',
     "minhash_lsh_pairs": f'WITH {_SETS} SELECT a, b, common, "union" FROM j',
+    "signature_index_pairs": f'WITH {_SETS} SELECT a, b, common, "union" FROM j',
     "shingle_classes": f"WITH {_SETS} SELECT doc_id, class_id FROM cl",
     "dup_components": f"""WITH RECURSIVE {_SETS}, e AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),
 c(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, c.root FROM c JOIN e ON c.node = e.a),
