@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import arrays as A
 from quarrylake.functions import text as T
+from quarrylake.functions.cleanup import TRANSIENT
 from quarrylake.operators import retrieval as R
+from quarrylake.operators import traces
 from quarrylake.plans.retrieval import _LEX, _vector
 from quarrylake.plans.tables import NORM, VECTOR_RANKED, WORDS, benchmark_queries, table, vector_queries
 
@@ -119,7 +121,24 @@ def golden_passages_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("item_id", "n_expected", "n_found", (F.col("n_found") / F.col("n_expected")).alias("recall"), (F.col("n_found") / F.col("n_expected") >= 0.8).alias("passed"))
 
 
-QUERIES = {f.__name__: f for f in (explode_ordinals, fixed_window_chunks, citation_counts, link_extraction, page_url_slug, html_main_text, json_props, heading_level_skips, hash_sample, containment_join, text_coverage, ndcg_precision_recall, golden_recall_at_k, golden_passages_recall)}
+def traceable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as test items over the documents: which can be traced to a text, and which name dates that pass."""
+    text = F.coalesce("text", F.lit(""))
+    kind = F.when(F.col("item_id") % 7 == 0, "multi_hop_abstract").otherwise("single_hop")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.array(text, F.reverse(text)).alias("contexts"), kind.alias("kind"), text.alias("question"), F.substring(text, 1, 40).alias("answer"))
+    return traces.validated(items, table(spark, sf_dir, "documents"))
+
+
+def stable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn against the one before it: whether the two are nearly one text, by longest blocks, with as many headers."""
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(before).alias("last")).filter(F.col("last").isNotNull())
+    headers = lambda c: F.regexp_count(c, F.lit(r"(?m)^#{1,6}\s"))
+    alike = traces.block_ratio(F.col("last"), F.col("text"), 0.5)
+    return pairs.select("conv_id", "turn", F.round(alike, 6).alias("similarity"), (F.coalesce(alike > 0.9, F.lit(False)) & (headers("text") == headers("last"))).alias("stable"))
+
+
+QUERIES = {f.__name__: f for f in (explode_ordinals, fixed_window_chunks, citation_counts, link_extraction, page_url_slug, html_main_text, json_props, heading_level_skips, hash_sample, containment_join, text_coverage, ndcg_precision_recall, golden_recall_at_k, golden_passages_recall, traceable_items, stable_turns)}
 
 _HTML = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
 for _tag in ("script", "style", "nav", "footer", "header", "aside"):
@@ -149,6 +168,15 @@ e AS (SELECT query_id, asked, sum(hit) AS hits, min(rank) FILTER (hit = 1) AS fi
 SELECT query_id, (hits / {K})::DOUBLE AS precision, (hits / n)::DOUBLE AS recall, coalesce(1 / first_hit, 0)::DOUBLE AS reciprocal_rank, round(dcg / list_sum(list_transform(range(1, least({K}, n) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM e JOIN n USING (asked)""",
     "golden_recall_at_k": f"""WITH {VECTOR_RANKED}, r AS (SELECT query_id, min(rank) FILTER (vec_id = query_id + 1) AS place FROM vr WHERE rank <= 1000 GROUP BY query_id)
 SELECT query_id, coalesce(place <= 10, false) AS in_10, coalesce(place <= 100, false) AS in_100, coalesce(place <= 1000, false) AS in_1000 FROM r""",
+    "traceable_items": f"""WITH i AS (SELECT item_id, coalesce(text, '') AS q, unnest([coalesce(text, ''), reverse(coalesce(text, ''))]) AS c FROM benchmark),
+j AS (SELECT string_agg(coalesce(text, ''), chr(10) || chr(10)) AS whole FROM documents),
+n AS (SELECT letter, count(*) AS n FROM (SELECT unnest(string_split(whole, '')) AS letter FROM j) GROUP BY letter),
+o AS (SELECT item_id, c, letter, count(*) AS n FROM (SELECT item_id, c, unnest(string_split(left(c, {traces.COMPARED}), '')) AS letter FROM i) GROUP BY ALL),
+r AS (SELECT item_id, c, 2.0 * sum(least(o.n, n.n)) / (any_value(length(left(c, {traces.COMPARED}))) + (SELECT sum(n) FROM n)) AS ratio FROM o JOIN n USING (letter) GROUP BY ALL),
+s AS (SELECT item_id, substr(c, (s + 1)::INTEGER, {traces.WINDOW}) AS part FROM (SELECT item_id, regexp_replace(c, '^\\s+|\\s+$', '', 'g') AS c FROM i) t, unnest(range(0, greatest(1, length(c) - {traces.WINDOW}), {traces.STRIDE})) u(s) WHERE length(c) >= {traces.WINDOW}),
+t AS (SELECT item_id FROM r WHERE ratio >= 0.3 UNION SELECT item_id FROM s SEMI JOIN documents d ON contains(d.text, s.part)),
+b AS (SELECT item_id, coalesce(text, '') AS q FROM benchmark)
+SELECT item_id, CASE WHEN item_id % 7 <> 0 AND item_id NOT IN (SELECT item_id FROM t) THEN 'untraced' WHEN {" OR ".join(f"regexp_matches(q, '{p}')" for p in TRANSIENT)} OR {" OR ".join(f"regexp_matches(left(q, 40), '{p}')" for p in TRANSIENT)} THEN 'transient' ELSE 'kept' END AS verdict FROM b""",
     "golden_passages_recall": f"""WITH {_LEX}, b AS (SELECT item_id, {NORM.format("text")} AS item FROM benchmark), d AS (SELECT doc_id, {NORM.format("text")} AS norm FROM documents),
 x AS (SELECT item_id, doc_id FROM b JOIN d ON contains(' ' || norm || ' ', ' ' || item || ' ') WHERE len(string_split(item, ' ')) >= 3),
 e AS (SELECT x.item_id, count(*) AS n_expected, count(lr.doc_id) AS n_found FROM x LEFT JOIN lr ON lr.query_id = x.item_id AND lr.doc_id = x.doc_id AND lr.rank <= 5 GROUP BY x.item_id)
