@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import courses as K
 from quarrylake.functions import text as T
+from quarrylake.operators import grids
 from quarrylake.operators import layout as P
 from quarrylake.operators import loads as L
 from quarrylake.operators.admission import admit, released
 from quarrylake.operators.graph import scratch
 from quarrylake.plans.tables import table
-from quarrylake.plans.views import LAYOUT, SECTIONS, view
+from quarrylake.plans.views import LAYOUT, SECTIONS, TABLE_BLOCKS, TWO_GRIDS, view
 from quarrylake.sources import files
 
 PER_MINUTE, PER_SESSION = 30, 20
@@ -185,11 +186,26 @@ def budget_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.withColumn("warn", F.col("used") >= 0.8 * PER_SESSION).select("user_id", "event_type", "used", F.greatest(PER_SESSION - F.col("used"), F.lit(0).cast("long")).alias("remaining"), "warn")
 
 
+def merged_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of orders with the rows and cells that the second parser adds."""
+    found = view(spark, sf_dir, TWO_GRIDS).withColumn("m", grids.merged(F.col("a"), F.col("b")))
+    return found.select("doc_id", F.md5(F.array_join(F.flatten("m.grid"), "|")).alias("digest"), F.size("m.grid").alias("n_rows"), F.col("m.inserted").alias("inserted"), F.col("m.upgraded").alias("upgraded"))
+
+
+def spliced_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as markdown, tables that went on after a page break in one piece."""
+    blocks = view(spark, sf_dir, TABLE_BLOCKS)
+    spliced = grids.continuations(blocks).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_joined"), F.sum(F.size("new_rows")).alias("n_rows"))
+    none = F.lit(0).cast("long")
+    return grids.markdown(blocks).join(spliced, "doc_id", "left").select("doc_id", F.md5("text").alias("digest"), F.coalesce("n_joined", none).alias("n_joined"), F.coalesce("n_rows", none).alias("n_rows"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         load_courses, load_documents, load_chunks, load_instructors, load_sections, load_topics, load_policies, load_dry_run, run_columns, structured_rows, merged_extracts, numbered_items, chunk_files,
         structured_files, step_log, layered_logs, inside_tables, link_places, column_pairs, joined_labels, header_pages, admission, waiting, budget_warnings,
+        merged_grids, spliced_markdown,
     )
 }
 

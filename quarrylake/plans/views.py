@@ -63,3 +63,12 @@ SECTIONS = f"""SELECT l_orderkey * 100 + {_NTH} AS seq, l_partkey AS course, l_s
  CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(l_suppkey % 4 AS INT) END AS dept, concat('name', l_partkey % 9) AS instructor, CASE WHEN l_discount > 0.05 THEN concat('m', l_orderkey) END AS email,
  CASE WHEN l_partkey % 2 = 0 THEN concat(' Policy ', l_partkey % 20) ELSE concat('policy ', l_partkey % 20, ' ') END AS policy, concat('t', l_returnflag, ', ,T', l_linestatus, ',x', l_partkey % 3) AS topics, l_returnflag AS doc_type
 FROM lineitem"""
+
+#: Tables of orders as two parsers saw them: the first lost every third row and the ends of some cells.
+TWO_GRIDS = f"""SELECT doc_id, transform(filter(r, x -> x.n % 3 <> 0), x -> array(x.item, x.state)) AS a, transform(r, x -> array(x.item, concat(x.state, x.more))) AS b FROM (
+ SELECT l_orderkey AS doc_id, array_sort(collect_list(named_struct('n', n, 'item', concat('part', l_partkey), 'state', concat('flag ', l_returnflag), 'more', CASE WHEN l_suppkey % 3 = 0 THEN concat(' delivered', l_suppkey) ELSE '' END))) AS r
+ FROM (SELECT *, {_NTH} AS n FROM lineitem) GROUP BY l_orderkey)"""
+#: Blocks of converted documents: texts, tables, and tables that a page break left without a body.
+TABLE_BLOCKS = f"""SELECT doc_id, ord, kind, CASE WHEN outcome = 'lost' THEN NULL WHEN kind = 'text' THEN concat('about part', part) ELSE concat('| part', part, ' | head |') END AS rendered,
+ CASE WHEN kind = 'table' THEN array(array(concat('part', part), concat('name', supp))) END AS grid, outcome
+FROM (SELECT l_orderkey AS doc_id, {_NTH} AS ord, CASE WHEN l_suppkey % 4 = 0 THEN 'text' ELSE 'table' END AS kind, CASE WHEN l_suppkey % 4 = 0 THEN NULL WHEN l_partkey % 5 < 3 THEN 'lost' ELSE 'grid_fallback' END AS outcome, l_partkey % 9 AS part, l_suppkey % 7 AS supp FROM lineitem)"""
