@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,15 +10,8 @@ from pyspark.sql import functions as F
 from quarrylake.functions import text as T
 from quarrylake.operators.names import fresh
 
-#: Queries sent to the tasks at once, and decimals that scores are compared by.
-QUERY_BLOCK, DIGITS = 4096, 12
-
-
-def visible(df: DataFrame, *flags: str) -> DataFrame:
-    """Rows none of whose flags is true; a null flag keeps its row."""
-    for flag in flags:
-        df = df.filter(~F.col(flag).eqNullSafe(True))
-    return df
+#: Queries and rows that a task holds against each other, and decimals that scores are compared by.
+QUERY_BLOCK, ROW_BLOCK, DIGITS = 4096, 16_384, 12
 
 
 def rank_by(df: DataFrame, group: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -29,29 +20,25 @@ def rank_by(df: DataFrame, group: list[str], order: list[Column], k: int | None
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", within: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", within: str | None = None, block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """(query_id, id, rank, score) by falling cosine, exact to ``DIGITS`` decimals; ties go to the smaller id.
 
-    ``queries`` (query_id, q, and ``within`` where given) are met in blocks of ``block``, each sent to the
-    tasks by itself, so what is sent has a bound and the rows never move; a task returns k rows a query.
-    A row is no candidate of the query of its own id, nor, with ``within``, of queries of another value.
-    Rows without a vector, or with one of another length than the queries, take no part; a zero vector scores 0.
+    ``queries`` (query_id, q, and ``within`` where given) are dealt to blocks of about ``block``, rows to blocks of about
+    ``row_block``; a pair of blocks is one task's work, which gives k rows a query, and these are ranked. Only three numbers come to the
+    driver. A row is no candidate of the query of its own id, nor, with ``within``, of queries of another value.
+    Rows without a vector, or with one of another length than the longest query, take no part; a zero vector scores 0.
     """
-    spark = rows.sparkSession
-    keyed = queries.filter(F.col("q").isNotNull())
-    size = keyed.agg(F.max(F.size("q"))).first()[0] or 0
-    keyed = keyed.filter(F.size("q") == size)
-    n = keyed.count()
-    parts = -(-n // block) if n else 0
-    held = rows.filter(F.size("embedding") == size).select(F.col(id_).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), (F.col(within).cast("string") if within else F.lit(None).cast("string")).alias("own"))
-    found = None
-    for part in range(parts):
-        some = keyed.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", F.col("q").cast("array<double>").alias("q"), (F.col(within).cast("string") if within else F.lit(None).cast("string")).alias("own")).toArrow()
-        sent = spark.sparkContext.broadcast((np.array(some["query_id"].to_pylist(), np.int64), _units(some["q"], size), some["own"].to_pylist()))
-        out = held.mapInArrow(_nearest(sent, k, size, within is not None), "query_id long, id long, score double")
-        found = out if found is None else found.unionByName(out)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, score double")
+    known = queries.filter(F.col("q").isNotNull()).agg(F.max(F.size("q")), F.count(F.lit(1))).first()
+    size, n_rows = known[0] or 0, rows.count()
+    parts, row_parts = max(-(-known[1] // block), 1), max(-(-n_rows // row_block), 1)
+    own = F.col(within).cast("string") if within else F.lit(None).cast("string")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.filter(F.size("q") == size).select(F.col("query_id").cast("long").alias("id"), F.col("q").cast("array<double>").alias("v"), own.alias("own"))
+    asked = asked.select(place("id", parts).alias("qb"), spread(row_parts).alias("rb"), "id", "v", "own")
+    held = rows.filter(F.size("embedding") == size).select(F.col(id_).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), own.alias("own"))
+    held = held.select(spread(parts).alias("qb"), place("id", row_parts).alias("rb"), "id", "v", "own")
+    found = asked.groupBy("qb", "rb").cogroup(held.groupBy("qb", "rb")).applyInArrow(_nearest(k, size, within is not None), "query_id long, id long, score double")
     return rank_by(found, ["query_id"], [F.desc("score"), F.col("id")], k).select("query_id", F.col("id").alias(id_), "rank", "score")
 
 
@@ -61,23 +48,24 @@ def _units(cells: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return grid / np.where(length > 0, length, 1.0)[:, None]
 
 
-def _nearest(sent, k: int, size: int, within: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, grid, own = sent.value
+def _nearest(k: int, size: int, within: bool, piece: int = 2_048):
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        asked = np.asarray(queries["id"])
         best, ids = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            some = np.asarray(batch.column(0))
-            score = np.round(grid @ _units(batch.column(1), size).T, DIGITS) + 0.0
-            score[asked[:, None] == some[None]] = -np.inf
-            if within:
-                score[np.array(own, object)[:, None] != np.array(batch.column(2).to_pylist(), object)[None]] = -np.inf
-            best, ids = np.hstack([best, score]), np.hstack([ids, np.broadcast_to(some, score.shape)])
-            order = np.lexsort((ids, -best), axis=1)[:, :k]
-            best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
+        if len(asked) and rows.num_rows:
+            grid, own = _units(queries["v"], size), np.array(queries["own"].to_pylist(), object)
+            for at in range(0, rows.num_rows, piece):
+                part = rows.slice(at, piece)
+                some = np.asarray(part["id"])
+                score = np.round(grid @ _units(part["v"], size).T, DIGITS) + 0.0
+                score[asked[:, None] == some[None]] = -np.inf
+                if within:
+                    score[own[:, None] != np.array(part["own"].to_pylist(), object)[None]] = -np.inf
+                best, ids = np.hstack([best, score]), np.hstack([ids, np.broadcast_to(some, score.shape)])
+                order = np.lexsort((ids, -best), axis=1)[:, :k]
+                best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
         q, at = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(asked[q], pa.int64()), pa.array(ids[q, at], pa.int64()), pa.array(best[q, at], pa.float64())], ["query_id", "id", "score"])
+        return pa.table({"query_id": pa.array(asked[q], pa.int64()), "id": pa.array(ids[q, at], pa.int64()), "score": pa.array(best[q, at], pa.float64())})
 
     return run
 

@@ -58,7 +58,7 @@ def test_vector_search_in_blocks_of_queries(spark):
     queries = frame.filter("vec_id % 50 = 0 AND vec_id < 300").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
     unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
     for within in (None, "label"):
-        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.vector_topk(frame, queries, 6, within=within, block=2).collect()}
+        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.vector_topk(frame, queries, 6, within=within, block=2, row_block=7).collect()}
         for q in range(0, 300, 50):
             held = [(i, v) for i, v, c in rows if v and len(v) == 5 and i != q and (within is None or c == q % 3)]
             want = sorted(held, key=lambda x: (-round(float(unit(x[1]) @ unit(grid[q])), 12) + 0.0, x[0]))[:6]
