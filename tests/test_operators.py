@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.operators import admission, blocks, checks, dedup, layout, loads, retrieval, tagging, upsert
+from quarrylake.functions.cleanup import is_transient
+from quarrylake.operators import admission, blocks, checks, dedup, graph, layout, loads, retrieval, tagging, upsert
 from quarrylake.plans import loads as load_plans
 from quarrylake.sources import files
 
@@ -204,3 +205,29 @@ def test_guards_outlive_days(spark, cap, budget):
     got = {r["turn_id"]: r["reason"] for r in admission.guarded(frame, cap, budget).collect()}
     assert got.pop(900) == "invalid"
     assert got == plain_guards(rows, cap, budget)
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "alternating"])
+def test_components_in_few_rounds(spark, monkeypatch, shape):
+    n = 1_000
+    path = list(range(n)) if shape != "alternating" else [x for i in range(n // 2) for x in (i, n - 1 - i)]
+    edges = [(n - 1, i) for i in range(n - 1)] if shape == "star" else list(zip(path, path[1:], strict=False))
+    rounds = []
+    write = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label: rounds.append(label) or write(df, label))
+    named = [(f"n{a:04}", f"n{b:04}") for a, b in edges] + [("x2", "x1"), ("x1", "x1")]
+    rows = graph.components(spark.createDataFrame(named, "a string, b string")).collect()
+    assert {r["component"] for r in rows if r["node"].startswith("n")} == {"n0000"} and len(rows) == n + 2
+    assert {(r["node"], r["component"]) for r in rows if r["node"].startswith("x")} == {("x1", "x1"), ("x2", "x1")}
+    assert rounds.count("step") < 15
+
+
+@pytest.mark.parametrize(
+    ("text", "transient"),
+    [
+        ("What is due on Tuesday, February 24?", True), ("What must be handed in by Friday, May 1", True), ("on February 24", True), ("When is the exam on  March 3?", True), ("the February 24, 2026 lecture", True),
+        ("what happens next week", True), ("T 10/6", True), ("see Lec. 12", True), ("Homework #3 due", True), ("In May students choose", False), ("the march on Rome in 1922", False), ("How is attendance graded?", False), (None, False),
+    ],
+)
+def test_transient_dates(spark, text, transient):
+    assert spark.createDataFrame([(text,)], "t string").select(is_transient(F.col("t")).alias("x")).first()["x"] is transient
