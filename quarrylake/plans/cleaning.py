@@ -10,10 +10,11 @@ from quarrylake.functions import courses
 from quarrylake.functions import markdown as M
 from quarrylake.functions import text as T
 from quarrylake.operators import chunks as C
+from quarrylake.operators import meetings
 from quarrylake.plans.checks import markdown_view
 from quarrylake.plans.scalars import _pick, _x
 from quarrylake.plans.tables import table
-from quarrylake.plans.views import BLOCKS, CHUNKS, view
+from quarrylake.plans.views import BLOCKS, CHUNKS, MEETINGS, view
 
 REGISTRY = {"university policies": "POLICY", "college of engineering": "MASTHEAD", "grading": "GRADING"}
 SENTENCES = (r"The university views class attendance[^.]*\.", r"Please refer to Student Rule 7[^.]*\.")
@@ -155,10 +156,15 @@ def used_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce("used", F.lit(False)).alias("used"), F.when(F.col("used"), 0).otherwise(F.col("size")).alias("size"))
 
 
+def meeting_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of course information with the meeting days that lines around them tell."""
+    return meetings.fill_days(view(spark, sf_dir, MEETINGS)).filter(F.col("filled").isNotNull())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        cleanup_functions, section_chunks, markdown_chunks, overlap_chunks, fixed_token_chunks, visible_chunks, hidden_chunks, processed_documents, anchor_rates, document_rows, aligned_blocks, sidecar_headers, two_sources, stage_wide,
+        meeting_days, cleanup_functions, section_chunks, markdown_chunks, overlap_chunks, fixed_token_chunks, visible_chunks, hidden_chunks, processed_documents, anchor_rates, document_rows, aligned_blocks, sidecar_headers, two_sources, stage_wide,
         context_courses, used_rows,
     )
 }
@@ -166,7 +172,19 @@ QUERIES = {
 _C = f"c AS ({CHUNKS})"
 _KEY = "lower(trim(regexp_replace(regexp_replace({0}, '[*_`#]', '', 'g'), '\\s+', ' ', 'g')))"
 _NORM_X = "trim(regexp_replace(translate(lower({0}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\s+', ' ', 'g'))"
+_DAYS = ", ".join(f"'{d}'" for d in meetings.DAYS)
+_FRAME = "OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN {0} AND {1})"
+_AROUND = _FRAME.format(f"{meetings.AROUND} PRECEDING", f"{meetings.AROUND} FOLLOWING")
 ORACLES = {
+    "meeting_days": f"""WITH v AS ({MEETINGS.replace(" div ", " // ")}), l AS (SELECT doc_id, idx, trim(line) AS t, lower(trim(line)) AS low FROM v),
+x AS (SELECT *, (low LIKE 'meeting location:%online%') OR (regexp_matches(low, '^online(\\s+online)*$') AND length(t) < 40) AS onl, low LIKE 'start time:%' AND trim(substr(low, 12)) IN ('', 'n/a', 'na', 'none') AS untimed,
+  regexp_extract(t, '{meetings.DAYS_TIME}', 1) AS d, regexp_matches(t, '{meetings.LABEL_AS_VALUE}') AS label FROM l),
+y AS (SELECT *, CASE WHEN d IN ({_DAYS}) THEN d END AS days FROM x),
+w AS (SELECT *, bool_or(onl) {_AROUND} AS o, bool_or(untimed) {_AROUND} AS u, arg_min(days, idx) FILTER (days IS NOT NULL AND NOT label) {_FRAME.format(f"{meetings.AROUND} PRECEDING", "CURRENT ROW")} AS before,
+  arg_min(days, idx) FILTER (days IS NOT NULL) {_FRAME.format("1 FOLLOWING", f"{meetings.AROUND} FOLLOWING")} AS later FROM y),
+f AS (SELECT *, coalesce(before, later) AS found, label OR t = 'Meeting Days:' AS empty FROM w)
+SELECT doc_id, idx, 'Meeting Days:' || CASE WHEN o AND u THEN ' Asynchronous' WHEN found IS NOT NULL THEN ' ' || found ELSE '' END AS line, CASE WHEN o AND u THEN 'asynchronous' WHEN found IS NOT NULL THEN 'parsed' ELSE 'collision' END AS filled
+FROM f WHERE empty AND (o AND u OR found IS NOT NULL OR label)""",
     "cleanup_functions": "SELECT p_partkey, " + ", ".join(f"{sql} AS {name}" for name, _, sql in CASES) + " FROM part",
     "section_chunks": r"""WITH d AS (SELECT doc_id, trim(text, chr(10) || ' ') AS t FROM documents WHERE text IS NOT NULL), e AS (SELECT *, round_even(length(t) / 4.0, 0)::INTEGER AS n FROM d)
 SELECT doc_id, 0 AS idx, md5(t) AS digest, '' AS header_path, n AS token_count, CASE WHEN n > 500 THEN 'OVERSIZED,' ELSE '' END || CASE WHEN regexp_matches(t, '\|.*\|') THEN 'HAS_TABLE,' ELSE '' END || 'NO_HEADER' AS flags FROM e WHERE n >= 15""",

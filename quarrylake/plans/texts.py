@@ -134,7 +134,7 @@ def stable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("turn")
     pairs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(before).alias("last")).filter(F.col("last").isNotNull())
     headers = lambda c: F.regexp_count(c, F.lit(r"(?m)^#{1,6}\s"))
-    alike = traces.block_ratio(F.col("last"), F.col("text"), 0.5)
+    alike = traces.block_ratio(F.col("last"), F.col("text"), 0.1)
     return pairs.select("conv_id", "turn", F.round(alike, 6).alias("similarity"), (F.coalesce(alike > 0.9, F.lit(False)) & (headers("text") == headers("last"))).alias("stable"))
 
 

@@ -72,3 +72,7 @@ TWO_GRIDS = f"""SELECT doc_id, transform(filter(r, x -> x.n % 3 <> 0), x -> arra
 TABLE_BLOCKS = f"""SELECT doc_id, ord, kind, CASE WHEN outcome = 'lost' THEN NULL WHEN kind = 'text' THEN concat('about part', part) ELSE concat('| part', part, ' | head |') END AS rendered,
  CASE WHEN kind = 'table' THEN array(array(concat('part', part), concat('name', supp))) END AS grid, outcome
 FROM (SELECT l_orderkey AS doc_id, {_NTH} AS ord, CASE WHEN l_suppkey % 4 = 0 THEN 'text' ELSE 'table' END AS kind, CASE WHEN l_suppkey % 4 = 0 THEN NULL WHEN l_partkey % 5 < 3 THEN 'lost' ELSE 'grid_fallback' END AS outcome, l_partkey % 9 AS part, l_suppkey % 7 AS supp FROM lineitem)"""
+#: Lines of course information, many to a document.
+MEETINGS = """SELECT l_orderkey div 40 AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey div 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS idx,
+ CASE l_partkey % 31 WHEN 0 THEN 'Meeting Days:' WHEN 1 THEN ' Meeting Days: ' WHEN 2 THEN 'Meeting Days: Start Time: MWF 3:00PM' WHEN 3 THEN 'Start Time: N/A' WHEN 4 THEN 'Start Time: 9:35' WHEN 5 THEN 'Meeting Location: ONLINE'
+ WHEN 6 THEN 'Online  ONLINE' WHEN 7 THEN 'Meeting Times: TR 9:35AM' WHEN 8 THEN 'Meeting Times: MTW 10:20' WHEN 9 THEN 'Meeting Days: MWF' ELSE concat('line ', l_suppkey) END AS line FROM lineitem"""

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylake.operators import traces
+from quarrylake.plans import texts as texts_plan
 
 
 def letters(rng, n, of="abcdeé \n"):
@@ -91,3 +92,16 @@ def test_verdicts(spark):
     assert got == {1: "kept", 2: "untraced", 3: "kept", 4: "empty", 5: "empty", 6: "transient", 7: "transient", 8: "untraced"}
     none = spark.createDataFrame([], "text string")
     assert {r["verdict"] for r in traces.validated(frame.filter("item_id = 1"), none).collect()} == {"untraced"}
+
+
+def test_stable_turns_equal_the_library(spark, small_dir):
+    turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{small_dir}/conversations.parquet").collect()}
+    rows = texts_plan.stable_turns(spark, small_dir).collect()
+    assert rows and any(r["similarity"] is not None for r in rows)
+    last = {}
+    for conv, turn in sorted(turns):
+        last[conv, turn] = last.get(conv)
+        last[conv] = turns[conv, turn]
+    for r in rows:
+        ratio = SequenceMatcher(None, last[r["conv_id"], r["turn"]], turns[r["conv_id"], r["turn"]]).ratio()
+        assert r["similarity"] == (round(ratio, 6) if ratio >= 0.1 else None)
