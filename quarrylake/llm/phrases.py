@@ -178,6 +178,7 @@ def _counted(width: int, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         words: dict[str, _Words] = {}
         held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         totals: dict[str, int] = {}
+        told = 0
 
         def passed(hashes: np.ndarray) -> np.ndarray:
             ok = np.ones(len(hashes), bool)
@@ -231,12 +232,14 @@ def _counted(width: int, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     if len(words[lang]) > 1 << _BITS - 1:
                         yield from out(lang)
                         words[lang].restart()
-                    if waiting() > HELD:
+                        told = min(told, waiting())
+                    if waiting() - told > HELD:  # so many since they were last summed
                         for key, parts in held.items():
                             held[key] = [joined(parts)]
-                        if waiting() > HELD // 2:
+                        if waiting() > HELD * 3 // 2:
                             for of in words:
                                 yield from out(of)
+                        told = waiting()
         for lang in words:
             yield from out(lang)
         if totals:
