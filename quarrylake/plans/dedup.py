@@ -78,7 +78,7 @@ def near_copy_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of classes at Jaccard 0.8 or more; ``shingle_classes`` tells their members."""
     _, own = D.class_shingles(table(spark, sf_dir, "documents"))
-    return D.lsh_pairs(own.groupBy("doc_id").agg(F.collect_list("shingle").alias("s")))
+    return D.lsh_pairs(own.select("doc_id", "s"))
 
 
 def signature_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
