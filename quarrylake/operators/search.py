@@ -52,10 +52,11 @@ def build(docs: DataFrame, fields: dict[str, float], stems: bool = True, k1: flo
     A field's weight multiplies its counts and its length, before saturation and length normalisation.
     """
     rows = docs.select(F.col(id_).cast("long").alias("doc_id"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])
-    words = None
-    for i, weight in enumerate(fields.values()):
-        some = _terms(rows, ["doc_id"], F.col(f"f{i}"), stems).withColumn("weight", F.lit(float(weight)))
-        words = some if words is None else words.unionByName(some)
+    # texts move once, to their documents' tasks, in place of a row for each word; counts and lengths need no further shuffle
+    some = lambda c, weight: F.transform(F.coalesce(search_terms(c, stems), F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(float(weight)).alias("weight")))
+    each = [some(F.col(f"f{i}"), weight) for i, weight in enumerate(fields.values())]
+    words = rows.repartition("doc_id").select("doc_id", F.explode(F.concat(*each)).alias("w")).select("doc_id", "w.word", "w.weight")
+    words = words.withColumn("word", stem(F.col("word"))) if stems else words
     tf = words.groupBy("doc_id", F.col("word").alias("term")).agg(F.sum("weight").alias("tf"))
     tf = stored(tf.withColumn("len", F.sum("tf").over(Window.partitionBy("doc_id"))), "tf")
     lengths = tf.groupBy("doc_id").agg(F.max("len").alias("len"))
@@ -75,8 +76,11 @@ def candidates(index: Index, queries: DataFrame, k: int, seed_postings: int = SE
     asked = _terms(queries, ["query_id"], F.col("text"), index.stems).select("query_id", F.col("word").alias("term")).distinct()
     by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
     asked = asked.join(index.terms, "term").withColumn("before", F.coalesce(F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    asked = stored(asked, "terms")
+    # of the index, only the terms that are asked for move
+    postings = index.postings.join(stored(asked.select("term").distinct(), "term"), "term", "left_semi")
     seeds = asked.filter(F.col("before") < seed_postings).select("query_id", "term")
-    sums = seeds.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.sum("adds").alias("score"))
+    sums = seeds.join(postings, "term").groupBy("query_id", "doc_id").agg(F.sum("adds").alias("score"))
     kth = rank_by(sums, ["query_id"], [F.desc("score")], k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("threshold"))
     by_most = Window.partitionBy("query_id").orderBy("most", "term")
     asked = asked.join(kth, "query_id", "left").select("query_id", "term", "most", F.coalesce("threshold", F.lit(0)).alias("threshold"), F.sum("most").over(by_most).alias("upto"))
@@ -86,9 +90,9 @@ def candidates(index: Index, queries: DataFrame, k: int, seed_postings: int = SE
     live = live.filter(F.col("bound") >= F.col("threshold")).select("query_id", "block")
     rest = asked.groupBy("query_id").agg(F.sum(F.when(F.col("weak"), F.col("most")).otherwise(0)).alias("rest"))
     strong = asked.filter(~F.col("weak")).join(rest, "query_id").join(live, "query_id").select("query_id", "term", "block", "threshold", "rest")
-    found = strong.join(index.postings, ["term", "block"]).groupBy("query_id", "doc_id", "threshold", "rest").agg(F.sum("adds").alias("score"))
+    found = strong.join(postings, ["term", "block"]).groupBy("query_id", "doc_id", "threshold", "rest").agg(F.sum("adds").alias("score"))
     found = stored(found.filter(F.col("score") + F.col("rest") >= F.col("threshold")).select("query_id", "doc_id", "score"), "candidates")
-    more = found.select("query_id", "doc_id").join(asked.filter("weak").select("query_id", "term"), "query_id").join(index.postings.select("term", "doc_id", "adds"), ["doc_id", "term"])
+    more = found.select("query_id", "doc_id").join(asked.filter("weak").select("query_id", "term"), "query_id").join(postings.select("term", "doc_id", "adds"), ["doc_id", "term"])
     return found.unionByName(more.select("query_id", "doc_id", F.col("adds").alias("score"))).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
