@@ -20,6 +20,14 @@ GRADING = ("grad", "weight", "assessment", "evaluation")
 COMPLETE = 0.8
 
 
+_BREAKS = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029"
+
+
+def _may_be_empty(gfm: Column) -> Column:
+    """False only where no row can have an empty cell: no bars with nothing between, no bar before a tab, no bar alone."""
+    return gfm.rlike(rf"\|[ \t]*\||\| *\t|(?:^|[{_BREAKS}])\s*\|\s*(?:$|[{_BREAKS}])")
+
+
 def cells(row: Column) -> Column:
     """Trimmed cells of a bar row."""
     return F.split(F.regexp_replace(F.trim(row), r"^\|+\s*|\s*\|+$", ""), r"\s*\|\s*")
@@ -52,7 +60,7 @@ def all_cells(gfm: Column) -> Column:
 
 
 def empty_ratio(gfm: Column) -> Column:
-    return let(all_cells(gfm), _ratio)
+    return F.when(_may_be_empty(gfm), let(all_cells(gfm), _ratio)).otherwise(F.lit(0.0))
 
 
 def _ratio(found: Column) -> Column:
@@ -70,9 +78,15 @@ def empty_run(found: Column) -> Column:
     return F.aggregate(found, start, step, lambda s: s["top"])
 
 
+def longest_empty(gfm: Column) -> Column:
+    """``empty_run`` of a table's cells."""
+    return F.when(_may_be_empty(gfm), empty_run(all_cells(gfm))).otherwise(F.lit(0))
+
+
 def is_degenerate(gfm: Column, run: int = 8, ratio: float = 0.6, least: int = 6) -> Column:
     """A table of at least ``least`` cells with a long run of empty ones, or mostly empty."""
-    return let(all_cells(gfm), lambda found: (F.size(found) >= least) & ((empty_run(found) >= run) | (_ratio(found) > ratio)))
+    damaged = let(all_cells(gfm), lambda found: (F.size(found) >= least) & ((empty_run(found) >= run) | (_ratio(found) > ratio)))
+    return F.when(_may_be_empty(gfm), damaged).otherwise(F.lit(False))
 
 
 def looks_like_table(c: Column) -> Column:
@@ -108,29 +122,43 @@ def truncated(gfm: Column, grid: Column) -> Column:
     return (F.trim(F.coalesce(gfm, F.lit(""))) != "") & ~is_degenerate(gfm) & fewer
 
 
-def outcome(gfm: Column, grid: Column, partial: Column) -> Column:
-    """Which of a table's forms is kept: transcribed, grid_fallback, partial_kept or lost. The fuller form wins."""
-    gfm = F.trim(F.coalesce(gfm, F.lit("")))
-    n_text = F.when((gfm != "") & ~is_degenerate(gfm), row_count(gfm)).otherwise(F.lit(0))
+def judged(gfm: Column, grid: Column, partial: Column) -> Column:
+    """(outcome, degenerate, truncated, n_rows) of a table, its rows and the grid's counted once.
+
+    The outcome is which of its forms is kept: transcribed, grid_fallback, partial_kept or lost. The fuller form wins.
+    """
+    text = F.coalesce(gfm, F.lit(""))
     partial = F.trim(F.coalesce(partial, F.lit("")))
 
     def of(n: Column) -> Column:
-        whole = (n["text"] > 0) & ((n["grid"] == 0) | (n["text"] >= n["grid"] * COMPLETE) & covered(gfm, grid))
-        return (
+        sound = F.when(n["bad"], F.lit(0)).otherwise(n["rows"])
+        whole = (sound > 0) & ((n["grid"] == 0) | (sound >= n["grid"] * COMPLETE) & covered(text, grid))
+        kept = (
             F.when(whole, "transcribed")
             .when(n["grid"] >= 1, "grid_fallback")
-            .when(n["text"] > 0, "transcribed")
+            .when(sound > 0, "transcribed")
             .when(looks_like_table(partial) & ~is_degenerate(partial), "partial_kept")
             .otherwise("lost")
         )
+        short = (F.trim(text) != "") & ~n["bad"] & (n["grid"] > 0) & (n["rows"] < n["grid"] * COMPLETE)
+        return F.struct(kept.alias("outcome"), n["bad"].alias("degenerate"), short.alias("truncated"), n["rows"].alias("n_rows"))
+
+    return let(F.struct(row_count(text).alias("rows"), is_degenerate(text).alias("bad"), grid_rows(grid).alias("grid")), of)
+
+
+def outcome(gfm: Column, grid: Column, partial: Column) -> Column:
+    """Which of a table's forms is kept."""
+    return judged(gfm, grid, partial)["outcome"]
+
 
-    return let(F.struct(n_text.alias("text"), grid_rows(grid).alias("grid")), of)
+def body(kept: Column, gfm: Column, grid: Column, partial: Column) -> Column:
+    """The text of the form that is kept."""
+    return F.when(kept == "transcribed", F.trim(gfm)).when(kept == "grid_fallback", to_gfm(grid)).when(kept == "partial_kept", F.trim(partial)).otherwise("")
 
 
 def render(gfm: Column, grid: Column, partial: Column) -> Column:
     """(body, outcome) of the form that is kept."""
-    body = lambda kept: F.when(kept == "transcribed", F.trim(gfm)).when(kept == "grid_fallback", to_gfm(grid)).when(kept == "partial_kept", F.trim(partial)).otherwise("")
-    return let(outcome(gfm, grid, partial), lambda kept: F.struct(body(kept).alias("body"), kept.alias("outcome")))
+    return let(outcome(gfm, grid, partial), lambda kept: F.struct(body(kept, gfm, grid, partial).alias("body"), kept.alias("outcome")))
 
 
 def continues(before: Column, grid: Column) -> Column:

@@ -135,9 +135,9 @@ def markdown_metrics(docs: DataFrame) -> DataFrame:
 
 def table_metrics(tables: DataFrame) -> DataFrame:
     """One row a document of (doc_id, gfm, grid, partial, confidence, caption, described) tables: outcomes and damage."""
-    kept = B.outcome(F.col("gfm"), F.col("grid"), F.col("partial"))
     each = F.count_if
-    rows = tables.withColumns({"kept": kept, "bad": B.is_degenerate(F.coalesce("gfm", F.lit(""))), "short": B.truncated(F.col("gfm"), F.col("grid"))})
+    rows = tables.withColumn("judged", B.judged(F.col("gfm"), F.col("grid"), F.col("partial")))
+    rows = rows.withColumns({"kept": F.col("judged.outcome"), "bad": F.col("judged.degenerate"), "short": F.col("judged.truncated")})
     return rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tables"), *[each(F.col("kept") == k).alias(f"n_{k}") for k in ("transcribed", "grid_fallback", "partial_kept", "lost")],
         each("bad").alias("n_degenerate"), each("short").alias("n_truncated"), F.sum(B.failure_markers(F.col("caption"))).alias("n_failure_markers"),

@@ -152,11 +152,11 @@ def table_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, empty cells and rendered form of each table."""
-    gfm = F.coalesce("gfm", F.lit(""))
-    kept = B.render(F.col("gfm"), F.col("grid"), F.col("partial"))
-    return tables_view(spark, sf_dir).select(
-        "doc_id", "ord", B.row_count(gfm).alias("n_rows"), B.empty_ratio(gfm).alias("empty_ratio"), B.empty_run(B.all_cells(gfm)).alias("empty_run"), B.is_degenerate(gfm).alias("degenerate"),
-        B.looks_like_table(gfm).alias("tabular"), F.md5(B.to_gfm(F.col("grid"))).alias("grid_md5"), kept["outcome"].alias("outcome"), F.md5(kept["body"]).alias("body_md5"),
+    gfm, kept = F.coalesce("gfm", F.lit("")), F.col("judged.outcome")
+    told = tables_view(spark, sf_dir).withColumn("judged", B.judged(F.col("gfm"), F.col("grid"), F.col("partial")))
+    return told.select(
+        "doc_id", "ord", F.col("judged.n_rows").alias("n_rows"), B.empty_ratio(gfm).alias("empty_ratio"), B.longest_empty(gfm).alias("empty_run"), F.col("judged.degenerate").alias("degenerate"),
+        B.looks_like_table(gfm).alias("tabular"), F.md5(B.to_gfm(F.col("grid"))).alias("grid_md5"), kept.alias("outcome"), F.md5(B.body(kept, F.col("gfm"), F.col("grid"), F.col("partial"))).alias("body_md5"),
     )
 
 
