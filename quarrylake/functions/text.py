@@ -80,7 +80,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def content_tokens(c: Column) -> Column:
     """Distinct lower-cased tokens of four or more characters (addresses and numbers whole), edge dots, slashes, colons, dashes stripped."""
     raw = F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9][A-Za-z0-9./:@_+#-]{3,}"), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(raw, lambda t: F.regexp_replace(F.lower(t), r"^[./:-]+|[./:-]+$", "")), lambda t: F.length(t) >= 4))
+    return F.array_distinct(F.filter(F.transform(raw, lambda t: F.rtrim(F.lower(t), F.lit("./:-"))), lambda t: F.length(t) >= 4))  # a match begins with a letter or digit
 
 
 def stable_cluster_id(normalized: Column) -> Column:

@@ -2,44 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import tables as G
 from quarrylake.functions import text as T
-from quarrylake.operators.layout import rows_match
+from quarrylake.functions.arrays import let
+from quarrylake.operators.layout import row_tokens, tokens_match
 
 #: Letters of a token that is worth a cell or a row.
 LONG = 4
 GRID = "array<array<string>>"
 
 
-def _bound(value: Column, zero: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once; ``zero`` is any value of the result's type."""
-    return F.aggregate(F.array(value), zero, lambda _, v: body(v))
-
-
-def _tokens(row: Column) -> Column:
-    return T.content_tokens(F.array_join(F.filter(row, lambda c: F.coalesce(c, F.lit("")) != ""), " "))
-
-
-def _long_extra(more: Column, less: Column) -> Column:
-    return F.exists(F.array_except(more, less), lambda t: F.length(t) >= LONG)
-
-
 def _upgraded(row: Column, other: Column) -> Column:
     """(row, n): cells that aren't blank take the other's text where that holds all their tokens and a long one more."""
 
     def cell(mine: Column, theirs: Column) -> Column:
         x, y = (T.content_tokens(F.coalesce(c, F.lit(""))) for c in (mine, theirs))
-        better = (F.trim(F.coalesce(mine, F.lit(""))) != "") & (F.size(F.array_except(x, y)) == 0) & _long_extra(y, x)
-        return F.struct(F.when(better, theirs).otherwise(mine).alias("c"), better.cast("int").alias("n"))
+        better = ~mine.eqNullSafe(theirs) & (F.trim(F.coalesce(mine, F.lit(""))) != "") & let(F.struct(x.alias("x"), y.alias("y")), lambda t: (F.size(F.array_except(t["x"], t["y"])) == 0) & F.exists(F.array_except(t["y"], t["x"]), lambda w: F.length(w) >= LONG))
+        return let(better, lambda b: F.struct(F.when(b, theirs).otherwise(mine).alias("c"), b.cast("int").alias("n")))
 
-    cells = F.zip_with(row, other, cell)
-    zero = F.struct(F.array().cast("array<string>").alias("row"), F.lit(0).alias("n"))
-    return _bound(cells, zero, lambda found: F.struct(F.transform(found, lambda c: c["c"]).alias("row"), F.aggregate(found, F.lit(0), lambda s, c: s + c["n"]).alias("n")))
+    return let(F.zip_with(row, other, cell), lambda found: F.struct(found["c"].alias("row"), F.aggregate(found["n"], F.lit(0), lambda s, n: s + n).alias("n")))
 
 
 def merged(grid: Column, other: Column) -> Column:
@@ -47,32 +31,37 @@ def merged(grid: Column, other: Column) -> Column:
 
     The rows of both are walked in order. Rows that match are one, with its cells upgraded; a row of ``other`` that matches none to come and
     holds a long token that the grid lacks is put in; all rows of ``grid`` stay, in their order. Grids whose rows aren't all of one width, or
-    that are empty or null, leave the grid as it is.
+    that are empty or null, leave the grid as it is. A row's tokens are told once; only those of an upgraded row are told again.
     """
     none = F.array().cast(GRID)
     a, b = F.coalesce(grid, none), F.coalesce(other, none)
     width = F.coalesce(F.size(F.get(a, F.lit(0))), F.lit(0))
     even = (F.size(a) > 0) & (F.size(b) > 0) & (width > 0) & F.forall(a, lambda r: F.size(r) == width) & F.forall(b, lambda r: F.size(r) == width)
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), none.alias("grid"), F.lit(0).alias("inserted"), F.lit(0).alias("upgraded"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), none.alias("grid"), none.alias("told"), F.lit(0).alias("inserted"), F.lit(0).alias("upgraded"))
+    result = lambda g, inserted, upgraded: F.struct(g.alias("grid"), inserted.alias("inserted"), upgraded.alias("upgraded"))
 
     def walk(both: Column) -> Column:
-        a, b, known = both["a"], both["b"], both["known"]
+        a, b, x, y, news = both["a"], both["b"], both["x"], both["y"], both["news"]
 
         def step(s: Column, _: Column) -> Column:
-            d, p = F.get(a, s["i"]), F.get(b, s["j"])
-            lacks = lambda among: F.exists(F.filter(_tokens(p), lambda t: ~F.array_contains(known, t)), lambda t: F.length(t) >= LONG) & ~F.exists(among, lambda r: rows_match(r, p))
-            put = lambda i, j, row, inserted, upgraded: F.struct((s["i"] + i).alias("i"), (s["j"] + j).alias("j"), F.when(F.lit(row is None), s["grid"]).otherwise(F.concat(s["grid"], F.array(p if row is None else row))).alias("grid"), (s["inserted"] + inserted).alias("inserted"), (s["upgraded"] + upgraded).alias("upgraded"))
+            d, p, q = F.get(a, s["i"]), F.get(b, s["j"]), F.get(y, s["j"])
+            lacks = lambda among: F.get(news, s["j"]) & ~F.exists(among, lambda t: tokens_match(t, q))
+            put = lambda i, j, row, told, inserted, upgraded: F.struct((s["i"] + i).alias("i"), (s["j"] + j).alias("j"), F.concat(s["grid"], F.array(row)).alias("grid"), F.concat(s["told"], F.array(told)).alias("told"), (s["inserted"] + inserted).alias("inserted"), (s["upgraded"] + upgraded).alias("upgraded"))
+            mine, theirs = put(1, 0, d, F.get(x, s["i"]), 0, 0), put(0, 1, p, q, 1, 0)
+            passed = F.struct(s["i"].alias("i"), (s["j"] + 1).alias("j"), s["grid"].alias("grid"), s["told"].alias("told"), s["inserted"].alias("inserted"), s["upgraded"].alias("upgraded"))
+            same = put(1, 1, d, F.get(x, s["i"]), 0, 0)
+            met = F.when(d == p, same).otherwise(let(_upgraded(d, p), lambda u: F.when(u["n"] > 0, put(1, 1, u["row"], row_tokens(u["row"]), 0, u["n"])).otherwise(same)))
+            both_left = F.when(tokens_match(F.get(x, s["i"]), q), met).when(lacks(F.slice(x, s["i"] + 1, F.size(a))), theirs).otherwise(mine)
+            tail = F.when(lacks(s["told"]), theirs).otherwise(passed)
             more_a, more_b = s["i"] < F.size(a), s["j"] < F.size(b)
-            match = _bound(_upgraded(d, p), s, lambda u: put(1, 1, u["row"], 0, u["n"]))
-            both_left = F.when(rows_match(d, p), match).when(lacks(F.slice(a, s["i"] + 1, F.size(a))), put(0, 1, p, 1, 0)).otherwise(put(1, 0, d, 0, 0))
-            tail = F.when(lacks(s["grid"]), put(0, 1, p, 1, 0)).otherwise(put(0, 1, None, 0, 0))
-            return F.when(more_a & more_b, both_left).when(more_a, put(1, 0, d, 0, 0)).when(more_b, tail).otherwise(s)
+            return F.when(more_a & more_b, both_left).when(more_a, mine).when(more_b, tail).otherwise(s)
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), start, step)
+        return F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), start, step, lambda s: result(s["grid"], s["inserted"], s["upgraded"]))
 
-    ready = F.struct(a.alias("a"), b.alias("b"), T.content_tokens(G.grid_text(a)).alias("known"))
-    out = F.when(even, _bound(ready, start, walk)).otherwise(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), a.alias("grid"), F.lit(0).alias("inserted"), F.lit(0).alias("upgraded")))
-    return F.struct(out["grid"].alias("grid"), out["inserted"].alias("inserted"), out["upgraded"].alias("upgraded"))
+    ready = F.struct(a.alias("a"), b.alias("b"), F.transform(a, row_tokens).alias("x"), F.transform(b, row_tokens).alias("y"))
+    new = lambda r: F.transform(r["y"], lambda t: F.exists(F.array_except(t, F.flatten(r["x"])), lambda w: F.length(w) >= LONG))
+    told = let(ready, lambda r: let(F.struct(*[r[k].alias(k) for k in ("a", "b", "x", "y")], new(r).alias("news")), walk))
+    return F.when(even, told).otherwise(result(a, F.lit(0), F.lit(0)))
 
 
 def continuations(blocks: DataFrame) -> DataFrame:
@@ -94,7 +83,7 @@ def continuations(blocks: DataFrame) -> DataFrame:
     more = cont.select("doc_id", "ord", F.explode(T.content_tokens(G.grid_text(F.col("grid")))).alias("token"))
     since = shown.unionByName(more).groupBy("doc_id", "token").agg(F.min("ord").alias("since"))
     each = cont.select("doc_id", "ord", F.posexplode("grid").alias("nth", "row"))
-    tokens = each.select("doc_id", "ord", "nth", F.explode(_tokens(F.col("row"))).alias("token"))
+    tokens = each.select("doc_id", "ord", "nth", F.explode(row_tokens(F.col("row"))).alias("token"))
     new = tokens.join(since, ["doc_id", "token"]).filter(F.col("since") >= F.col("ord")).select("doc_id", "ord", "nth").distinct()
     kept = each.join(new, ["doc_id", "ord", "nth"]).groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("nth", "row"))).alias("r")).select("doc_id", "ord", F.col("r.row").alias("new_rows"))
     return cont.select("doc_id", "ord", "head").join(kept, ["doc_id", "ord"], "left").select("doc_id", "ord", "head", F.coalesce("new_rows", F.array().cast(GRID)).alias("new_rows"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
+from quarrylake.functions.arrays import let
 
 PAGE = ["doc_id", "page"]
 
@@ -70,12 +71,21 @@ def join_labels(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select(*PAGE, "ord", F.when(recovered, F.concat(F.regexp_replace("text", r"\s+$", ""), F.lit(" "), "value")).otherwise(F.col("text")).alias("text"), recovered.alias("recovered"))
 
 
-def rows_match(a: Column, b: Column, least: float = 0.4) -> Column:
-    """Whether two rows of cells are one: one's content tokens are part of the other's, or enough are common; two rows without any are."""
-    x, y = (T.content_tokens(F.array_join(F.filter(r, lambda c: F.coalesce(c, F.lit("")) != ""), " ")) for r in (a, b))
-    part = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
+def row_tokens(row: Column) -> Column:
+    """Content tokens of a row of cells."""
+    return T.content_tokens(F.array_join(row, " "))
+
+
+def tokens_match(x: Column, y: Column, least: float = 0.4) -> Column:
+    """Whether rows of these distinct tokens are one: all of one are the other's, or enough are common; two rows without any are."""
     some = (F.size(x) > 0) & (F.size(y) > 0)
-    return F.when(some, part | (T.jaccard(x, y) >= least)).otherwise((F.size(x) == 0) & (F.size(y) == 0))
+    common = lambda n: (n == F.size(x)) | (n == F.size(y)) | (n / (F.size(x) + F.size(y) - n) >= least)
+    return F.when(some, (x == y) | let(F.size(F.array_intersect(x, y)), common)).otherwise((F.size(x) == 0) & (F.size(y) == 0))
+
+
+def rows_match(a: Column, b: Column, least: float = 0.4) -> Column:
+    """Whether two rows of cells are one, by their content tokens."""
+    return let(F.struct(row_tokens(a).alias("x"), row_tokens(b).alias("y")), lambda t: tokens_match(t["x"], t["y"], least))
 
 
 def page_lookup(headers: DataFrame) -> DataFrame:
