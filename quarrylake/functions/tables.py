@@ -6,6 +6,9 @@ grid has no rows. A null text counts as empty.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,12 @@ COMPLETE = 0.8
 _BREAKS = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029"
 
 
+def _one_break(c: Column) -> Column:
+    """A text whose line breaks are all line feeds; few have others."""
+    others = [F.contains(c, F.lit(x)) for x in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"]
+    return F.when(reduce(or_, others), F.regexp_replace(c, rf"\r\n|[{_BREAKS}]", "\n")).otherwise(c)
+
+
 def _may_be_empty(gfm: Column) -> Column:
     """False only where no row can have an empty cell: no bars with nothing between, no bar before a tab, no bar alone."""
     return gfm.rlike(rf"\|[ \t]*\||\| *\t|(?:^|[{_BREAKS}])\s*\|\s*(?:$|[{_BREAKS}])")
@@ -186,12 +195,17 @@ def row_percent(row: Column) -> Column:
 
 
 def weights(header: Column, content: Column, least: int = 3) -> Column:
-    """Row weights of the table with most percentages, where the text is about grading and there are ``least`` rows; else empty."""
+    """Row weights of the table with most percentages, where the text is about grading and there are ``least`` rows; else empty.
+
+    A row's weight is its first percentage; rules have no digit, so none. Lines that aren't a table's part the text into its tables.
+    """
     about = F.lower(F.concat_ws(" ", header, content)).rlike("|".join(GRADING))
-    each = F.transform(tables(content), lambda t: F.filter(F.transform(F.filter(t, lambda r: ~is_rule(r)), row_percent), lambda w: w.isNotNull()))
+    lines = F.concat(F.lit("\n"), _one_break(F.coalesce(content, F.lit(""))))
+    each = F.transform(F.split(lines, r"\n(?! *\|)[^\n]*"), lambda t: F.regexp_extract_all(t, F.lit(r"\n[^\n]*?([0-9]++(?:\.[0-9]++)?)[ \t]*+%[^\n]*"), F.lit(1)))
+    best = F.aggregate(each, F.array().cast("array<string>"), lambda s, w: F.when(F.size(w) > F.size(s), w).otherwise(s))
     none = F.array().cast("array<double>")
-    best = F.aggregate(each, none, lambda s, w: F.when(F.size(w) > F.size(s), w).otherwise(s))
-    return F.when(F.coalesce(about, F.lit(False)) & (F.size(best) >= least), best).otherwise(none)
+    told = let(best, lambda b: F.when(F.size(b) >= least, F.transform(b, lambda w: w.cast("double"))).otherwise(none))
+    return F.when(F.coalesce(about, F.lit(False)), told).otherwise(none)
 
 
 def weight_sum(found: Column) -> Column:

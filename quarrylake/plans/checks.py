@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import markdown as M
 from quarrylake.functions import tables as B
+from quarrylake.functions.arrays import let
 from quarrylake.operators import checks as C
 from quarrylake.operators.checks import Check
 from quarrylake.plans.tables import table
@@ -164,10 +165,10 @@ def grading_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grading tables of documents: weights, their sum, and whether it misses 100 by five or more."""
     rows = view(spark, sf_dir, GRADES)
     line = F.concat(F.lit("| item "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("weight").cast("string"), F.lit("% (5% each) |"))
-    held = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    found = B.weights(F.lit("Grading"), F.concat(F.lit("Weights below\n| item | weight |\n| --- | --- |\n"), "body", F.lit("\nend")))
-    told = held.select("doc_id", found.alias("w")).filter(F.size("w") > 0)
-    return told.select("doc_id", F.size("w").alias("n_rows"), B.weight_sum(F.col("w")).alias("weight_sum"), (F.abs(B.weight_sum(F.col("w")) - 100) < 5).alias("passed"))
+    body = F.array_join(F.sort_array(F.collect_list(F.struct("ord", line.alias("line"))))["line"], "\n")
+    found = B.weights(F.lit("Grading"), F.concat(F.lit("Weights below\n| item | weight |\n| --- | --- |\n"), body, F.lit("\nend")))
+    told = let(found, lambda w: let(B.weight_sum(w), lambda total: F.struct(F.size(w).alias("n_rows"), total.alias("weight_sum"), (F.abs(total - 100) < 5).alias("passed"))))
+    return rows.groupBy("doc_id").agg(told.alias("told")).filter("told.n_rows > 0").select("doc_id", "told.*")
 
 
 def checks_drift(spark: SparkSession, sf_dir: str) -> DataFrame:

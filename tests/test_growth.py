@@ -1,8 +1,13 @@
 """Steps whose work has to grow no faster than their input: what is told of a row is told once."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from quarrylake.functions import tables as B
 from quarrylake.operators import grids
+from quarrylake.plans import checks
 
 
 def told(frame, name):
@@ -14,3 +19,29 @@ def test_merged_grids_tell_the_tokens_of_a_row_once(spark):
     frame = spark.createDataFrame([(1, [["a"]], [["b"]])], f"id long, a {grids.GRID}, b {grids.GRID}")
     both = frame.withColumn("m", grids.merged(F.col("a"), F.col("b"))).select("id", F.size("m.grid"), F.md5(F.array_join(F.flatten("m.grid"), "|")), "m.inserted", "m.upgraded")
     assert told(both, "regexp_extract_all") <= 10
+
+
+def plain_weights(text):
+    """Percentages of the first table that has most."""
+    best, cur = [], []
+    for line in [*re.split("\r\n|[\n\r\x0b\u2028]", text), ""]:
+        if line.lstrip(" ").startswith("|"):
+            cur += [float(m[1]) for m in [re.search(r"([0-9]+(?:\.[0-9]+)?)\s*%", line)] if m]
+        else:
+            best, cur = max(best, cur, key=len), []
+    return best if len(best) >= 3 else []
+
+
+def test_weights_are_those_of_a_plain_walk(spark):
+    rng = random.Random(3)
+    pieces = ["| a | 10% |", "| b | 12.5 % (5% each) |", "  | 1.2.3% |", "| --- | --- |", "| none |", "text 5%", "", "|", "| 7%", "\t| 9% |", "| 5\t% | 6% |", "- | 4%"]
+    cases = [(i, "".join(rng.choice(pieces) + rng.choice(["\n", "\n", "\n", "\r\n", "\r", "\x0b", "\u2028"]) for _ in range(rng.randint(0, 14)))) for i in range(400)]
+    cases += [(900, ""), (901, "| 1% |\n| 2% |\r\n| 3% |"), (902, "\n\n| 1% |\n\n| 2% |\n| 3% |\n")]
+    frame = spark.createDataFrame(cases, "id long, c string")
+    got = {r["id"]: r["w"] for r in frame.select("id", B.weights(F.lit("Grading"), F.col("c")).alias("w")).collect()}
+    assert got == {i: plain_weights(c) for i, c in cases} and sum(map(bool, got.values())) > 50
+    assert frame.select(B.weights(F.lit("About"), F.lit(None).cast("string")).alias("w")).distinct().collect() == [([],)]
+
+
+def test_grading_weights_tells_its_percentages_once(spark, small_dir):
+    assert told(checks.grading_weights(spark, small_dir), "regexp_extract_all") == 1 and told(checks.grading_weights(spark, small_dir), "regexp_extract") == 0
