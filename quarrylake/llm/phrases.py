@@ -32,7 +32,7 @@ from quarrylake.llm.common import bounded, materialize
 
 LEAST, SHOWN, COVER = 10, 2_000, 50
 #: Rows of a sketch; bits of a row's width, the same for every input, as each task sends its own; cells of a block; words of a part; phrases sketched at once; held before they are handed on.
-ROWS, WIDTH, BLOCK, PART, AT_ONCE, HELD = 3, 25, 1 << 16, 200_000, 2_000_000, 2_000_000
+ROWS, WIDTH, BLOCK, PART, AT_ONCE, HELD = 3, 26, 1 << 16, 200_000, 2_000_000, 2_000_000
 #: Words that a task numbers; three numbers fit in one long integer.
 _BITS = 21
 _SALTS = 32

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrylake.llm import divergence, phrases, queries
@@ -131,3 +132,19 @@ def test_phrases_edges(messy, empty):
     docs = [(d[2], d[1]) for d in MESSY]
     assert sorted(map(tuple, phrases.mine(messy, 2, 100).collect())) == plain_phrases(docs, 2, 100)
     assert phrases.mine(empty).collect() == []
+
+
+def test_most_phrases_just_under_the_threshold_stay_out_of_the_second_pass():
+    """Cells and different phrases of about half a GB of text, both by 1,024 less: the rare ones aren't to fill the cells."""
+    width, rare, near = phrases.WIDTH - 10, (1 << 27) >> 10, 2_000
+    words = [f"rare{i}" for i in range(rare)] + [f"near{i}" for i in range(near)] * 9 + ["often"] * 10
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["\n".join(words).encode()], pa.binary())], ["lang", "text"])
+    cells = [bytearray((1 << width) // 8) for _ in range(phrases.ROWS)]
+    block = min(phrases.BLOCK, 1 << width) // 8
+    for part in phrases._merged(width, 10)(phrases._sketched(width, 10)(iter([batch]))):
+        for row in part.to_pylist():
+            cells[row["row"]][row["block"] * block : (row["block"] + 1) * block] = row["bits"]
+    bits = type("Shared", (), {"value": [bytes(row) for row in cells]})
+    counted = {r["phrase"]: r["n"] for part in phrases._counted(width, bits)(iter([batch])) for r in part.to_pylist()}
+    assert counted["often"] == 10 and counted[""] == len(words)
+    assert sum(p.startswith("near") for p in counted) < 0.8 * near
