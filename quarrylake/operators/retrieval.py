@@ -48,24 +48,32 @@ def _units(cells: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return grid / np.where(length > 0, length, 1.0)[:, None]
 
 
-def _nearest(k: int, size: int, within: bool, piece: int = 2_048):
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        asked = np.asarray(queries["id"])
+def _nearest(k: int, size: int, within: bool, piece: int = 2_048, at_once: int = 256):
+    def nearest(asked: np.ndarray, grid: np.ndarray, own: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         best, ids = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0), np.int64)
-        if len(asked) and rows.num_rows:
-            grid, own = _units(queries["v"], size), np.array(queries["own"].to_pylist(), object)
-            for at in range(0, rows.num_rows, piece):
-                part = rows.slice(at, piece)
-                some = np.asarray(part["id"])
-                score = np.round(grid @ _units(part["v"], size).T, DIGITS) + 0.0
-                score[asked[:, None] == some[None]] = -np.inf
-                if within:
-                    score[own[:, None] != np.array(part["own"].to_pylist(), object)[None]] = -np.inf
-                best, ids = np.hstack([best, score]), np.hstack([ids, np.broadcast_to(some, score.shape)])
-                order = np.lexsort((ids, -best), axis=1)[:, :k]
-                best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
-        q, at = np.nonzero(np.isfinite(best))
-        return pa.table({"query_id": pa.array(asked[q], pa.int64()), "id": pa.array(ids[q, at], pa.int64()), "score": pa.array(best[q, at], pa.float64())})
+        for some, units, labels in parts:
+            score = np.round(grid @ units.T, DIGITS) + 0.0
+            score[asked[:, None] == some[None]] = -np.inf
+            if within:
+                score[own[:, None] != labels[None]] = -np.inf
+            best, ids = np.hstack([best, score]), np.hstack([ids, np.broadcast_to(some, score.shape)])
+            order = np.lexsort((ids, -best), axis=1)[:, :k]
+            best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
+        return best, ids
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        labels = lambda part: np.array(part["own"].to_pylist(), object)
+        if queries.num_rows and rows.num_rows:
+            parts = [(np.asarray(part["id"]), _units(part["v"], size), labels(part)) for part in (rows.slice(at, piece) for at in range(0, rows.num_rows, piece))]
+            for at in range(0, queries.num_rows, at_once):  # scores of few queries at once
+                some = queries.slice(at, at_once)
+                asked = np.asarray(some["id"])
+                best, ids = nearest(asked, _units(some["v"], size), labels(some), parts)
+                q, place = np.nonzero(np.isfinite(best))
+                found.append((asked[q], ids[q, place], best[q, place]))
+        query_id, ids, score = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"query_id": pa.array(query_id, pa.int64()), "id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())})
 
     return run
 

@@ -2,11 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarrylake.functions import tables as B
-from quarrylake.operators import grids
+from quarrylake.operators import grids, retrieval
 from quarrylake.plans import checks
 
 
@@ -45,3 +48,19 @@ def test_weights_are_those_of_a_plain_walk(spark):
 
 def test_grading_weights_tells_its_percentages_once(spark, small_dir):
     assert told(checks.grading_weights(spark, small_dir), "regexp_extract_all") == 1 and told(checks.grading_weights(spark, small_dir), "regexp_extract") == 0
+
+
+def test_vector_search_holds_the_scores_of_few_queries_at_once():
+    rng = np.random.default_rng(5)
+    vectors = lambda n, first: pa.table({"id": np.arange(first, first + n), "v": pa.array(rng.standard_normal((n, 4)).tolist(), pa.list_(pa.float64())), "own": pa.nulls(n, pa.string())})
+    queries, rows = vectors(1_500, 0), vectors(2_048, 1_400)
+    tracemalloc.start()
+    found = retrieval._nearest(3, 4, False)(queries, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # a matrix of all scores is 25 MB, and it takes several
+    unit = lambda t: np.array([v / np.linalg.norm(v) for v in np.array(t["v"].to_pylist())])
+    score = np.round(unit(queries) @ unit(rows).T, 12)
+    score[np.arange(1_500)[:, None] == np.arange(1_400, 3_448)[None]] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :3] + 1_400
+    assert sorted(zip(found["query_id"].to_pylist(), found["id"].to_pylist(), strict=True)) == sorted((q, int(i)) for q in range(1_500) for i in want[q])
