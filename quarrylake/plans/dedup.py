@@ -29,9 +29,7 @@ def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_ngrams_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 5-grams by the number of documents that hold them, those of several documents."""
-    # the first explode keeps the optimiser from splitting each text anew for every gram of it
-    split = table(spark, sf_dir, "documents").select(F.explode(F.array(T.words(T.normalize_text(F.col("text"))))).alias("words"))
-    return split.select(F.explode(F.array_distinct(T.ngrams(F.col("words"), 5))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    return D.shared_grams(table(spark, sf_dir, "documents"), 5)
 
 
 def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,16 @@
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarrylake.functions import tables as B
+from quarrylake.operators import dedup as D
 from quarrylake.operators import grids, retrieval
-from quarrylake.plans import checks
+from quarrylake.plans import checks, dedup
 
 
 def told(frame, name):
@@ -64,3 +66,17 @@ def test_vector_search_holds_the_scores_of_few_queries_at_once():
     score[np.arange(1_500)[:, None] == np.arange(1_400, 3_448)[None]] = -np.inf
     want = np.argsort(-score, axis=1, kind="stable")[:, :3] + 1_400
     assert sorted(zip(found["query_id"].to_pylist(), found["id"].to_pylist(), strict=True)) == sorted((q, int(i)) for q in range(1_500) for i in want[q])
+
+
+def test_grams_of_texts_are_counted_by_hashes(spark, small_dir, monkeypatch):
+    assert "hashpartitioning(gram" not in dedup.word_ngrams_df(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(D, "BUCKETS", 3)
+    monkeypatch.setattr(D, "HELD_GRAMS", 40)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(120)]
+    texts += [None, "", "a b c", "A, b!  c\nD e", "a b c d e", "a b c d e", "a b c d e " * 9, "\u00e9 \u00df x y z", "\u00c9 \u00df x y z"]
+    frame = spark.createDataFrame([(i // 2 or None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    words = [re.sub(r"[,!]", "", t or "").lower().split() for t in texts]
+    df = Counter(g for w in words for g in {" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    assert sorted(map(tuple, D.shared_grams(frame).collect())) == sorted((g, n) for g, n in df.items() if n > 1)
+    assert D.shared_grams(frame.limit(0)).collect() == []
