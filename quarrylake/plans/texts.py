@@ -71,20 +71,23 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     An item meets a document by a hash of its first three words, so no pair is tried without them;
     the whole item is compared then.
     """
-    gram = lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " ")))
+    # a gram is told by the hashes of its words; where a text ends there are two of fewer words, which meet no item
+    after = lambda w, n: F.slice(w, n + 1, F.size(w))
+    both = lambda a, b: F.xxhash64(a, b)
+    gram = lambda w: F.zip_with(F.zip_with(w, after(w, 1), both), after(w, 2), both)
 
     def shaped(name: str, key: str) -> DataFrame:
         norm = table(spark, sf_dir, name).select(key, T.normalize_text(F.col("text")).alias("norm"))
-        # the explode keeps the optimiser from splitting each text anew for every word of it
-        once = norm.select(key, F.explode(F.array(F.struct("norm", T.words(F.col("norm")).alias("words")))).alias("s"))
-        return once.select(key, "s.*").filter(F.size("words") >= 3)
+        # the explodes keep the optimiser from splitting and hashing each text anew for every word of it
+        split = norm.select(key, "norm", F.explode(F.array(T.words(F.col("norm")))).alias("words")).filter(F.size("words") >= 3)
+        return split.select(key, "norm", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("w"))
 
-    items = shaped("benchmark", "item_id").select("item_id", F.col("norm").alias("item"), F.get(gram(F.col("words")), F.lit(0)).alias("key"))
-    docs = shaped("documents", "doc_id").select("doc_id", "norm", F.array_distinct(gram(F.col("words"))).alias("keys"))
+    items = shaped("benchmark", "item_id").select("item_id", F.col("norm").alias("item"), F.get(gram(F.col("w")), F.lit(0)).alias("key"))
+    docs = shaped("documents", "doc_id").select("doc_id", "norm", F.array_distinct(gram(F.col("w"))).alias("keys"))
     posted = docs.select("doc_id", F.explode("keys").alias("key"))
     met = posted.join(items, "key").select("item_id", "item", "doc_id")
-    both = met.join(docs.select("doc_id", "norm"), "doc_id")
-    return both.filter(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "item", F.lit(" ")))).select("item_id", "doc_id")
+    pairs = met.join(docs.select("doc_id", "norm"), "doc_id")
+    return pairs.filter(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "item", F.lit(" ")))).select("item_id", "doc_id")
 
 
 def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrylake.functions import tables as B
 from quarrylake.operators import dedup as D
 from quarrylake.operators import grids, retrieval
-from quarrylake.plans import checks, dedup
+from quarrylake.plans import checks, dedup, texts
 
 
 def told(frame, name):
@@ -80,3 +80,13 @@ def test_grams_of_texts_are_counted_by_hashes(spark, small_dir, monkeypatch):
     df = Counter(g for w in words for g in {" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
     assert sorted(map(tuple, D.shared_grams(frame).collect())) == sorted((g, n) for g, n in df.items() if n > 1)
     assert D.shared_grams(frame.limit(0)).collect() == []
+
+
+def test_passages_meet_by_hashes_of_words(spark, tmp_path):
+    docs = [(1, "a b c d"), (2, "x, A  b\nC"), (3, "b c"), (4, None), (5, "a b d c"), (6, "a b c a b c"), (7, "ab c d e")]
+    items = [(10, "a b c"), (11, "B c d!"), (12, "b c"), (13, ""), (14, None), (15, "a b c a"), (16, "b c d e"), (17, "ab c d e")]
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    found = texts.containment_join(spark, str(tmp_path))
+    assert told(found, "array_join") == 0
+    assert sorted(map(tuple, found.collect())) == [(10, 1), (10, 2), (10, 6), (11, 1), (15, 6), (17, 7)]
