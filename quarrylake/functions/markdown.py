@@ -37,11 +37,13 @@ def links(c: Column) -> Column:
     """(label, target) of the links of a text, in order."""
     c = F.coalesce(c, F.lit(""))
     labels, targets = (F.regexp_extract_all(c, F.lit(LINK), F.lit(i)) for i in (1, 2))
-    return F.zip_with(labels, targets, lambda a, b: F.struct(a.alias("label"), b.alias("target")))
+    found = F.zip_with(labels, targets, lambda a, b: F.struct(a.alias("label"), b.alias("target")))
+    return F.when(F.contains(c, F.lit("](")), found).otherwise(F.array().cast("array<struct<label:string,target:string>>"))
 
 
 def without_links(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), LINK, " ")
+    c = F.coalesce(c, F.lit(""))
+    return F.when(F.contains(c, F.lit("](")), F.regexp_replace(c, LINK, " ")).otherwise(c)
 
 
 def link_value(target: Column) -> Column:

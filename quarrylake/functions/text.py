@@ -79,8 +79,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def content_tokens(c: Column) -> Column:
     """Distinct lower-cased tokens of four or more characters (addresses and numbers whole), edge dots, slashes, colons, dashes stripped."""
-    raw = F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9][A-Za-z0-9./:@_+#-]{3,}"), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(raw, lambda t: F.rtrim(F.lower(t), F.lit("./:-"))), lambda t: F.length(t) >= 4))  # a match begins with a letter or digit
+    raw = F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9][A-Za-z0-9./:@_+#-]{2,}[A-Za-z0-9@_+#]"), F.lit(0))  # begins and ends with what isn't stripped
+    return F.array_distinct(F.transform(raw, F.lower))
 
 
 def stable_cluster_id(normalized: Column) -> Column:
@@ -129,14 +129,22 @@ def protected_signal(c: Column) -> Column:
     return F.when(url != "", F.concat(F.lit("url:"), url)).otherwise(course_signal(c))
 
 
+def _any_word(words: tuple[str, ...] | list[str]) -> str:
+    """A pattern of whole words, by their first letter, which is looked at before all else."""
+    first = {w[0]: [] for w in words}
+    for w in words:
+        first[w[0]].append(w[1:])
+    return rf"(?=[{''.join(first)}])\b(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in first.items()) + r")\b"
+
+
 def letter_drops(c: Column) -> Column:
     """How many words lost a doubled letter."""
-    return F.regexp_count(c, F.lit(r"\b(?:" + "|".join(LETTER_DROPS) + r")\b"))
+    return F.regexp_count(c, F.lit(_any_word(LETTER_DROPS)))
 
 
 def ligature_damage(c: Column) -> Column:
     """How many words lost an f-ligature, in either case."""
-    return F.regexp_count(c, F.lit(r"(?i)\b(?:" + "|".join(LIGATURE_DAMAGE) + r")\b"))
+    return F.regexp_count(c, F.lit("(?i)" + _any_word(LIGATURE_DAMAGE)))
 
 
 def replacement_chars(c: Column) -> Column:

@@ -68,43 +68,46 @@ def block_metrics(blocks: DataFrame) -> DataFrame:
     """One row a document of (doc_id, ord, page, kind, level, raw_level, text, x, y, caption, survives) blocks.
 
     ``x`` and ``y`` are a box's extents (0 where unknown), ``survives`` whether the text is kept. Rows
-    are dealt by document once; order within one is a window's.
+    are dealt by document once, for two windows (neighbours in order, sums of the page) and one grouping, whose
+    lists hold a block's tokens and links once; all sets are made of these lists.
     """
-    rows = blocks.repartition("doc_id")
     kind, text = F.col("kind"), F.coalesce("text", F.lit(""))
-    written = kind.isin("text", "heading")
-    own = Window.partitionBy("doc_id", kind == "heading").orderBy("ord")
-    following = F.lead(F.struct("page", "kind", text.alias("text"))).over(Window.partitionBy("doc_id", written).orderBy("ord"))
-    trimmed = F.trim(text)
+    written, heading, table = kind.isin("text", "heading"), kind == "heading", kind == "table"
+    neighbours = blocks.withColumns({
+        "area": F.abs(F.col("x") * F.col("y")), "levels": F.when(heading, F.struct("level", "raw_level")), "told": F.when(written, F.struct("page", "kind", F.trim(text).alias("text"))),
+    }).withColumns({k: F.expr(f"{f} IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY ord)") for k, f in (("above", "lag(levels)"), ("next", "lead(told)"))})
+    of_page = Window.partitionBy("doc_id", "page").orderBy("ord")
+    whole = of_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = neighbours.withColumns({
+        "nth": F.row_number().over(of_page), "page_chars": F.sum(F.when(written, F.length(text)).otherwise(0)).over(whole),
+        "image": F.coalesce(F.max(F.when(kind == "image", F.col("area"))).over(whole), F.lit(0.0)), "unmeasured": F.coalesce(F.bool_or((kind == "image") & (F.col("area") == 0)).over(whole), F.lit(False)),
+    })
+    trimmed, answer = F.trim(text), F.col("next.text")
     label = (kind == "text") & trimmed.endswith(":") & F.length(trimmed).between(3, 35) & ~F.contains(trimmed, F.lit("\n")) & (F.size(F.split(trimmed, r"\s+")) <= 4)
-    answer = F.trim(F.col("next.text"))
     answered = F.coalesce((F.col("next.page") == F.col("page")) & (F.col("next.kind") == "text") & (answer != "") & ~answer.endswith(":"), F.lit(False))
-    skip = lambda c: (kind == "heading") & (F.lag(c).over(own) > 0) & (F.col(c) > F.lag(c).over(own) + 1)
-    area = F.abs(F.col("x") * F.col("y"))
-    rows = rows.withColumns({"next": following, "skip": skip("level"), "raw_skip": skip("raw_level"), "area": area, "label": label}).withColumn("answered", answered)
-    page = rows.groupBy("doc_id", "page").agg(
-        F.sum(F.when(written, F.length(text)).otherwise(0)).alias("chars"), F.max(F.when(kind == "image", F.col("area"))).alias("image"), F.coalesce(F.bool_or((kind == "image") & (F.col("area") == 0)), F.lit(False)).alias("unmeasured")
-    )
-    pages = page.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if((F.col("chars") < 50) & ((F.coalesce("image", F.lit(0.0)) >= 50_000) | F.col("unmeasured"))).alias("n_ocr"))
-    found = M.links(text)
+    skip = lambda c: heading & (F.col(f"above.{c}") > 0) & (F.col(c) > F.col(f"above.{c}") + 1)
+    rows = rows.withColumns({"label": label, "answered": answered, "found": M.links(text), "tokens": T.content_tokens(text)})
+    block = F.struct("tokens", F.coalesce("survives", F.lit(False)).alias("survives"), F.coalesce(table, F.lit(False)).alias("table"))
     told = rows.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_blocks"), F.count_if(kind == "text").alias("n_text"), F.count_if(kind == "heading").alias("n_headings"), F.count_distinct(F.when(kind == "heading", F.col("level"))).alias("n_levels"),
-        F.count_if("skip").alias("n_skips"), F.count_if("raw_skip").alias("n_raw_skips"), F.sum(T.replacement_chars(text)).alias("n_replacement"), F.sum(T.letter_drops(text)).alias("n_drops"), F.sum(T.ligature_damage(text)).alias("n_ligature"),
-        F.count_if((kind == "heading") & M.is_suspicious(text)).alias("n_suspicious"), F.count_if("label").alias("n_labels"), F.count_if(F.col("label") & ~F.col("answered")).alias("n_unanswered"),
+        F.count(F.lit(1)).alias("n_blocks"), F.count_if(kind == "text").alias("n_text"), F.count_if(heading).alias("n_headings"), F.size(F.collect_set(F.when(heading, F.col("level")))).cast("long").alias("n_levels"),
+        F.count_if(skip("level")).alias("n_skips"), F.count_if(skip("raw_level")).alias("n_raw_skips"), F.sum(T.replacement_chars(text)).alias("n_replacement"), F.sum(T.letter_drops(text)).alias("n_drops"), F.sum(T.ligature_damage(text)).alias("n_ligature"),
+        F.count_if(heading & M.is_suspicious(text)).alias("n_suspicious"), F.count_if("label").alias("n_labels"), F.count_if(F.col("label") & ~F.col("answered")).alias("n_unanswered"),
         F.count_if((kind == "image") & (F.col("area") >= 50_000) & (F.trim(F.coalesce("caption", F.lit(""))) == "")).alias("n_content_images"), F.sum(F.length(text)).alias("n_chars"),
-        F.sum(F.size(F.filter(found, lambda x: M.is_garbled(x["label"])))).alias("n_garbled"),
-        F.flatten(F.collect_list(F.transform(found, lambda x: M.link_value(x["target"])))).alias("targets"), F.array_join(F.collect_list(M.without_links(text)), "\n").alias("plain"),
-        F.array_distinct(F.flatten(F.collect_list(T.content_tokens(text)))).alias("source"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("survives"), T.content_tokens(text))))).alias("kept"),
-        F.collect_list(F.when(kind == "table", T.content_tokens(text))).alias("tables"), F.array_distinct(F.flatten(F.collect_list(F.when(kind == "table", T.content_tokens(text))))).alias("in_tables"), F.array_distinct(F.flatten(F.collect_list(F.when((kind == "table") & F.col("survives"), T.content_tokens(text))))).alias("in_kept_tables"),
+        F.count_if(F.col("nth") == 1).alias("n_pages"), F.count_if((F.col("nth") == 1) & (F.col("page_chars") < 50) & ((F.col("image") >= 50_000) | F.col("unmeasured"))).alias("n_ocr"),
+        F.collect_list(F.when(F.size("found") > 0, F.col("found"))).alias("found"), F.collect_list(M.without_links(text)).alias("plain"), F.collect_list(F.when(F.size("tokens") > 0, block)).alias("blocks"),
     )
-    fabricated = F.size(F.filter("targets", lambda t: (t != "") & F.contains(F.col("plain"), t)))
-    gone = F.size(F.filter("tables", lambda t: (F.size(t) >= 3) & (2 * F.size(F.array_except(t, F.col("kept"))) > F.size(t))))
-    out = told.join(pages, "doc_id").withColumns({
-        "n_gone_tables": gone,
+    flat = lambda among: F.array_distinct(F.flatten(among["tokens"]))
+    tables = F.filter("blocks", lambda b: b["table"])
+    told = told.withColumns({"found": F.flatten("found"), "tables": tables, "source": flat(F.col("blocks")), "kept": flat(F.filter("blocks", lambda b: b["survives"]))})
+    told = told.withColumns({"in_tables": flat(F.col("tables")), "in_kept_tables": flat(F.filter("tables", lambda b: b["survives"])), "targets": F.transform("found", lambda x: M.link_value(x["target"]))})
+    plain = F.array_join("plain", "\n")
+    fabricated = F.when(F.size("targets") > 0, A.let(plain, lambda p: F.size(F.filter("targets", lambda t: (t != "") & F.contains(p, t))))).otherwise(0)
+    gone = F.size(F.filter("tables", lambda b: (F.size(b["tokens"]) >= 3) & (2 * F.size(F.array_except(b["tokens"], F.col("kept"))) > F.size(b["tokens"]))))
+    return told.withColumns({
+        "n_garbled": F.size(F.filter("found", lambda x: M.is_garbled(x["label"]))).cast("long"), "n_gone_tables": gone,
         "n_links": F.size("targets"), "n_fabricated": fabricated, "n_tokens": F.size("source"), "n_lost_tokens": _missing(F.col("kept"), F.col("source")),
         "n_table_tokens": F.size("in_tables"), "n_lost_table_tokens": _missing(F.col("in_kept_tables"), F.col("in_tables")),
-    })
-    return out.drop("targets", "plain", "source", "kept", "in_tables", "in_kept_tables", "tables")
+    }).drop("found", "targets", "plain", "blocks", "source", "kept", "in_tables", "in_kept_tables", "tables")
 
 
 def chunk_metrics(chunks: DataFrame, oversized: int = 500) -> DataFrame:

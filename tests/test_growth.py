@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarrylake.functions import tables as B
+from quarrylake.functions import text as T
 from quarrylake.operators import dedup as D
 from quarrylake.operators import grids, retrieval
 from quarrylake.plans import checks, dedup, texts
@@ -90,3 +91,37 @@ def test_passages_meet_by_hashes_of_words(spark, tmp_path):
     found = texts.containment_join(spark, str(tmp_path))
     assert told(found, "array_join") == 0
     assert sorted(map(tuple, found.collect())) == [(10, 1), (10, 2), (10, 6), (11, 1), (15, 6), (17, 7)]
+
+
+def moves(frame):
+    """How often rows are dealt anew in a plan, and how often it joins."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning"), plan.count("Join ")
+
+
+def test_blocks_are_dealt_once_and_told_once(spark, small_dir):
+    for query in (checks.block_metrics, checks.checks_blocks):
+        assert moves(query(spark, small_dir)) == (1, 0)
+    plan = checks.block_metrics(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"collect_list\(", plan.split("partial_")[0].split("ObjectHashAggregate(")[-1])) <= 3
+
+
+def test_tokens_end_where_the_stripped_ones_did(spark):
+    rng = random.Random(4)
+    cases = ["".join(rng.choices("aBz09./:-@_+#é K", k=rng.randint(0, 14))) for _ in range(3_000)] + ["", None, "ab.....", "a..-bcde", "abc-", "abcd-/:.", "ab.c.. x", "----abcd"]
+    frame = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id long, c string")
+    got = {r["id"]: r["t"] for r in frame.select("id", T.content_tokens(F.col("c")).alias("t")).collect()}
+    for i, c in enumerate(cases):
+        raw = [t.lower().rstrip("./:-") for t in re.findall(r"[A-Za-z0-9][A-Za-z0-9./:@_+#-]{3,}", c or "")]
+        assert (got[i] or []) == list(dict.fromkeys(t for t in raw if len(t) >= 4)), c
+    assert told(frame.select(T.content_tokens(F.col("c"))), "rtrim") + told(frame.select(T.content_tokens(F.col("c"))), "filter") == 0
+
+
+def test_damaged_words_are_counted_as_by_the_plain_pattern(spark):
+    rng = random.Random(6)
+    words = [*T.LETTER_DROPS, *T.LIGATURE_DAMAGE, "wilt", "office", "xfal", "ofcexy"]
+    cases = [rng.choice([" ", ".", "_", "-"]).join(rng.choice([str.upper, str.lower, str])(rng.choice(words)) for _ in range(5)) for _ in range(400)]
+    frame = spark.createDataFrame([(c,) for c in cases], "c string").select("c", T.letter_drops(F.col("c")).alias("n"), T.ligature_damage(F.col("c")).alias("m"))
+    for r in frame.collect():
+        plain = [len(re.findall(rf"\b(?:{'|'.join(w)})\b", r["c"], flags)) for w, flags in ((T.LETTER_DROPS, 0), (T.LIGATURE_DAMAGE, re.I))]
+        assert [r["n"], r["m"]] == plain, r["c"]
