@@ -64,29 +64,44 @@ def merged(grid: Column, other: Column) -> Column:
     return F.when(even, told).otherwise(result(a, F.lit(0), F.lit(0)))
 
 
-def continuations(blocks: DataFrame) -> DataFrame:
-    """(doc_id, ord, head, new_rows) of lost tables that go on where the table before them stopped.
+def _spliced(blocks: DataFrame) -> DataFrame:
+    """(doc_id, ord, head, cont, new_rows, own): a row a block; cont tells continuations, own is the lines of the other blocks.
 
-    ``blocks``: doc_id, ord, kind, rendered, grid, outcome. A lost table (kind table, outcome lost, with rows) continues the last block that isn't one,
-    if that is a rendered table and all between are continuations too, of its width. Its new rows are those with a content token that nothing
-    before it shows: no rendered block and no continuation.
+    Blocks are dealt by document once. A block and its tokens go on as rows of one frame, so that what was shown first is a window's and no join is needed.
     """
     lost = (F.col("kind") == "table") & (F.col("outcome") == "lost") & (F.coalesce(F.size("grid"), F.lit(0)) > 0)
     in_order = Window.partitionBy("doc_id").orderBy("ord")
     rows = blocks.select("doc_id", "ord", "kind", F.coalesce("rendered", F.lit("")).alias("rendered"), "grid", F.coalesce(lost, F.lit(False)).alias("lost"))
-    runs = rows.withColumn("head", F.max(F.when(~F.col("lost"), F.col("ord"))).over(in_order))
+    runs = rows.withColumns({"place": F.row_number().over(in_order), "head": F.max(F.when(~F.col("lost"), F.col("ord"))).over(in_order)})
     of_run = Window.partitionBy("doc_id", "head").orderBy("ord")
     first = F.first(F.when((F.col("kind") == "table") & (F.col("rendered") != ""), F.col("grid"))).over(of_run)
     fits = F.min(F.when(F.col("lost"), G.continues(F.col("first"), F.col("grid")).cast("int")).otherwise(1)).over(of_run)
-    cont = runs.withColumn("first", first).withColumn("fits", fits).filter(F.col("lost") & F.col("head").isNotNull() & (F.col("fits") == 1)).select("doc_id", "ord", "head", "grid")
-    shown = rows.filter(~F.col("lost")).select("doc_id", "ord", F.explode(T.content_tokens(F.col("rendered"))).alias("token"))
-    more = cont.select("doc_id", "ord", F.explode(T.content_tokens(G.grid_text(F.col("grid")))).alias("token"))
-    since = shown.unionByName(more).groupBy("doc_id", "token").agg(F.min("ord").alias("since"))
-    each = cont.select("doc_id", "ord", F.posexplode("grid").alias("nth", "row"))
-    tokens = each.select("doc_id", "ord", "nth", F.explode(row_tokens(F.col("row"))).alias("token"))
-    new = tokens.join(since, ["doc_id", "token"]).filter(F.col("since") >= F.col("ord")).select("doc_id", "ord", "nth").distinct()
-    kept = each.join(new, ["doc_id", "ord", "nth"]).groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("nth", "row"))).alias("r")).select("doc_id", "ord", F.col("r.row").alias("new_rows"))
-    return cont.select("doc_id", "ord", "head").join(kept, ["doc_id", "ord"], "left").select("doc_id", "ord", "head", F.coalesce("new_rows", F.array().cast(GRID)).alias("new_rows"))
+    told = runs.withColumn("first", first).withColumn("fits", fits).withColumn("cont", F.col("lost") & F.col("head").isNotNull() & (F.col("fits") == 1))
+    told = told.withColumn("any", F.max("cont").over(Window.partitionBy("doc_id")))
+    token = lambda t, nth: F.struct(t.alias("token"), nth.cast("int").alias("nth"))
+    of_grid = F.flatten(F.transform("grid", lambda row, i: F.transform(row_tokens(row), lambda t: token(t, i))))
+    shown = F.transform(T.content_tokens(F.col("rendered")), lambda t: token(t, F.lit(None)))
+    tokens = F.when(F.col("cont"), of_grid).when(F.col("any") & ~F.col("lost"), shown)
+    own = F.when((F.col("kind") == "table") & (F.col("rendered") == ""), F.array().cast("array<string>")).otherwise(F.array("rendered"))
+    block = F.struct("ord", "head", "cont", F.when(F.col("cont"), F.col("grid")).alias("grid"), F.when(~F.col("cont"), own).alias("own"))
+    none = token(F.lit(None).cast("string"), F.lit(None))
+    each = told.select("doc_id", "place", "ord", "cont", block.alias("block"), F.explode(F.concat(F.array(none), F.coalesce(tokens, F.array().cast("array<struct<token:string,nth:int>>")))).alias("t"))
+    each = each.select("doc_id", "place", "ord", "cont", "t.token", "t.nth", F.when(F.col("t.token").isNull(), F.col("block")).alias("block"))
+    since = each.withColumn("since", F.min("ord").over(Window.partitionBy("doc_id", "token")))
+    kept = since.filter(F.col("token").isNull() | F.col("cont") & (F.col("since") >= F.col("ord")))
+    found = kept.groupBy("doc_id", "place").agg(F.first("block", ignorenulls=True).alias("block"), F.sort_array(F.collect_set("nth")).alias("nths"))
+    new = F.transform("nths", lambda i: F.get(F.col("block.grid"), i))
+    return found.select("doc_id", "block.ord", "block.head", "block.cont", F.when(F.col("block.cont"), new).alias("new_rows"), "block.own")
+
+
+def continuations(blocks: DataFrame) -> DataFrame:
+    """(doc_id, ord, head, new_rows) of lost tables that go on where the table before them stopped.
+
+    ``blocks``: doc_id, ord, kind, rendered, grid, outcome. A lost table (kind table, outcome lost, with rows) continues the last block that isn't one,
+    if that is a rendered table and all between are continuations too, of its width. Its new rows are those with a content token that nothing
+    before it shows: no rendered block and no continuation.
+    """
+    return _spliced(blocks).filter("cont").select("doc_id", "ord", "head", "new_rows")
 
 
 def data_row(row: Column) -> Column:
@@ -96,13 +111,13 @@ def data_row(row: Column) -> Column:
 
 
 def markdown(blocks: DataFrame) -> DataFrame:
-    """(doc_id, text): blocks in order, a blank line after each; new rows of continuations stand right after their table. A document is one row, so it has to fit one."""
-    cont = continuations(blocks)
-    spliced = cont.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(F.struct("ord", "new_rows"))).alias("c"))
-    spliced = spliced.select("doc_id", F.col("head").alias("ord"), F.transform(F.flatten(F.col("c.new_rows")), data_row).alias("more"))
-    left = blocks.join(cont.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").join(spliced, ["doc_id", "ord"], "left")
-    no_line = F.array().cast("array<string>")
-    own = F.when((F.col("kind") == "table") & (F.coalesce("rendered", F.lit("")) == ""), no_line).otherwise(F.array(F.coalesce("rendered", F.lit(""))))
-    lines = left.select("doc_id", "ord", F.concat(own, F.coalesce("more", no_line), F.array(F.lit(""))).alias("lines"))
-    whole = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "lines"))).alias("b"))
-    return whole.select("doc_id", F.concat(F.regexp_replace(F.array_join(F.flatten(F.col("b.lines")), "\n"), r"\s+$", ""), F.lit("\n")).alias("text"))
+    """(doc_id, text, n_joined, n_rows): blocks in order, a blank line after each; new rows of continuations stand right after their table. A document is one row, so it has to fit one.
+
+    n_joined counts the continuations, n_rows their new rows.
+    """
+    cont = F.col("cont")
+    lines = F.when(cont, F.transform("new_rows", data_row)).otherwise(F.concat(F.array(F.lit("")), F.col("own")))  # the blank line of the block before
+    entry = F.struct(F.when(cont, F.col("head")).otherwise(F.col("ord")).alias("at"), "ord", lines.alias("lines"))
+    whole = _spliced(blocks).groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("b"), F.count_if(cont).alias("n_joined"), F.coalesce(F.sum(F.when(cont, F.size("new_rows"))), F.lit(0)).cast("long").alias("n_rows"))
+    text = F.substring(F.array_join(F.flatten(F.col("b.lines")), "\n"), 2, 2**31 - 1)
+    return whole.select("doc_id", F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n")).alias("text"), "n_joined", "n_rows")

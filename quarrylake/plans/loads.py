@@ -194,10 +194,7 @@ def merged_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spliced_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks as markdown, tables that went on after a page break in one piece."""
-    blocks = view(spark, sf_dir, TABLE_BLOCKS)
-    spliced = grids.continuations(blocks).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_joined"), F.sum(F.size("new_rows")).alias("n_rows"))
-    none = F.lit(0).cast("long")
-    return grids.markdown(blocks).join(spliced, "doc_id", "left").select("doc_id", F.md5("text").alias("digest"), F.coalesce("n_joined", none).alias("n_joined"), F.coalesce("n_rows", none).alias("n_rows"))
+    return grids.markdown(view(spark, sf_dir, TABLE_BLOCKS)).select("doc_id", F.md5("text").alias("digest"), "n_joined", "n_rows")
 
 
 QUERIES = {

@@ -13,7 +13,7 @@ from quarrylake.functions import tables as B
 from quarrylake.functions import text as T
 from quarrylake.operators import dedup as D
 from quarrylake.operators import grids, retrieval
-from quarrylake.plans import checks, dedup, texts
+from quarrylake.plans import checks, dedup, loads, texts
 
 
 def told(frame, name):
@@ -125,3 +125,12 @@ def test_damaged_words_are_counted_as_by_the_plain_pattern(spark):
     for r in frame.collect():
         plain = [len(re.findall(rf"\b(?:{'|'.join(w)})\b", r["c"], flags)) for w, flags in ((T.LETTER_DROPS, 0), (T.LIGATURE_DAMAGE, re.I))]
         assert [r["n"], r["m"]] == plain, r["c"]
+
+
+def test_spliced_markdown_reads_its_blocks_once(spark, small_dir):
+    assert moves(loads.spliced_markdown(spark, small_dir)) == (1, 0)
+    rows = [(1, 0, "text", "", None, None), (1, 1, "table", "| a | b |", [["aaaa", "bbbb"]], "grid_fallback"), (1, 2, "table", None, [["aaaa", "bbbb"], ["cccc", None]], "lost"), (1, 2, "table", None, [["cccc", "dddd"]], "lost"), (2, 0, "table", None, None, None), (2, 0, "text", "x", None, None)]
+    frame = spark.createDataFrame(rows, f"doc_id long, ord int, kind string, rendered string, grid {grids.GRID}, outcome string")
+    got = {r["doc_id"]: r for r in grids.markdown(frame).collect()}
+    assert got[1]["n_joined"] == 2 and got[2]["n_joined"] == 0 and got[2]["text"].strip() == "x"
+    assert got[1]["text"].startswith("\n\n| a | b |\n| aaaa | bbbb |\n| cccc |  |\n") and got[1]["n_rows"] == 3
