@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -56,36 +57,41 @@ def guarded(turns: DataFrame, session_cap: int, daily_budget: int, flagged: str
 
     Guards run in that order. A turn that reaches the budget counts for its day, over it or not; only turns let in count for their
     session, which outlives days. Until a day's budget runs out, sessions don't touch each other: a turn is let in if it isn't
-    flagged and fewer than ``session_cap`` before it in its session were. So all days are decided at once by windows over sessions, up to
-    the first whose budget runs out; what that day has let in is then known, and the days after it are decided anew. A round for each day that runs out.
+    flagged and fewer than ``session_cap`` before it in its session were. So a span of days is decided at once by windows over sessions, up to
+    the first whose budget runs out; what that day has let in is then known, and the days after it are decided anew. A span is a day after one that ran out and twice
+    the last where none did, so rows are read a bounded number of times, however many days run out; only counts of sessions go from span to span.
     Order is by time, then turn_id; rows without session or time get the reason invalid.
     """
     rows = turns.select(F.col("turn_id").cast("long").alias("turn_id"), F.to_date("at").alias("day"), F.col("session").cast("string").alias("w"), F.coalesce(F.col(flagged), F.lit(False)).alias("bad"), "at")
-    done = rows.filter(F.col("w").isNull() | F.col("at").isNull()).select("turn_id", F.lit("invalid").alias("reason"))
-    rest = stored(rows.dropna(subset=["w", "at"]).withColumn("used", F.lit(0).cast("long")), "turns")
+    done = [rows.filter(F.col("w").isNull() | F.col("at").isNull()).select("turn_id", F.lit("invalid").alias("reason"))]
+    rest = stored(rows.dropna(subset=["w", "at"]).repartitionByRange("at", "turn_id"), "turns")  # a span reads few files
+    days = [r["day"] for r in rest.select("day").distinct().orderBy("day").collect()]
     own = Window.partitionBy("w").orderBy("at", "turn_id")
-    while not rest.isEmpty():
-        # the clean turns before this one in its session, after those of days that are done
+    used, at, span = None, 0, 1
+    while at < len(days):
+        part = rest.filter(F.col("day").between(F.lit(days[at]), F.lit(days[min(at + span, len(days)) - 1])))
+        part = part.withColumn("used", F.lit(0).cast("long")) if used is None else part.join(used, "w", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
+        # the clean turns before this one in its session, after those of spans that are done
         before = F.coalesce(F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        told = rest.withColumn("count", F.least(F.col("used") + before, F.lit(session_cap)))
+        told = part.select("turn_id", "day", "w", "bad", "at", F.least(F.col("used") + before, F.lit(session_cap)).alias("count"))
         told = stored(told.withColumn("reason", F.when(F.col("count") >= session_cap, "session_cap").when(F.col("bad"), "injection")), "told")
         let_in = told.filter(F.col("reason").isNull())
         out = let_in.groupBy("day").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > daily_budget).agg(F.min("day").alias("day")).first()["day"]
-        if out is None:
-            done = done.unionByName(told.select("turn_id", "reason"))
-            break
-        of_day = let_in.filter(F.col("day") == F.lit(out))
-        last = of_day.select("at", "turn_id").orderBy("at", "turn_id").limit(daily_budget).agg(F.max(F.struct("at", "turn_id")).alias("last")).first()["last"]
-        after = F.col("at").isNotNull() if last is None else (F.col("at") > F.lit(last["at"])) | ((F.col("at") == F.lit(last["at"])) & (F.col("turn_id") > last["turn_id"]))
-        early = told.filter((F.col("day") < F.lit(out)) | ((F.col("day") == F.lit(out)) & ~after))
-        done = done.unionByName(early.select("turn_id", "reason"))
-        used = early.filter(F.col("reason").isNull()).groupBy("w").agg(F.count(F.lit(1)).alias("more"))
-        known = told.filter((F.col("day") > F.lit(out)) | ((F.col("day") == F.lit(out)) & after)).select("turn_id", "day", "w", "bad", "at", "used").join(used, "w", "left")
-        known = known.select("turn_id", "day", "w", "bad", "at", (F.col("used") + F.coalesce("more", F.lit(0))).alias("used"))
-        spent = known.filter(F.col("day") == F.lit(out))
-        done = done.unionByName(spent.select("turn_id", F.when(F.col("used") >= session_cap, "session_cap").when(F.col("bad"), "injection").otherwise("daily_budget").alias("reason")))
-        rest = stored(known.filter(F.col("day") > F.lit(out)), "turns")
-    return done
+        early = told
+        if out is not None:
+            of_day = F.col("day") == F.lit(out)
+            last = let_in.filter(of_day).select("at", "turn_id").orderBy("at", "turn_id").limit(daily_budget).agg(F.max(F.struct("at", "turn_id")).alias("last")).first()["last"]
+            after = F.lit(True) if last is None else (F.col("at") > F.lit(last["at"])) | ((F.col("at") == F.lit(last["at"])) & (F.col("turn_id") > last["turn_id"]))
+            early = told.filter((F.col("day") < F.lit(out)) | (of_day & ~after))
+            # nobody is let in after that, so a session stays at what its first turn there found
+            spent = told.filter(of_day & after).withColumn("count", F.min("count").over(Window.partitionBy("w")))
+            done.append(spent.select("turn_id", F.when(F.col("count") >= session_cap, "session_cap").when(F.col("bad"), "injection").otherwise("daily_budget").alias("reason")))
+        done.append(early.select("turn_id", "reason"))
+        at, span = (min(at + span, len(days)), 2 * span) if out is None else (days.index(out) + 1, 1)
+        if at < len(days):
+            more = early.filter(F.col("reason").isNull()).groupBy("w").agg(F.count(F.lit(1)).alias("used"))
+            used = stored(more if used is None else used.unionByName(more).groupBy("w").agg(F.sum("used").alias("used")), "used")
+    return reduce(DataFrame.unionByName, done)
 
 
 def released(requests: DataFrame, per_minute: int, service: str = "service") -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quarrylake.functions import tables as B
 from quarrylake.functions import text as T
 from quarrylake.operators import dedup as D
-from quarrylake.operators import grids, retrieval
+from quarrylake.operators import admission, grids, retrieval
 from quarrylake.plans import checks, dedup, loads, texts
+from tests.test_operators import plain_guards
 
 
 def told(frame, name):
@@ -134,3 +135,14 @@ def test_spliced_markdown_reads_its_blocks_once(spark, small_dir):
     got = {r["doc_id"]: r for r in grids.markdown(frame).collect()}
     assert got[1]["n_joined"] == 2 and got[2]["n_joined"] == 0 and got[2]["text"].strip() == "x"
     assert got[1]["text"].startswith("\n\n| a | b |\n| aaaa | bbbb |\n| cccc |  |\n") and got[1]["n_rows"] == 3
+
+
+def test_guards_store_a_turn_a_bounded_number_of_times(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, f"u{rng.randrange(9)}", float(rng.randrange(86_400) + 86_400 * (i % 8)), rng.random() < 0.2) for i in range(320)]
+    written, stored = [], admission.stored
+    monkeypatch.setattr(admission, "stored", lambda df, label: written.append((label, stored(df, label))) or written[-1][1])
+    frame = spark.createDataFrame(rows, "turn_id long, session string, s double, flagged boolean").withColumn("at", F.timestamp_seconds("s"))
+    got = {r["turn_id"]: r["reason"] for r in admission.guarded(frame, 8, 12).collect()}
+    assert got == plain_guards(rows, 8, 12) and set(got.values()) == {None, "session_cap", "injection", "daily_budget"}
+    assert sum(frame.count() for label, frame in written if label in ("turns", "told")) <= 4 * len(rows)
