@@ -34,6 +34,10 @@ SAMPLE, LIST_ROWS, MOST_LISTS, LINKS = 16_384, 512, 4096, 24
 #: Share of vectors that lie near enough to a second list to be weighed for replication, lists a vector at most, recall aimed at on the sample.
 BOUNDARY, COPIES, RECALL = 0.5, 8, 0.985
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+#: Centroids whose distances or links a search looks up at once; queries whose products with a block are made at once.
+STEP, PRODUCTS = 8_192, 256
+#: Rows past the k nearest whose distances are computed too, for ties and repeated ids.
+SPARE = 8
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,8 +57,9 @@ class Index:
             for j in row.tolist():
                 self.links[j].add(i)
             self.links[i] |= {(i + 1) % n, (i - 1) % n} - {i}
-        width = max(map(len, self.links), default=0)
-        self.graph = np.array([sorted(x) + [i] * (width - len(x)) for i, x in enumerate(self.links)], np.int64).reshape(n, width)
+        # ragged, as a centroid that is near to very many others has as many links
+        self.ends = np.cumsum([0, *map(len, self.links)])
+        self.graph = np.array([j for x in self.links for j in sorted(x)], np.int64)
         self.links = None
         self.entries = rng.permutation(n)[: min(n, 8)]
         self.ratio, self.beam, self.replicate, self.copies = np.inf, n, 1.0, 1.0
@@ -80,38 +85,44 @@ class Index:
         return centre
 
     def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) of the ``want`` nearest that the graph search finds, nearest first."""
+        """(centroids, distances) of the ``want`` nearest that the graph search finds, nearest first.
+
+        A step follows the links of all centroids of a vector's beam that it hasn't followed yet.
+        """
         n = len(self.centroids)
         beam = min(n, max(want, 8))
-        rows = np.arange(len(x))[:, None]
-        seen = np.zeros((len(x), n), bool)
-        at = np.tile(self.entries, (len(x), 1))
-        seen[rows, at] = True
-        dist = np.sqrt(((x[:, None] - self.centroids[at]) ** 2).sum(2))
-        done = np.zeros(at.shape, bool)
-        while True:
-            order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-            at, dist, done = (np.take_along_axis(a, order, 1) for a in (at, dist, done))
-            todo = ~done & np.isfinite(dist)
-            live = np.flatnonzero(todo.any(1))
-            if not len(live):
-                return at[:, :want], dist[:, :want]
-            pick = todo[live].argmax(1)
-            done[live, pick] = True
-            fresh = self.graph[at[live, pick]]
-            new = ~seen[live[:, None], fresh]
-            seen[live[:, None], fresh] = True
-            far = np.full((len(x), fresh.shape[1]), np.inf)
-            far[live] = np.where(new, np.sqrt(((x[live][:, None] - self.centroids[fresh]) ** 2).sum(2)), np.inf)
-            nodes = np.zeros((len(x), fresh.shape[1]), np.int64)
-            nodes[live] = fresh
-            # a node named twice in one row counts once
-            srt = np.argsort(nodes, axis=1, kind="stable")
-            same = np.zeros(far.shape, bool)
-            sorted_nodes = np.take_along_axis(nodes, srt, 1)
-            np.put_along_axis(same, srt[:, 1:], sorted_nodes[:, 1:] == sorted_nodes[:, :-1], 1)
-            far[same] = np.inf
-            at, dist, done = np.hstack([at, nodes]), np.hstack([dist, far]), np.hstack([done, np.zeros(far.shape, bool)])
+        dist = np.full((len(x), n), np.inf)
+        seen, done = np.zeros(dist.shape, bool), np.zeros(dist.shape, bool)
+        fresh = np.zeros(dist.shape, bool)
+        fresh[:, self.entries] = True
+        live = np.arange(len(x))
+        while len(live):
+            owner, node = np.nonzero(fresh)
+            for at in range(0, len(node), STEP):
+                q, c = live[owner[at : at + STEP]], node[at : at + STEP]
+                dist[q, c] = np.sqrt(((x[q] - self.centroids[c]) ** 2).sum(1))
+            seen[live] |= fresh
+            # where all are seen, links lead nowhere new
+            live = live[~seen[live].all(1)]
+            near = dist[live]
+            todo = ~done[live] & np.isfinite(near) & (near <= np.partition(near, beam - 1, axis=1)[:, beam - 1 : beam])
+            more = todo.any(1)
+            live, todo = live[more], todo[more]
+            done[live] |= todo
+            fresh = self._linked(todo) & ~seen[live]
+        near = np.sort(np.argpartition(dist, want - 1, axis=1)[:, :want], axis=1) if want < n else np.tile(np.arange(n), (len(x), 1))
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(dist, near, 1), axis=1, kind="stable"), 1)
+        return near, np.take_along_axis(dist, near, 1)
+
+    def _linked(self, nodes: np.ndarray) -> np.ndarray:
+        """For each row of flags of centroids, flags of those that they have links to."""
+        out = np.zeros(nodes.shape, bool)
+        owner, node = np.nonzero(nodes)
+        for at in range(0, len(node), STEP):
+            first, n = self.ends[node[at : at + STEP]], np.diff(self.ends)[node[at : at + STEP]]
+            place = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+            out[np.repeat(owner[at : at + STEP], n), self.graph[place]] = True
+        return out
 
     def lists_of(self, x: np.ndarray) -> list[list[int]]:
         """Lists that take each vector: the nearest by distance and charge, and boundary ones, ``COPIES`` in all at most."""
@@ -200,13 +211,52 @@ def _with_lists(rows: DataFrame, sent, how: str) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, vec binary, lists array<int>").select("vec_id", "vec", F.explode("lists").alias("list"))
 
 
+def nearest_of(asked: np.ndarray, owners: np.ndarray, grid: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of each query's k nearest rows under another id, exact, ties to the smaller id.
+
+    Products of matrices choose the rows whose distances are computed: all that may be among the nearest ``k + SPARE`` by the
+    products' largest error. Where ties, repeated ids or numbers too large to square leave too few, all distances are.
+    """
+    most = min(len(grid), k + SPARE)
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = (asked * asked).sum(1)
+        rough = (grid * grid).sum(1)[None] - 2 * asked @ grid.T + size[:, None]
+        error = 4 * (grid.shape[1] + 4) * np.finfo(float).eps * ((grid * grid).sum(1).max() + size)
+        bound = np.partition(rough, most - 1, axis=1)[:, most - 1] + error
+        near = rough <= (bound + error)[:, None]
+    near[~(np.isfinite(rough).all(1) & np.isfinite(error))] = True
+
+    def told(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, at = np.nonzero(near)
+        d = np.concatenate([np.zeros(0), *(np.sqrt(((grid[at[i : i + STEP]] - asked[q[i : i + STEP]]) ** 2).sum(axis=1)) for i in range(0, len(q), STEP))])
+        other = ids[at] != owners[q]
+        q, x, d = q[other], ids[at[other]], d[other]
+        # of an id that is repeated, the least distance
+        order = np.lexsort((d, x, q))
+        order = order[np.r_[True, (q[order][1:] != q[order][:-1]) | (x[order][1:] != x[order][:-1])][: len(order)]]
+        order = order[np.lexsort((x[order], d[order], q[order]))]
+        nth = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+        return q[order][nth < k], x[order][nth < k], d[order][nth < k]
+
+    q, x, d = told(near)
+    far = np.zeros(len(asked))
+    np.maximum.at(far, q, d)
+    whole = near.all(1) | (np.bincount(q, minlength=len(asked)) == k) & (far * far <= bound)
+    if not whole.all():
+        more = told(np.broadcast_to(~whole[:, None], near.shape))
+        q, x, d = (np.concatenate([a[whole[q]], b]) for a, b in zip((q, x, d), more, strict=True))
+    return owners[q], x, d
+
+
 def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id ``every`` divides."""
     spark = embeddings.sparkSession
-    rows = materialize(usable(embeddings), "vectors")
+    # dealt evenly: a file may come as one partition, and searches cost more than rows
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    rows = materialize(usable(embeddings).repartition(tasks), "vectors")
     sent = spark.sparkContext.broadcast(fit(rows, k))
     posted = materialize(_with_lists(rows, sent, "lists_of"), "posted")
-    one = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    one = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec")).repartition(tasks)
     asked = materialize(_with_lists(one, sent, "probes"), "asked").withColumnsRenamed({"vec_id": "query_id"})
     # MOST_LISTS rows at most: blocks of a list's rows, and of the queries that ask it
     sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("blocks"))
@@ -220,25 +270,12 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     dealt = dealt.select("list", "block", every_one("q_blocks").alias("q_block"), "vec_id", "vec")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
-            ids, grid = np.asarray(right["vec_id"].combine_chunks()), _grid(right["vec"])
-            for own, q in zip(left["query_id"].to_pylist(), _grid(left["vec"]), strict=True):
-                d = np.sqrt(((grid - q) ** 2).sum(axis=1))
-                got: dict[int, float] = {}
-                near = np.argpartition(d, min(len(d) - 1, 4 * k))[: 4 * k + 1] if len(d) > 4 * k + 1 else np.arange(len(d))
-                last = d[near].max()
-                for places in (near, np.flatnonzero(d <= last), np.arange(len(d))):  # widened only where ties or repeated ids ask for it
-                    got = {}
-                    for i in places[np.lexsort((ids[places], d[places]))]:
-                        if (x := int(ids[i])) != own and x not in got:
-                            got[x] = float(d[i])
-                            if len(got) == k:
-                                break
-                    if len(got) == k and list(got.values())[-1] < last:
-                        break
-                out += [(own, x, s) for x, s in got.items()]
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
+            ids, grid, queries = np.asarray(right["vec_id"].combine_chunks()), _grid(right["vec"]), _grid(left["vec"])
+            owners = np.asarray(left["query_id"].combine_chunks())
+            out += [nearest_of(queries[at : at + PRODUCTS], owners[at : at + PRODUCTS], grid, ids, k) for at in range(0, len(queries), PRODUCTS)]
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     each = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

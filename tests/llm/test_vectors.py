@@ -119,6 +119,40 @@ def test_graph_search_finds_the_nearest_centroids():
     assert any(len(x) > 1 for x in lists) and all(len(set(x)) == len(x) for x in lists)
 
 
+def test_a_centroid_near_to_all_costs_no_room_nor_steps(monkeypatch):
+    rng = np.random.default_rng(11)
+    shell = rng.standard_normal((600, 32))
+    shell /= np.linalg.norm(shell, axis=1)[:, None]
+    index = ann.Index(np.concatenate([np.zeros((1, 32)), shell]), 601, 10)
+    assert np.diff(index.ends).max() > 500 and len(index.graph) <= 601 * (2 * ann.LINKS + 2)
+    steps, linked = [], index._linked
+    monkeypatch.setattr(index, "_linked", lambda nodes: steps.append(1) or linked(nodes))
+    at, dist = index.search(shell[:50] * 1.1, 601)
+    assert len(steps) <= 10  # a step for each centroid of the beam before
+    assert (np.sort(at, axis=1) == np.arange(601)).all() and (np.diff(dist, axis=1) >= 0).all()
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "repeated ids", "one point", "huge"])
+def test_rows_chosen_by_products_are_the_nearest(kind):
+    rng = np.random.default_rng(12)
+    for n, m, dim, k in zip(rng.integers(1, 80, 20), rng.integers(1, 40, 20), rng.integers(1, 6, 20), rng.integers(1, 12, 20), strict=True):
+        grid = rng.integers(-2, 3, (n, dim)).astype(float) if kind == "ties" else rng.standard_normal((n, dim))
+        grid = {"one point": np.repeat(grid[:1], n, 0) * 1e6, "huge": grid * 1e160}.get(kind, grid)
+        ids, owners = rng.integers(0, n if kind == "repeated ids" else 10**6, n), rng.permutation(1000)[:m]
+        asked = grid[rng.integers(0, n, m)]
+        owners[0] = ids[0]
+        with np.errstate(over="ignore"):
+            rows = zip(*(x.tolist() for x in ann.nearest_of(asked, owners, grid, ids, int(k))), strict=True)
+            want = set()
+            for own, q in zip(owners.tolist(), asked, strict=True):
+                got: dict[int, float] = {}
+                for x, d in zip(ids.tolist(), distance(grid, q).tolist(), strict=True):
+                    if x != own:
+                        got[x] = min(d, got.get(x, d))
+                want |= {(own, *x) for x in sorted(got.items(), key=lambda x: (x[1], x[0]))[:k]}
+        assert set(rows) == want
+
+
 def floored(v):
     return np.floor(256 * np.asarray(v, float)).astype(np.int64)
 
