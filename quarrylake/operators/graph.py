@@ -27,7 +27,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of files that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of ``stored`` frames before the JVM ends, once nothing is to be read from them."""
+    for frame in frames:
+        removed(frame.sparkSession, frame._stored_at)
 
 
 def _ranked(node: str, turn: int) -> Column:
