@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 
@@ -61,3 +62,23 @@ def test_edges(messy, empty, library):
         ((d[0] is None, d[0] or 0, library.encode_ordinary(d[1] or ""), (d[1] or "").encode()) for d in MESSY)
     )
     assert byte_pairs.round_trip(empty).collect() == []
+
+
+def test_the_overlaid_table_holds_every_pair_and_no_other():
+    ranks = byte_pairs.read_ranks(byte_pairs.ranks_path())
+    rows = byte_pairs.joins(ranks)
+    starts, cells = byte_pairs.overlaid(rows)
+    assert all(cells[starts[a] + b] == (a << byte_pairs.BITS) + rank for a, row in rows.items() for b, rank in row.items())
+    assert sum(x is not None for x in cells) == sum(map(len, rows.values()))
+    with pytest.raises(ValueError):
+        byte_pairs.overlaid({1 << byte_pairs.BITS: {0: 1}})
+
+
+def test_a_piece_that_no_pair_leads_to_is_a_word_alone(spark, tmp_path):
+    pieces = [bytes([i]) for i in range(256)] + [b"abc", b"de", b" de"]
+    (tmp_path / "ranks").write_bytes(b"\n".join(base64.b64encode(x) + b" %d" % i for i, x in enumerate(pieces)))
+    own = tiktoken.Encoding("few", pat_str=public_tokenizers.PATTERN, mergeable_ranks={x: i for i, x in enumerate(pieces)}, special_tokens={})
+    texts = ["abc", "abcabc abc", "de de", "dede", "é de"]
+    rows = byte_pairs.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "ranks")).collect()
+    assert [r["ids"] for r in sorted(rows)] == [own.encode_ordinary(x) for x in texts]
+    assert [bytes(r["decoded"]).decode() for r in sorted(rows)] == texts
